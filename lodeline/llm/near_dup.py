@@ -177,17 +177,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _rare_pairs(held: DataFrame, docs: DataFrame) -> DataFrame:
-    """Cross-component candidates among ``held`` (one row per class) through their rarest shingles."""
+    """Cross-component candidates among ``held`` (one row per class) through their rarest shingles.
+
+    Shingles are ordered by their number of classes here, then by hash. If a linked pair's first shared shingle in that
+    order has ranks i and j, both sets must have enough shingles from there on; so edited copies, whose own rare
+    shingles fill their first ranks, meet few others, whatever the size of the group.
+    """
     sets = settle(shingle_sets(docs.select("doc_id", "text").join(held.select("doc_id").distinct(), "doc_id", "left_semi")), "sets")
     each = sets.select("doc_id", F.explode("shingles").alias("sh"))
     often = each.groupBy("sh").agg(F.count("*").alias("df"))
     ranked = each.join(often, "sh").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("r"))
     n = F.size("r")
     first = n - F.ceil(n * THRESHOLD_NUM / THRESHOLD_DEN).cast("int") + 1
-    rare = ranked.select("doc_id", F.explode(F.slice("r", F.lit(1), first)).alias("t")).filter("t.df > 1").select("doc_id", F.col("t.sh").alias("sh"))
+    rare = ranked.select("doc_id", F.posexplode(F.slice("r", F.lit(1), first)).alias("at", "t")).filter("t.df > 1").select("doc_id", "at", F.col("t.sh").alias("sh"))
     rare = rare.join(held, "doc_id")
     a, b = rare.alias("a"), rare.alias("b")
-    meet = a.join(b, (F.col("a.sh") == F.col("b.sh")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.label") != F.col("b.label")) & _may_match("a", "b"))
+    left = F.least(F.col("a.n_shingles") - F.col("a.at"), F.col("b.n_shingles") - F.col("b.at"))
+    enough = left * (THRESHOLD_NUM + THRESHOLD_DEN) >= (F.col("a.n_shingles") + F.col("b.n_shingles")) * THRESHOLD_NUM
+    meet = a.join(b, (F.col("a.sh") == F.col("b.sh")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.label") != F.col("b.label")) & enough & _may_match("a", "b"))
     return meet.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
 
 
