@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +29,8 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, which must be cheap to count; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
