@@ -32,6 +32,27 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _pairs(left: Column, right: Column, shift: int) -> Column:
+    """Hashes of (left[i], right[i + shift]) wherever both exist. One slice per array: elements are not read by index."""
+    n = F.greatest(F.least(F.size(left), F.size(right) - shift), F.lit(0))
+    return F.zip_with(F.slice(left, 1, n), F.slice(right, shift + 1, n), lambda a, b: F.xxhash64(a, b))
+
+
+def window_hashes(words: Column, width: int) -> Column:
+    """Hash of every run of 5 or 8 words in order, by doubling; empty for fewer words."""
+    if width not in (5, 8):
+        raise ValueError("windows of 5 or 8 words")
+    four = lambda w: let(_pairs(w, w, 1), lambda two: _pairs(two, two, 2))
+    if width == 8:
+        return let(words, lambda w: let(four(w), lambda x: _pairs(x, x, 4)))
+    return let(words, lambda w: _pairs(four(w), w, 4))
+
+
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
