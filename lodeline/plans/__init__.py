@@ -1 +1,3 @@
-"""Queries over the driver's tables."""
+"""Queries over the driver's tables; importing registers them."""
+
+from lodeline.plans import graph, rank, search, text  # noqa: F401
