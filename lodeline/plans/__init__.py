@@ -1,3 +1,3 @@
 """Queries over the driver's tables; importing registers them."""
 
-from lodeline.plans import graph, rank, search, text  # noqa: F401
+from lodeline.plans import documents, evaluation, extra, graph, knowledge, logs, rank, search, text, vectors  # noqa: F401

@@ -41,7 +41,7 @@ def q12(spark, d):
 
 @query("q13_find", """
 WITH s AS (SELECT p_partkey, p_name, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '') AS parts FROM part),
-h AS (SELECT p_partkey, p_name, (lower(p_name) = 'blue green')::INT AS exact FROM s WHERE lower(p_name) = 'blue green' OR len(list_filter(parts, lambda x: starts_with(x, 'blue green'))) > 0 OR list_has_all(parts, ['blue', 'green'])),
+h AS (SELECT p_partkey, p_name, (lower(p_name) = 'red widget')::INT AS exact FROM s WHERE lower(p_name) = 'red widget' OR len(list_filter(parts, lambda x: starts_with(x, 'red widget'))) > 0 OR list_has_all(parts, ['red', 'widget'])),
 t AS (SELECT * FROM h ORDER BY exact DESC, length(p_name), p_name, p_partkey LIMIT 20),
 c AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_suppkey) AS k FROM c)
@@ -49,7 +49,7 @@ SELECT p_partkey, p_name, exact, coalesce(count(l_suppkey), 0) AS n_files, coale
 FROM t LEFT JOIN r ON l_partkey = p_partkey GROUP BY ALL""")
 def q13(spark, d):
     symbols = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_name").alias("path"), F.col("p_partkey").alias("line_start"))
-    found = S.find(symbols, "blue green", 20)
+    found = S.find(symbols, "red widget", 20)
     refs = table(spark, d, "lineitem").select(F.col("l_partkey").alias("name"), F.col("l_suppkey").alias("path"))
     by = S.referrers(refs.join(F.broadcast(found.select(F.col("line_start").alias("name"))), "name", "left_semi")).withColumnRenamed("name", "line_start")
     rows = found.join(by, "line_start", "left")
