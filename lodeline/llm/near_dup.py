@@ -30,13 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.llm.words import WordHashes, lower_words, mix, shingle_row
-from lodeline.storage import settle
+from lodeline.storage import settle, small
 
 SLOTS = 127
 BANDS, ROWS = 31, 4
 THRESHOLD_NUM, THRESHOLD_DEN = 75, 100
 #: Buckets of up to so many classes give their cross-component pairs; larger ones take the prefix filter.
 SMALL_BUCKET = 48
+#: Ids of eight bytes that may be broadcast: 16 MB. More are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 _CHUNK = 400_000
 _SKETCH = ("s0", "s1", "s2", "s3")
 SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
@@ -144,10 +146,16 @@ def _may_match(a: str, b: str) -> Column:
     return (n * THRESHOLD_DEN >= m * THRESHOLD_NUM) & (m * THRESHOLD_DEN >= n * THRESHOLD_NUM) & (off <= int(0.4 * 124))
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """Full sets of the documents with these ids. Their texts stay where they are while the ids fit in a broadcast."""
+    ids = small(settle(ids, "ids"), BROADCAST_IDS)
+    return settle(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")), "sets")
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of distinct pairs ``a, b`` those whose full sets reach the threshold."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = settle(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")), "sets")
+    sets = _sets_of(ids, docs)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared * THRESHOLD_DEN >= (F.size("x") + F.size("y") - shared) * THRESHOLD_NUM).select("a", "b").distinct()
@@ -183,7 +191,7 @@ def _rare_pairs(held: DataFrame, docs: DataFrame) -> DataFrame:
     order has ranks i and j, both sets must have enough shingles from there on; so edited copies, whose own rare
     shingles fill their first ranks, meet few others, whatever the size of the group.
     """
-    sets = settle(shingle_sets(docs.select("doc_id", "text").join(held.select("doc_id").distinct(), "doc_id", "left_semi")), "sets")
+    sets = _sets_of(held.select("doc_id").distinct(), docs)
     each = sets.select("doc_id", F.explode("shingles").alias("sh"))
     often = each.groupBy("sh").agg(F.count("*").alias("df"))
     ranked = each.join(often, "sh").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("r"))
