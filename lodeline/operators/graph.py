@@ -44,19 +44,19 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("weight"))
 
 
-def power_iteration(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, p: np.ndarray) -> np.ndarray:
+def power_iteration(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, p: np.ndarray, iterations: int = ITERATIONS) -> np.ndarray:
     """Personalised PageRank; the mass of nodes without out edges returns by ``p``."""
     p = p / p.sum() if p.sum() > 0 else np.full(n, 1.0 / max(n, 1))
     out = np.bincount(src, weight, n)
     share = weight / out[src] if len(src) else weight
     rank = p.copy()
-    for _ in range(ITERATIONS):
+    for _ in range(iterations):
         lost = rank[out == 0].sum()
         rank = (1 - DAMPING) * p + DAMPING * (np.bincount(dst, rank[src] * share, n) + lost * p)
     return rank / rank.sum() if n else rank
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """``node, rank`` from ``nodes(node, p)`` and ``edges(src, dst, weight)`` with one row per pair.
 
     Graphs of a checked, bounded size run as arrays in one task; larger ones as joins of partitioned edges.
@@ -64,11 +64,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     nodes = nodes.groupBy("node").agg(F.max("p").alias("p"))
     edges = settle(edges.filter("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "edges")
     if edges.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES and nodes.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES:
-        return _pagerank_arrays(nodes, edges)
-    return _pagerank_joins(nodes, edges)
+        return _pagerank_arrays(nodes, edges, iterations)
+    return _pagerank_joins(nodes, edges, iterations)
 
 
-def _pagerank_arrays(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _pagerank_arrays(nodes: DataFrame, edges: DataFrame, iterations: int) -> DataFrame:
     kind = dict(nodes.dtypes)["node"]
     rows = nodes.select(F.col("node").alias("a"), F.lit(None).cast(kind).alias("b"), F.col("p").alias("w")).unionByName(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("w")))
 
@@ -79,19 +79,19 @@ def _pagerank_arrays(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         e = rows[edge]
         e = e[e["a"].isin(place) & e["b"].isin(place)].sort_values(["a", "b"])
         src, dst = e["a"].map(place).to_numpy(np.int64), e["b"].astype(own["a"].dtype).map(place).to_numpy(np.int64)
-        return pd.DataFrame({"node": own["a"].to_numpy(), "rank": power_iteration(len(own), src, dst, e["w"].to_numpy(float), own["w"].to_numpy(float))})
+        return pd.DataFrame({"node": own["a"].to_numpy(), "rank": power_iteration(len(own), src, dst, e["w"].to_numpy(float), own["w"].to_numpy(float), iterations)})
 
     return rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda rows: run(rows.drop(columns="one")), f"node {kind}, rank double")
 
 
-def _pagerank_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _pagerank_joins(nodes: DataFrame, edges: DataFrame, iterations: int) -> DataFrame:
     total = nodes.agg(F.sum("p").alias("s"), F.count("*").alias("n")).first()
     share = F.col("p") / total.s if total.s else F.lit(1.0 / max(total.n, 1))
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     steps = settle(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")).repartition("src"), "steps")
     base = settle(nodes.select("node", share.alias("p")).join(out.select(F.col("src").alias("node"), F.lit(True).alias("leads")), "node", "left"), "base")
     now = base.select("node", F.col("p").alias("rank"))
-    for _ in range(ITERATIONS):
+    for _ in range(iterations):
         lost = now.join(base.filter("leads is null").select("node"), "node").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         given = steps.join(now, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         step = base.join(given, "node", "left").crossJoin(F.broadcast(lost))

@@ -132,7 +132,7 @@ def render_map(rows: list, notes: list[tuple[str, str | None, str]] = ()) -> str
         for r in own:
             for by in r.referenced_by or ():
                 if by.path != path:
-                    count[by.path] = count.get(by.path, 0) + by.count
+                    count[by.path] = count.get(by.path, 0) + by["count"]
         order = sorted(count, key=lambda p: (-count[p], p))
         more = f" +{len(order) - REFS_SHOWN}" if len(order) > REFS_SHOWN else ""
         out.append(f"{path}:" + (f"  ← {', '.join(order[:REFS_SHOWN])}{more}" if order else ""))

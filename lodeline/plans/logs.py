@@ -71,7 +71,7 @@ def q86(spark, d):
 
 
 @query("q87_claimable", """
-SELECT event_id AS symbol_id, epoch_ms(ts) AS queued_at_ms FROM events WHERE user_id % 4 < 3 AND (event_type <> 'click' OR value > 50) ORDER BY queued_at_ms, symbol_id LIMIT 50""")
+SELECT event_id AS symbol_id, epoch_us(ts) // 1000 AS queued_at_ms FROM events WHERE user_id % 4 < 3 AND (event_type <> 'click' OR value > 50) ORDER BY queued_at_ms, symbol_id LIMIT 50""")
 def q87(spark, d):
     rows = table(spark, d, "events").select(F.col("event_id").alias("symbol_id"), F.timestamp_diff("MILLISECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), "ts").alias("queued_at_ms"), (F.col("user_id") % 4).alias("attempts"), F.when((F.col("event_type") == "click") & (F.col("value") <= 50), F.lit(2_000_000)).when(F.col("event_type") == "click", F.lit(0)).alias("claimed_at_ms"))
     return I.claimable(rows, 2_000_000, 50).select("symbol_id", "queued_at_ms")
