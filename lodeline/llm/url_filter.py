@@ -29,11 +29,11 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 MAX_RULES = 2000
 BUCKETS = 1 << 14
 SIZES = (3, 4, 5)
-BLOCK_AT = 0.6
+BLOCK_AT = 0.75
 #: Words of hosts and paths that a crawl of prose leaves out, and ordinary ones.
 BAD_WORDS = "casino poker bets betting slots jackpot pills pharmacy viagra cialis adult porn sex xxx escort cam spam farm malware phish crack warez torrent keygen ads track tracker banner click popunder doubleclick affiliate loan payday replica cheap discount bonus winner lottery free win farm-spam hookup nude".split()
 GOOD_WORDS = "news blog wiki docs help about article story science history music garden library museum school city travel kitchen weather sport health market forum review research journal photo video product support contact archive theory reading nature people culture world local family book review street letters union river".split()
-SYLLABLES = "ba la mer sol ten vi nor tha ing ver den lo ran che stu mi per th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur wh ble ly tion".split()
+SYLLABLES = "ba la mer sol ten vi nor tha ing ver den lo ran che stu mi per th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur wh sh ch ble ly tion".split()
 #: Words that go with either kind.
 ADDITIONS = "mega best top online my the world daily super go web net site zone hub first real".split()
 ZONES = ("example.com", "example.org", "example.net")
@@ -92,8 +92,8 @@ def grams(host: Column, path: Column) -> Column:
         ]
         return F.concat(*each)
 
-    # the registered zone and a path's numbers, language code and ending say nothing about the page
-    name = F.regexp_replace(host, r"\.?[^.]+\.[^.]+$", "")
+    # the registered zone, a usual first label and a path's numbers, language code and ending say nothing about the page
+    name = F.regexp_replace(F.regexp_replace(host, r"\.?[^.]+\.[^.]+$", ""), r"^(www|m|blog)\.", "")
     return F.concat(of(name, "h"), of(F.regexp_replace(ascii_lower(path), "[0-9]+|\\.[a-z0-9]+$|(?<=/)[a-z]{2}(?=/|$)|/+$", ""), "p"))
 
 
