@@ -110,10 +110,13 @@ class Engine:
     def index_version(self) -> str:
         return incremental.index_version(self.table("files").filter("skipped_reason is null")).first().version
 
-    def edges(self, named=None) -> DataFrame:
+    def names(self) -> tuple[DataFrame, DataFrame]:
+        """Definitions (file, name) and references (file, name, count) of shown files."""
         defs = self._shown(self.table("symbols")).select(F.col("path").alias("file"), "name")
-        refs = self._shown(self.table("refs")).groupBy(F.col("path").alias("file"), "name").agg(F.count("*").alias("count"))
-        return G.weighted_edges(defs, refs, named)
+        return defs, self._shown(self.table("refs")).groupBy(F.col("path").alias("file"), "name").agg(F.count("*").alias("count"))
+
+    def edges(self, named=None) -> DataFrame:
+        return G.weighted_edges(*self.names(), named)
 
     def ranked(self, query: str = "", focus: tuple[str, ...] = ()) -> DataFrame:
         """All candidates with score and reasons, unordered."""
@@ -123,7 +126,6 @@ class Engine:
         parts = T.split_identifier(F.col("name"))
         by_name = F.exists(parts, lambda p: F.exists(terms, lambda t: p.startswith(t)))
         named = T.name_matches_query(F.col("name"), terms) | (by_name if asked else F.lit(False))
-        edges = self.edges(named).cache()
         sections = self._shown(self.table("sections"))
         body = S.bm25(sections, "symbol_id", "content", asked).withColumnRenamed("score", "body") if asked else sections.select("symbol_id", F.lit(0.0).alias("body")).limit(0)
         notes = self.spark.createDataFrame([(p, s, x) for p, s, x in self.authored.notes], "path string, symbol string, note string").filter(T.note_matches(F.col("note"), terms))
@@ -140,11 +142,11 @@ class Engine:
             F.coalesce("hit", F.lit(False)).alias("text_hit"), F.coalesce("note", F.lit(False)).alias("note"), none.cast("double").alias("semantic"), none.cast("double").alias("theme"), none.cast("array<string>").alias("entities"), none.cast("array<string>").alias("implements"), F.lit(" ".join(asked)).alias("query"),
         )
         person = R.personalisation(facts)
-        ranks = G.pagerank(person.select("node", "p"), G.projected(edges)).cache()
-        scored = R.symbol_scores(rows.join(shares, "symbol_id", "left").withColumn("file", F.col("path")), R.distribute(edges, ranks), ranks)
+        ranks = G.pagerank(person.select("node", "p"), G.projected(self.edges(named))).cache()
+        scored = R.symbol_scores(rows.join(shares, "symbol_id", "left").withColumn("file", F.col("path")), R.distribute(*self.names(), ranks, named), ranks)
         documents = F.coalesce(T.language_class(T.language(F.col("path"))) == "document", F.lit(False))
         scored = scored.filter(~T.is_support_file(F.col("path"), documents))
-        refs = R.referenced_by(edges).select(F.col("dst").alias("path"), "name", "referenced_by")
+        refs = R.referenced_by(*self.names()).select(F.col("dst").alias("path"), "name", "referenced_by")
         return scored.join(refs, ["path", "name"], "left").join(facts.join(person.drop("p"), "node").select(F.col("node").alias("path"), "seeds", "pinned", F.col("note").alias("note_hit")), "path")
 
     def repo_map(self, query: str = "", focus: tuple[str, ...] = (), budget: int | None = None, record: bool = True) -> tuple[DataFrame, str]:

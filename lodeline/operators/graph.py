@@ -35,8 +35,8 @@ def weighted_edges(defs: DataFrame, refs: DataFrame, named: Column | None = None
 
 
 def projected(edges: DataFrame) -> DataFrame:
-    """``src, dst, weight, names``: edges of a pair of files summed, self edges left out."""
-    return edges.filter("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.count_distinct("name").alias("names"))
+    """``src, dst, weight, names``: edges of a pair of files summed, self edges left out. A name has one edge per pair."""
+    return edges.filter("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.count("*").alias("names"))
 
 
 def undirected(edges: DataFrame) -> DataFrame:

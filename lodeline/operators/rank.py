@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeline.operators.graph import QUERY_FACTOR
+
 FOCUS, PIN, TEXT_HIT, NOTE, IMPLEMENTS = 10.0, 10.0, 5.0, 5.0, 2.5
 UNREFERENCED = 0.001
 REFERRERS = 5
@@ -32,24 +34,34 @@ def personalisation(facts: DataFrame) -> DataFrame:
     return facts.select("node", p.alias("p"), seeds.alias("seeds"))
 
 
-def distribute(edges: DataFrame, ranks: DataFrame) -> DataFrame:
-    """``dst, name, score, referenced_by``: every file deals its rank along its edges, self edges included.
+def distribute(defs: DataFrame, refs: DataFrame, ranks: DataFrame, named: Column | None = None) -> DataFrame:
+    """``dst, name, score``: every file deals its rank along its edges, self edges included.
 
-    The strongest referrers are found with a bounded list per group: each list is cut before it is stored.
+    ``defs``: file, name; ``refs``: file, name, count. All definers of a name have the same incoming edges, so what a
+    name receives is summed once from the references and handed to its definers; the fan-out of edges is never built.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    flow = edges.join(out.join(ranks.withColumnRenamed("node", "src"), "src"), "src")
-    return flow.groupBy("dst", "name").agg(F.sum(F.col("rank") * F.col("weight") / F.col("out")).alias("score"))
+    definers = defs.select(F.col("file").alias("dst"), "name").distinct()
+    often = definers.groupBy("name").agg(F.count("*").alias("definers"))
+    weight = F.col("count").cast("double") if named is None else F.col("count") * F.when(named, QUERY_FACTOR).otherwise(1.0)
+    used = refs.select(F.col("file").alias("src"), "name", weight.alias("w")).join(often, "name")
+    out = used.groupBy("src").agg(F.sum("w").alias("out"))
+    rate = out.join(ranks.withColumnRenamed("node", "src"), "src").select("src", (F.col("rank") / F.col("out")).alias("rate"))
+    flow = used.join(rate, "src").groupBy("name").agg(F.sum(F.col("rate") * F.col("w") / F.col("definers")).alias("score"))
+    return definers.join(flow, "name").select("dst", "name", "score")
+
 
+def referenced_by(defs: DataFrame, refs: DataFrame, most: int = REFERRERS) -> DataFrame:
+    """``dst, name, referrers, total, referenced_by``: strongest ``most`` files by count, then key.
 
-def referenced_by(edges: DataFrame, most: int = REFERRERS) -> DataFrame:
-    """``dst, name, referrers, total, referenced_by``: strongest ``most`` files by count, then key."""
-    counts = edges.groupBy("dst", "name", "src").agg(F.max("count").alias("count"))
-    place = F.row_number().over(Window.partitionBy("dst", "name").orderBy(F.desc("count"), "src"))
+    Found once for each name, as above; for answers restrict both sides to the names that are shown.
+    """
+    counts = refs.groupBy("name", F.col("file").alias("src")).agg(F.sum("count").alias("count"))
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("count"), "src"))
     listed = F.sort_array(F.collect_list(F.when(F.col("place") <= most, F.struct("place", "src", "count"))))
-    return counts.withColumn("place", place).groupBy("dst", "name").agg(
+    top = counts.withColumn("place", place).groupBy("name").agg(
         F.count("*").alias("referrers"), F.sum("count").alias("total"), F.transform(listed, lambda x: F.struct(x["src"].alias("path"), x["count"].alias("count"))).alias("referenced_by")
     )
+    return defs.select(F.col("file").alias("dst"), "name").distinct().join(top, "name")
 
 
 def hit_shares(hits: DataFrame, group: str) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from lodeline.catalogue import query, table
 from lodeline.functions.text import approx_tokens
-from lodeline.operators import graph as G
 from lodeline.operators import provenance as P
 from lodeline.operators import rank as R
 from lodeline.plans.graph import PAIRS, pagerank_sql, ranks, tables
+from lodeline.storage import settle
 
 FLOW = "fl AS (SELECT e.dst, e.name, sum(rk.rank * e.weight / oe.ow) AS score FROM e JOIN (SELECT src, sum(weight) AS ow FROM e GROUP BY src) AS oe ON oe.src = e.src JOIN rk ON rk.node = e.src GROUP BY e.dst, e.name)"
 REFS = "rb AS (SELECT dst, name, src, max(k) AS k FROM e GROUP BY ALL), rr AS (SELECT *, row_number() OVER (PARTITION BY dst, name ORDER BY k DESC, src) AS p FROM rb)"
@@ -17,7 +17,7 @@ REFS = "rb AS (SELECT dst, name, src, max(k) AS k FROM e GROUP BY ALL), rr AS (S
 
 @query("q30_score_distribution", pagerank_sql("1.0::DOUBLE", PAIRS, f", {FLOW} SELECT dst, name, round(score, 9) AS score FROM fl"))
 def q30(spark, d):
-    return R.distribute(G.weighted_edges(*tables(spark, d)), ranks(spark, d)).withColumn("score", F.round("score", 9))
+    return R.distribute(*tables(spark, d), ranks(spark, d)).withColumn("score", F.round("score", 9))
 
 
 @query("q31_hit_shares", """
@@ -33,21 +33,20 @@ def q31(spark, d):
 @query("q32_referenced_by", f"""
 WITH {PAIRS}, {REFS} SELECT dst, name, count(*) AS referrers, sum(k)::BIGINT AS total, list(src || ':' || k ORDER BY p) FILTER (WHERE p <= 5) AS top FROM rr GROUP BY dst, name""")
 def q32(spark, d):
-    rows = R.referenced_by(G.weighted_edges(*tables(spark, d)))
+    rows = R.referenced_by(*tables(spark, d))
     return rows.select("dst", "name", "referrers", "total", F.transform("referenced_by", lambda x: F.concat_ws(":", x["path"], x["count"])).alias("top"))
 
 
 def final(spark, d, limit: int = 100):
     """The ranked symbols (supplier, part) with their reasons."""
     defs, refs = tables(spark, d)
-    edges = G.weighted_edges(defs, refs)
-    file_ranks = ranks(spark, d)
-    scored = R.symbol_scores(defs, R.distribute(edges, file_ranks), file_ranks).withColumn("score", F.round("score", 9))
+    file_ranks = settle(ranks(spark, d), "ranks")
+    scored = R.symbol_scores(defs, R.distribute(defs, refs, file_ranks), file_ranks).withColumn("score", F.round("score", 9))
     # cut before the reasons are gathered: only answers need them
     top = scored.orderBy(F.desc("score"), "file", "name").limit(limit)
     top = R.numbered(top, F.desc("score"), "file", "name")
-    own = edges.join(F.broadcast(top.select(F.col("file").alias("dst"), "name")), ["dst", "name"], "left_semi")
-    reasons = R.referenced_by(own).withColumnRenamed("dst", "file")
+    shown = F.broadcast(top.select("name").distinct())
+    reasons = R.referenced_by(top.select("file", "name"), refs.join(shown, "name", "left_semi")).withColumnRenamed("dst", "file")
     return top.join(F.broadcast(reasons), ["file", "name"], "left")
 
 
