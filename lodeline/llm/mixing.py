@@ -57,17 +57,18 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, cap: f
     return result
 
 
-def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each length to take, of at most ``counts``, for the sum nearest to ``budget`` from below.
+def knapsack(lengths: list[int], counts: list[int], budget: int, over: int = 0) -> list[int]:
+    """How many of each length to take, of at most ``counts``, for the sum nearest to ``budget``: from below, or at most
+    ``over`` above it if that is nearer.
 
     Bit s of ``reach`` says that some counts sum to s. Multiplicities are split into powers of two; what each part added
     is kept, so the way back is read from the parts. Stops as soon as the budget itself is reached.
     """
-    mask, reach, parts = (1 << budget + 1) - 1, 1, []
+    mask, reach, parts = (1 << budget + over + 1) - 1, 1, []
     for k, (length, count) in enumerate(zip(lengths, counts, strict=True)):
-        if length <= 0 or length > budget:
+        if length <= 0 or length > budget + over:
             continue
-        count, size = min(count, budget // length), 1
+        count, size = min(count, (budget + over) // length), 1
         while count > 0 and not reach >> budget & 1:
             step = min(size, count)
             new = (reach | reach << length * step) & mask
@@ -78,7 +79,10 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             size *= 2
         if reach >> budget & 1:
             break
-    at, take = reach.bit_length() - 1, [0] * len(lengths)
+    at, take = (reach & (1 << budget + 1) - 1).bit_length() - 1, [0] * len(lengths)
+    above = reach >> budget
+    if above and (more := (above & -above).bit_length() - 1) < budget - at:
+        at = budget + more
     for k, step, before in reversed(parts):
         if not before >> at & 1:
             take[k] += step
@@ -87,7 +91,7 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
 
 
 def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """Documents to take of each length, so that their words come nearest to ``budget`` from below."""
+    """Documents to take of each length, so that their words come nearest to ``budget``."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= total:
         return list(counts)
@@ -101,8 +105,8 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
         if more > 0:
             take[k] += more
             left -= more * lengths[k]
-    last = [k for k in reversed(order) if lengths[k] <= left and counts[k] > take[k]]
-    for k, n in zip(last, knapsack([lengths[k] for k in last], [counts[k] - take[k] for k in last], left), strict=True):
+    last = [k for k in reversed(order) if lengths[k] < 2 * left and counts[k] > take[k]]
+    for k, n in zip(last, knapsack([lengths[k] for k in last], [counts[k] - take[k] for k in last], left, left), strict=True):
         take[k] += n
     return take
 

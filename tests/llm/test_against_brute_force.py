@@ -312,6 +312,9 @@ def test_knapsack_is_exact():
         take = mixing.knapsack(lengths, counts, budget)
         assert all(t <= c for t, c in zip(take, counts, strict=True))
         assert sum(n * t for n, t in zip(lengths, take, strict=True)) == max(s for s in sums if s <= budget)
+        take = mixing.knapsack(lengths, counts, budget, budget)
+        assert all(t <= c for t, c in zip(take, counts, strict=True))
+        assert abs(sum(n * t for n, t in zip(lengths, take, strict=True)) - budget) == min(abs(s - budget) for s in sums)
 
 
 # --- 8 licenses
