@@ -17,6 +17,7 @@ from lodeline.operators import knowledge as K
 from lodeline.operators import rank as R
 from lodeline.operators import search as S
 from lodeline.sources import diffs, files
+from lodeline.storage import settle
 
 SCHEMA_VERSION = 1
 TABLES = ("files", "symbols", "refs", "sections", "aliases")
@@ -62,39 +63,45 @@ class Engine:
     def refresh(self, workspace: files.Workspace) -> DataFrame:
         """Index what changed; schema files come first, since code is read with their tables' names.
 
-        Code is read again where the vocabulary changed. The answer counts new, changed, unchanged and removed paths.
+        Stats decide what is read at all; nothing is written if nothing changed. Code is read again where the vocabulary
+        changed. The answer counts new, changed, unchanged and removed paths.
         """
-        seen = files.gated(files.scan(self.spark, workspace)).cache()
         old = self._current()
         empty = old is None
-        known = seen.limit(0).select("path", "mtime_ms", "size", "content_hash") if empty else self.table("files").select("path", "mtime_ms", "size", "content_hash")
-        changes = incremental.scan_changes(known.select("path", "mtime_ms", "size"), seen.select("path", "mtime_ms", "size")).cache()
+        listed = settle(files.listing(self.spark, workspace), "listing")
+        stamps = ["path", "mtime_ms", "size"]
+        known = listed.limit(0).select(*stamps) if empty else self.table("files").select(*stamps)
+        changes = settle(incremental.scan_changes(known, listed.select(*stamps)), "changes")
+        counts = changes.groupBy("change").count().collect()
+        out = self.spark.createDataFrame(counts, "change string, count long")
+        if not empty and all(r.change == "unchanged" for r in counts):
+            return out
         same = changes.filter("change = 'unchanged'").select("path")
-        new = seen.join(same, "path", "left_anti")
-        schema = new.filter(F.col("lang").isin("prisma", "sql"))
-        parts = files.tables(files.extracted(schema))
+        seen = settle(files.gated(files.read(listed.join(same, "path", "left_anti"))), "seen")
+        parts = files.tables(settle(files.extracted(seen.filter(F.col("lang").isin("prisma", "sql"))), "schema"))
         aliases = parts["aliases"]
         if not empty:
             aliases = self.table("aliases").join(same, "path", "left_semi").unionByName(aliases)
         names = {r.alias: r.table_name for r in files.vocabulary(aliases).collect()}
         before = {} if empty else {r.alias: r.table_name for r in files.vocabulary(self.table("aliases")).collect()}
-        rest = new.filter(~F.coalesce(F.col("lang"), F.lit("")).isin("prisma", "sql"))
+        rest = seen.filter(~F.coalesce(F.col("lang"), F.lit("")).isin("prisma", "sql"))
         kept = same
         if names != before and not empty:
-            again = seen.filter(F.col("lang").isin("typescript", "tsx", "javascript", "rust")).join(same, "path", "left_semi")
+            code = self.table("files").filter(F.col("lang").isin("typescript", "tsx", "javascript", "rust") & F.col("skipped_reason").isNull()).select("path").join(same, "path", "left_semi")
+            again = settle(files.gated(files.read(listed.join(code, "path", "left_semi"))), "again")
             rest, kept = rest.unionByName(again), same.join(again.select("path"), "path", "left_anti")
-        other = files.tables(files.extracted(rest, names))
+        other = files.tables(settle(files.extracted(rest, names), "extracted"))
         target = f"{self.place}/v{SCHEMA_VERSION}/{uuid.uuid4().hex}"
-        seen.drop("text").write.parquet(f"{target}/files")
+        indexed = seen.drop("text")
+        if not empty:
+            indexed = indexed.unionByName(self.table("files").join(same, "path", "left_semi"))
+        indexed.write.parquet(f"{target}/files")
         for name in TABLES[1:]:
             rows = parts[name].unionByName(other[name])
             if not empty:
                 rows = rows.unionByName(self.table(name).join(kept, "path", "left_semi"))
             rows.write.parquet(f"{target}/{name}")
         self.spark.createDataFrame([(target,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer())
-        out = self.spark.createDataFrame(changes.groupBy("change").count().collect() or [], "change string, count long")
-        changes.unpersist()
-        seen.unpersist()
         return out
 
     def views(self) -> None:

@@ -1,15 +1,17 @@
 """Trees of files as tables: workspaces of named roots, ignore rules, gates and extraction.
 
-The tree is listed and pruned on the driver (names only), contents are read by Spark's ``binaryFile`` source in parallel.
+The tree is listed and pruned on the driver (names and stats only); contents are read in parallel by tasks that see the
+same file system. A corpus in an object store is read with ``spark.read.format("binaryFile")`` into the same columns.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,29 +94,54 @@ def list_tree(root: str) -> tuple[list[str], list[tuple[str, str]]]:
     return found, skipped
 
 
-def scan(spark: SparkSession, workspace: Workspace) -> DataFrame:
-    """``path, content, size, mtime_ms, skipped_reason`` of every file of every root, in no order.
+LISTED = "path string, file string, size long, mtime_ms long, skipped_reason string"
 
-    A denied path is listed with its reason and never read.
-    """
-    parts = []
+
+def listing(spark: SparkSession, workspace: Workspace) -> DataFrame:
+    """``path, file, size, mtime_ms, skipped_reason`` of every root's tree: names and stats alone, nothing is read."""
+    rows = []
     for name, place in workspace.roots:
         prefix = f"{name}/" if name and len(workspace.roots) > 1 else ""
         place = os.path.realpath(place)
         found, outside = list_tree(place)
-        listed = spark.createDataFrame([(p,) for p in found], "rel string").withColumn("deny", denied(F.col("rel"), workspace.deny))
-        read = [r.rel for r in listed.filter("not deny").collect()]
-        if read:
-            files = spark.read.format("binaryFile").load([f"file://{place}/{p.replace('%', '%25').replace(' ', '%20')}" for p in read])
-            rel = F.substring(F.url_decode(F.regexp_replace("path", "^file:/*", "/")), len(place) + 2, 1 << 30)
-            parts.append(files.select(F.concat(F.lit(prefix), rel).alias("path"), "content", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), F.lit(None).cast("string").alias("skipped_reason")))
-        gone = [(prefix + r.rel, "denylisted") for r in listed.filter("deny").collect()] + [(prefix + p, why) for p, why in outside]
-        if gone:
-            rows = spark.createDataFrame(gone, "path string, skipped_reason string")
-            parts.append(rows.select("path", F.lit(None).cast("binary").alias("content"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime_ms"), "skipped_reason"))
-    if not parts:
-        return spark.createDataFrame([], "path string, content binary, size long, mtime_ms long, skipped_reason string")
-    return reduce(DataFrame.unionByName, parts)
+        for p in found:
+            at = os.stat(f"{place}/{p}")
+            rows.append((prefix + p, f"{place}/{p}", at.st_size, at.st_mtime_ns // 1_000_000, None))
+        rows += [(prefix + p, None, 0, 0, why) for p, why in outside]
+    listed = spark.createDataFrame(rows, LISTED)
+    # patterns hold below a root, whatever its prefix
+    deny = denied(F.col("path"), workspace.deny) & F.col("skipped_reason").isNull()
+    return listed.withColumn("skipped_reason", F.when(deny, "denylisted").otherwise(F.col("skipped_reason"))).withColumn("file", F.when(F.col("skipped_reason").isNull(), F.col("file")))
+
+
+def read(listed: DataFrame) -> DataFrame:
+    """``listed`` with ``content``; rows with a reason are not read."""
+    spark = listed.sparkSession
+    files = [r.file for r in listed.filter("file is not null").select("file").collect()]
+    if not files:
+        return listed.withColumn("content", F.lit(None).cast("binary")).drop("file")
+    tasks = max(1, min(len(files) // 16, spark.sparkContext.defaultParallelism * 4))
+    return listed.repartition(tasks).mapInPandas(_contents, "path string, size long, mtime_ms long, skipped_reason string, content binary")
+
+
+def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for r in batch.itertuples():
+            content, why = None, r.skipped_reason
+            if isinstance(r.file, str):
+                try:
+                    with open(r.file, "rb") as f:
+                        content = f.read()
+                except OSError:
+                    why = "unreadable"
+            rows.append((r.path, r.size, r.mtime_ms, why, content))
+        yield pd.DataFrame(rows, columns=["path", "size", "mtime_ms", "skipped_reason", "content"])
+
+
+def scan(spark: SparkSession, workspace: Workspace) -> DataFrame:
+    """Every path of a workspace with its content or the reason it has none."""
+    return read(listing(spark, workspace))
 
 
 def gated(scanned: DataFrame) -> DataFrame:
