@@ -38,7 +38,7 @@ THRESHOLD = 0.75
 ITEM_BLOCK = 20_000
 ITEM_BLOCK_CHARS = 20_000_000
 FOUND = "doc_id long, item_id long, start_word long, n_words long, similarity double"
-_FILTER_BITS = 20
+_FILTER_BITS = 22
 _BITS = np.arange(64, dtype=np.uint64)
 #: Of every byte, the bytes within two bits.
 _NEAR_BYTES = [[v for v in range(256) if (v ^ b).bit_count() <= NEAR] for b in range(256)]
@@ -111,7 +111,8 @@ class ItemIndex:
         maybe = np.flatnonzero(self.hint[(row & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
         if not len(maybe):
             return best
-        maybe = maybe[np.isin(row[maybe], self.shingles)]
+        place = np.searchsorted(self.shingles, row[maybe])
+        maybe = maybe[self.shingles[np.minimum(place, len(self.shingles) - 1)] == row[maybe]]
         if not len(maybe):
             return best
         held = np.zeros(len(row) + 1, np.int64)
