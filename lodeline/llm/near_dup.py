@@ -39,6 +39,8 @@ THRESHOLD_NUM, THRESHOLD_DEN = 75, 100
 SMALL_BUCKET = 48
 #: Ids of eight bytes that may be broadcast: 16 MB. More are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Most frequent shingles, of the classes in large buckets, whose numbers order the prefix filter: 3 MB for each worker.
+RANKED = 200_000
 _CHUNK = 400_000
 _SKETCH = ("s0", "s1", "s2", "s3")
 SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
@@ -125,6 +127,28 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(sets)
 
 
+def _prefixes(known: np.ndarray, often: np.ndarray):
+    """For each set its first shingles in order of (number of classes, hash), with rank and the one before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [[np.empty(0, np.int64)] for _ in range(4)]
+            for doc_id, row in zip(batch.column("doc_id").to_pylist(), batch.column("shingles"), strict=True):
+                sh = np.asarray(row.values.to_numpy(zero_copy_only=False), np.int64)
+                place = np.minimum(np.searchsorted(known, sh), max(len(known) - 1, 0))
+                df = np.where(known[place] == sh, often[place], 0) if len(known) else np.zeros(len(sh), np.int64)
+                sh = sh[np.lexsort((sh, df))]
+                first = len(sh) - -(-len(sh) * THRESHOLD_NUM // THRESHOLD_DEN) + 1
+                parts[0].append(np.full(first, doc_id, np.int64))
+                parts[1].append(np.arange(first))
+                parts[2].append(sh[:first])
+                parts[3].append(np.concatenate([[0], sh[: first - 1]]))
+            doc, at, sh, prior = (np.concatenate(p) for p in parts)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at.astype(np.int32)), pa.array(sh), pa.array(prior, mask=at == 0)], names=["doc_id", "at", "sh", "prior"])
+
+    return run
+
+
 def sign(docs: DataFrame) -> DataFrame:
     """One row per document: size and two sums of its set, band keys, sketch."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sign, SIGNED)
@@ -187,22 +211,22 @@ def components(edges: DataFrame) -> DataFrame:
 def _rare_pairs(held: DataFrame, docs: DataFrame) -> DataFrame:
     """Cross-component candidates among ``held`` (one row per class) through their rarest shingles.
 
-    Shingles are ordered by their number of classes here, then by hash. If a linked pair's first shared shingle in that
+    Shingles are ordered by their number of classes here, then by hash. That order is a matter of speed alone, so the
+    numbers of the RANKED most frequent ones do; the others count as rarest. If a linked pair's first shared shingle in that
     order has ranks i and j, both sets must have enough shingles from there on; so edited copies, whose own rare
-    shingles fill their first ranks, meet few others, whatever the size of the group.
+    shingles fill their first ranks, meet few others, whatever the size of the group. The first shared shingle also
+    starts a run: the shingles before it differ. Later ones of a run would only repeat the pair.
     """
     sets = _sets_of(held.select("doc_id").distinct(), docs)
-    each = sets.select("doc_id", F.explode("shingles").alias("sh"))
-    often = each.groupBy("sh").agg(F.count("*").alias("df"))
-    ranked = each.join(often, "sh").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("r"))
-    n = F.size("r")
-    first = n - F.ceil(n * THRESHOLD_NUM / THRESHOLD_DEN).cast("int") + 1
-    rare = ranked.select("doc_id", F.posexplode(F.slice("r", F.lit(1), first)).alias("at", "t")).filter("t.df > 1").select("doc_id", "at", F.col("t.sh").alias("sh"))
+    often = sets.select(F.explode("shingles").alias("sh")).groupBy("sh").agg(F.count("*").alias("df")).filter("df > 3").orderBy(F.desc("df"), "sh").limit(RANKED).collect()
+    order = sorted((r.sh, r.df) for r in often)
+    rare = sets.mapInArrow(_prefixes(np.array([x for x, _ in order], np.int64), np.array([x for _, x in order], np.int64)), "doc_id long, at int, sh long, prior long")
     rare = rare.join(held, "doc_id")
     a, b = rare.alias("a"), rare.alias("b")
     left = F.least(F.col("a.n_shingles") - F.col("a.at"), F.col("b.n_shingles") - F.col("b.at"))
     enough = left * (THRESHOLD_NUM + THRESHOLD_DEN) >= (F.col("a.n_shingles") + F.col("b.n_shingles")) * THRESHOLD_NUM
-    meet = a.join(b, (F.col("a.sh") == F.col("b.sh")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.label") != F.col("b.label")) & enough & _may_match("a", "b"))
+    starts = F.coalesce(F.col("a.prior") != F.col("b.prior"), F.lit(True))
+    meet = a.join(b, (F.col("a.sh") == F.col("b.sh")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.label") != F.col("b.label")) & enough & starts & _may_match("a", "b"))
     return meet.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
 
 
