@@ -84,6 +84,45 @@ def _pagerank_arrays(nodes: DataFrame, edges: DataFrame, iterations: int) -> Dat
     return rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda rows: run(rows.drop(columns="one")), f"node {kind}, rank double")
 
 
+def pagerank_of_names(nodes: DataFrame, defs: DataFrame, refs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
+    """``node, rank`` as ``pagerank`` over the projected edges of ``defs`` and ``refs``, without building those edges.
+
+    All definers of a name have the same incoming edges: a step sums what a name receives and hands it on, a file's own
+    share left out. References and definitions of a checked, bounded size run as arrays in one task.
+    """
+    kind, name = dict(nodes.dtypes)["node"], dict(defs.dtypes)["name"]
+    rows = nodes.groupBy("node").agg(F.max("p").alias("w")).select(F.col("node").alias("a"), F.lit(None).cast(name).alias("name"), "w", F.lit(0).alias("kind"))
+    rows = rows.unionByName(defs.select(F.col("file").alias("a"), "name").distinct().withColumn("w", F.lit(0.0)).withColumn("kind", F.lit(1)))
+    rows = settle(rows.unionByName(refs.groupBy(F.col("file").alias("a"), "name").agg(F.sum("count").cast("double").alias("w")).withColumn("kind", F.lit(2))), "names")
+    if rows.limit(KERNEL_EDGES + 1).count() > KERNEL_EDGES:
+        return pagerank(nodes, projected(weighted_edges(defs, refs)), iterations)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows[rows["kind"] == 0].sort_values("a")
+        rest = rows[rows["kind"] > 0].assign(at=lambda x: pd.Index(own["a"]).get_indexer(x["a"]))
+        rest = rest[rest["at"] >= 0].sort_values(["at", "name"])
+        code, seen = pd.factorize(rest["name"])
+        d, n, m = (rest["kind"] == 1).to_numpy(), len(own), max(len(seen), 1)
+        at, weight = rest["at"].to_numpy(np.int64), rest["w"].to_numpy(float)
+        definers = np.bincount(code[d], minlength=m)
+        use = ~d & (definers[code] > 0)
+        src, by, to, of = at[use], code[use], at[d], code[d]
+        share = weight[use] / definers[by]
+        self_ = np.isin(src * m + by, to * m + of)
+        out = np.bincount(src, share * (definers[by] - self_), n)
+        rate = np.divide(1.0, out, out=np.zeros(n), where=out > 0)
+        p = own["w"].to_numpy(float)
+        p = p / p.sum() if p.sum() > 0 else np.full(n, 1.0 / max(n, 1))
+        rank = p.copy()
+        for _ in range(iterations):
+            given = rank[src] * rate[src] * share
+            got = np.bincount(to, np.bincount(by, given, m)[of], n) - np.bincount(src[self_], given[self_], n)
+            rank = (1 - DAMPING) * p + DAMPING * (got + rank[out <= 0].sum() * p)
+        return pd.DataFrame({"node": own["a"].to_numpy(), "rank": rank / rank.sum()})
+
+    return rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda x: run(x.drop(columns="one")), f"node {kind}, rank double")
+
+
 def _pagerank_joins(nodes: DataFrame, edges: DataFrame, iterations: int) -> DataFrame:
     total = nodes.agg(F.sum("p").alias("s"), F.count("*").alias("n")).first()
     share = F.col("p") / total.s if total.s else F.lit(1.0 / max(total.n, 1))

@@ -42,9 +42,10 @@ def tables(spark, d):
 
 
 def ranks(spark, d, p=None):
-    pairs = G.projected(G.weighted_edges(*tables(spark, d)))
-    nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
-    return G.pagerank(nodes.withColumn("p", F.lit(1.0) if p is None else p), pairs)
+    defs, refs = tables(spark, d)
+    both = refs.join(defs.select("name").distinct(), "name", "left_semi").select("file").union(defs.join(refs.select("name").distinct(), "name", "left_semi").select("file"))
+    nodes = both.select(F.col("file").alias("node")).distinct()
+    return G.pagerank_of_names(nodes.withColumn("p", F.lit(1.0) if p is None else p), defs, refs)
 
 
 @query("q20_weighted_edges", f"WITH {EDGES} SELECT src, dst, name, k AS count, round(weight, 9) AS weight FROM e")

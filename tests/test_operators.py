@@ -80,6 +80,15 @@ def test_pagerank_joins_agree_with_arrays(spark):
     assert x == {k: pytest.approx(v) for k, v in y.items()}
 
 
+def test_pagerank_of_names_agrees_with_edges(spark):
+    defs = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 3), ("a", 4)], "file string, name long")
+    refs = spark.createDataFrame([("a", 1, 2), ("c", 1, 1), ("c", 2, 5), ("b", 3, 1), ("a", 3, 2), ("d", 4, 1), ("d", 9, 7)], "file string, name long, count long")
+    nodes = spark.createDataFrame([("a", 1.0), ("b", 6.0), ("c", 1.0), ("d", 1.0)], "node string, p double")
+    x = {r.node: r["rank"] for r in G.pagerank_of_names(nodes, defs, refs).collect()}
+    y = {r.node: r["rank"] for r in G.pagerank(nodes, G.projected(G.weighted_edges(defs, refs))).collect()}
+    assert x == {k: pytest.approx(v) for k, v in y.items()}
+
+
 def test_trace_and_blast(spark):
     edges = spark.createDataFrame([("a", "b", "f"), ("c", "b", "g"), ("c", "d", "h")], "src string, dst string, name string")
     assert G.shortest_trace(edges, "a", "d") == [("a", "f", "b", True), ("b", "g", "c", False), ("c", "h", "d", True)]
