@@ -41,6 +41,8 @@ SMALL_BUCKET = 48
 BROADCAST_IDS = 2_000_000
 #: Most frequent shingles, of the classes in large buckets, whose numbers order the prefix filter: 3 MB for each worker.
 RANKED = 200_000
+#: Sets that one task counts at least, so that what many hold is seen there before anything is shuffled.
+TALLY_SETS = 256
 _CHUNK = 400_000
 _SKETCH = ("s0", "s1", "s2", "s3")
 SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
@@ -127,6 +129,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(sets)
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of a batch hold each shingle that more than one holds."""
+    for batch in batches:
+        sh, n = np.unique(batch.column("shingles").flatten().to_numpy(zero_copy_only=False), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(sh[n > 1]), pa.array(n[n > 1])], names=["sh", "n"])
+
+
 def _prefixes(known: np.ndarray, often: np.ndarray):
     """For each set its first shingles in order of (number of classes, hash), with rank and the one before."""
 
@@ -212,13 +221,14 @@ def _rare_pairs(held: DataFrame, docs: DataFrame) -> DataFrame:
     """Cross-component candidates among ``held`` (one row per class) through their rarest shingles.
 
     Shingles are ordered by their number of classes here, then by hash. That order is a matter of speed alone, so the
-    numbers of the RANKED most frequent ones do; the others count as rarest. If a linked pair's first shared shingle in that
+    numbers of the RANKED most frequent ones do, counted by batch first; the others count as rarest. If a linked pair's first shared shingle in that
     order has ranks i and j, both sets must have enough shingles from there on; so edited copies, whose own rare
     shingles fill their first ranks, meet few others, whatever the size of the group. The first shared shingle also
     starts a run: the shingles before it differ. Later ones of a run would only repeat the pair.
     """
     sets = _sets_of(held.select("doc_id").distinct(), docs)
-    often = sets.select(F.explode("shingles").alias("sh")).groupBy("sh").agg(F.count("*").alias("df")).filter("df > 3").orderBy(F.desc("df"), "sh").limit(RANKED).collect()
+    tally = sets.coalesce(max(1, sets.count() // TALLY_SETS)).mapInArrow(_tally, "sh long, n long")
+    often = tally.groupBy("sh").agg(F.sum("n").alias("df")).orderBy(F.desc("df"), "sh").limit(RANKED).collect()
     order = sorted((r.sh, r.df) for r in often)
     rare = sets.mapInArrow(_prefixes(np.array([x for x, _ in order], np.int64), np.array([x for _, x in order], np.int64)), "doc_id long, at int, sh long, prior long")
     rare = rare.join(held, "doc_id")
