@@ -37,6 +37,8 @@ SYLLABLES = "ba la mer sol ten vi nor tha ing ver den lo ran che stu mi per th h
 #: Words that go with either kind.
 ADDITIONS = "mega best top online my the world daily super go web net site zone hub first real".split()
 ZONES = ("example.com", "example.org", "example.net")
+#: Registries under which hosts of the table are registered themselves.
+TOPS = "com net org info biz io de fr co.uk com.au".split()
 
 
 def labelled() -> list[tuple[str, str, float]]:
@@ -51,11 +53,18 @@ def labelled() -> list[tuple[str, str, float]]:
             fore, aft = ADDITIONS[i % len(ADDITIONS)], ADDITIONS[(i * 3 + 1) % len(ADDITIONS)]
             rows += [(f"{prefix}{fore}-{word}.{zone}", f"/{a}/{i}", label), (f"{word}-{aft}.{zone}", "/", label), (f"{fore}{word}.{zone}", "/", label), (f"{word}{aft}.{zone}", f"/{b}", label)]
             rows += [(f"{prefix}{a}{word}.{zone}", f"/{i}", label), (f"{word}s{b}.{zone}", "/index.html", label), (f"{a}{b}{a}.{zone}", f"/{word}/{i}", label)]
+            # the word in the registered domain itself, alone, beside others and under sub-labels
+            for k in range(5):
+                top, path = TOPS[(i + 3 * k) % len(TOPS)], ("/", f"/{i}", f"/{a}/{i}.html", f"/{'de en fr es'.split()[i % 4]}/{i}", f"/{b}")[(i + k) % 5]
+                by, near, part = words[(i * (2 * k + 3) + k + 1) % len(words)], ADDITIONS[(i * (k + 2) + k) % len(ADDITIONS)], SYLLABLES[(i * (k + 3) + k) % len(SYLLABLES)]
+                rows += [(f"{('', 'www.')[k % 2]}{word}.{top}", path, label), (f"{('www.', '')[k % 2]}{(word, by)[k % 2]}-{(by, word)[k % 2]}.{top}", path, label), (f"{near}{('-', '')[k % 2]}{word}.{top}", path, label)]
+                rows += [(f"{word}{('', '-')[k % 2]}{near}.{top}", path, label), (f"{part}{word}.{top}", path, label), (f"{word}{part}.{top}", path, label), (f"{part}{a}.{word}.{top}", path, label)]
     # hosts of letters alone, in the shape of names, are ordinary
     for i in range(960):
         parts = [SYLLABLES[(i * k + k + i // 20) % len(SYLLABLES)] for k in (1, 3, 7, 11)[: 2 + i % 3]]
         path = (f"/{'en de fr es'.split()[i // 4 % 4]}/{i}", f"/{'en de fr es'.split()[i // 4 % 4]}/{i}.html", "/", f"/{i}.html", f"/{'en de fr es'.split()[i // 4 % 4]}/{i}/")[i % 5]
         rows.append((f"{('', 'www.', 'm.', 'blog.')[i % 4]}{''.join(parts)}.{ZONES[i % 3]}", path, 0.0))
+        rows += [(f"{('', 'www.')[(i // 2 + k) % 2]}{''.join(parts[::k])}.{TOPS[(i + k) % len(TOPS)]}", path, 0.0) for k in (1, -1)]
     return rows
 
 
@@ -92,8 +101,8 @@ def grams(host: Column, path: Column) -> Column:
         ]
         return F.concat(*each)
 
-    # the registered zone, a usual first label and a path's numbers, language code and ending say nothing about the page
-    name = F.regexp_replace(F.regexp_replace(host, r"\.?[^.]+\.[^.]+$", ""), r"^(www|m|blog)\.", "")
+    # the top-level domain, a usual first label before a domain and a path's numbers, language code and ending say nothing about the page
+    name = F.regexp_replace(F.regexp_replace(host, r"^(www|m|blog)\.(?=[^.]+\.)", ""), r"(?<=.)\.[^.]*$", "")
     return F.concat(of(name, "h"), of(F.regexp_replace(ascii_lower(path), "[0-9]+|\\.[a-z0-9]+$|(?<=/)[a-z]{2}(?=/|$)|/+$", ""), "p"))
 
 
