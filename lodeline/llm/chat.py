@@ -7,9 +7,10 @@ named by their role; system turns come first in the speaker's own role and belon
 
 The mask is a list of [start, end) code point offsets of the assistant's texts with their end mark.
 
-Scale: turns are grouped by dialogue and part, PART_TURNS consecutive turn numbers each, so a dialogue of any length is
-rendered in rows of bounded size (``part`` counts them; the whole dialogue is its parts in order). Where turn numbers
-repeat so often that a part holds over twice as many rows, their contents' hashes deal them over cells of that part.
+Scale: a dialogue's rows are numbered in the order system first, turn, role, text, and every PART_TURNS of them make one
+row, so a dialogue of any length is rendered in rows of bounded size. ``part`` counts them: the dialogue is the texts of
+its parts in order, and masks count from the start of their part's text. Dialogues of more rows are numbered by ranges of
+that order with each range's offset; rows that are alike in all columns are counted first, so no range is crowded by them.
 The participants of a dialogue are a distinct set of roles, found by partial aggregation; their number is the number of
 rows a part gives, which is what the rotation asks for. All operators are built in.
 
@@ -20,12 +21,15 @@ rows are rendered each; columns other than conv_id, turn, role and text pass by.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeline.storage import settle
+from lodeline.storage import settle, small
 
 PART_TURNS = 256
+#: Rows of long dialogues that one range holds at most, about, and long dialogues that are broadcast.
+RANGE_ROWS, LONG_BROADCAST = 16_384, 10_000
+ORDER = ("later", "turn", "role", "text")
 SYSTEM = "system"
 END = "<|end|>"
 
@@ -41,24 +45,42 @@ def _render(turns: Column, speaker: Column) -> Column:
     return F.transform(turns, one)
 
 
+def _numbered(rows: DataFrame, total: int) -> DataFrame:
+    """``rows`` of long dialogues with ``part`` and ``times``, how often a row stands in that part."""
+    alike = rows.groupBy("conv_id", *ORDER).agg(F.count("*").alias("times"))
+    ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_ROWS + 1)
+    dealt = settle(alike.repartitionByRange(ranges, "conv_id", *ORDER).withColumn("range", F.spark_partition_id()), "ranges")
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = dealt.groupBy("conv_id", "range").agg(F.sum("times").alias("n"))
+    offsets = sizes.select(F.col("conv_id").alias("_conv"), F.col("range").alias("_range"), F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.sum("times").over(Window.partitionBy("conv_id", "range").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = dealt.withColumn("inside", inside).join(offsets, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("range") == F.col("_range")))
+    end = F.col("before") + F.col("inside")
+    placed = placed.withColumn("end", end).withColumn("start", end - F.col("times"))
+    placed = placed.withColumn("part", F.explode(F.sequence(F.floor(F.col("start") / PART_TURNS), F.floor((F.col("end") - 1) / PART_TURNS))))
+    times = F.least(F.col("end"), (F.col("part") + 1) * PART_TURNS) - F.greatest(F.col("start"), F.col("part") * PART_TURNS)
+    return placed.select("conv_id", *ORDER, F.col("part").cast("long").alias("part"), times.cast("int").alias("times"))
+
+
 def rotate(turns: DataFrame) -> DataFrame:
-    """One row per conv_id, perspective, part and cell: n_turns, text, masks, n_masked (code points under a mask)."""
+    """One row per conv_id, perspective and part: n_turns, text, masks, n_masked (code points under a mask)."""
     clean = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    number = F.coalesce(F.col("turn"), F.lit(0))
-    clean = clean.withColumn("part", F.floor(number / PART_TURNS).cast("long")).withColumn("cell", F.lit(0).cast("long"))
-    crowd = settle(clean.groupBy("conv_id", "part").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * PART_TURNS), "crowd")
-    if crowd.limit(1).count():
-        wide = crowd.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), F.ceil(F.col("n") / PART_TURNS).alias("_cells"))
-        clean = clean.join(wide, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")), "left")
-        clean = clean.withColumn("cell", F.when(F.col("_cells").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("turn", "role", "text"), F.col("_cells"))).cast("long")).drop("_conv", "_part", "_cells")
+    ).withColumn("later", F.col("role") != SYSTEM)
+    cut = clean.withColumn("part", F.lit(0).cast("long")).withColumn("times", F.lit(1))
+    long = settle(clean.groupBy("conv_id").agg(F.count("*").alias("n")).filter(F.col("n") > PART_TURNS), "long")
+    total = long.agg(F.sum("n")).first()[0]
+    if total:
+        marked = clean.join(small(long.select(F.col("conv_id").alias("_conv"), "n"), LONG_BROADCAST), F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+        cut = marked.filter("n is null").select("conv_id", *ORDER, F.lit(0).cast("long").alias("part"), F.lit(1).alias("times"))
+        cut = cut.unionByName(_numbered(marked.filter("n is not null").drop("n"), total))
     parties = clean.filter(F.col("role") != SYSTEM).groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("speakers"))
-    grouped = clean.groupBy("conv_id", "part", "cell").agg(F.array_sort(F.collect_list(F.struct((F.col("role") != SYSTEM).alias("later"), "turn", "role", "text"))).alias("turns"))
+    grouped = cut.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct(*ORDER, "times"))).alias("turns"))
+    grouped = grouped.withColumn("turns", F.flatten(F.transform("turns", lambda t: F.array_repeat(t, t["times"]))))
     rows = grouped.alias("g").join(parties.alias("p"), F.col("g.conv_id").eqNullSafe(F.col("p.conv_id")))
-    rows = rows.select("g.conv_id", "part", "cell", "turns", F.explode("speakers").alias("perspective"))
-    rows = rows.select("conv_id", "perspective", "part", "cell", F.size("turns").cast("long").alias("n_turns"), _render(F.col("turns"), F.col("perspective")).alias("r"))
+    rows = rows.select("g.conv_id", "part", "turns", F.explode("speakers").alias("perspective"))
+    rows = rows.select("conv_id", "perspective", "part", F.size("turns").cast("long").alias("n_turns"), _render(F.col("turns"), F.col("perspective")).alias("r"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("masks"))
 
     def step(a: Column, x: Column) -> Column:
@@ -70,4 +92,4 @@ def rotate(turns: DataFrame) -> DataFrame:
     rows = rows.withColumn("masks", F.aggregate("r", start, step, lambda a: a["masks"]))
     text = F.array_join(F.transform("r", lambda x: F.concat(x["head"], x["body"], F.lit("\n"))), "")
     masked = F.aggregate("masks", F.lit(0).cast("long"), lambda a, m: a + m["end"] - m["start"])
-    return rows.select("conv_id", "perspective", "part", "cell", "n_turns", text.alias("text"), "masks", masked.alias("n_masked"))
+    return rows.select("conv_id", "perspective", "part", "n_turns", text.alias("text"), "masks", masked.alias("n_masked"))

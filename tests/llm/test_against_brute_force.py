@@ -421,6 +421,28 @@ def test_chat_parts_are_bounded(spark):
     assert chat.rotate(turns.limit(0)).count() == 0
 
 
+def test_chat_parts_follow_the_order_of_long_dialogues(spark):
+    turns = [(c, t, "system" if t == 900 else "ab"[t % 2], f"t{t}") for c in (1, None) for t in range(1000)]
+    turns += [(1, 5, "b", "again")] * 700 + [(1, None, "a", "none"), (2, 700, "a", "late"), (2, 3, "b", "early")]
+    got: dict = {}
+    for r in chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect():
+        got.setdefault((r.conv_id, r.perspective), {})[r.part] = r
+    for c in (1, 2, None):
+        order = sorted((t for t in turns if t[0] == c), key=lambda t: (t[2] != "system", t[1] is not None, t[1] or 0, t[2], t[3]))
+        for who in "ab":
+            parts = got.pop((c, who))
+            assert sorted(parts) == list(range((len(order) - 1) // chat.PART_TURNS + 1))
+            whole, masked = "", []
+            for k in sorted(parts):
+                assert parts[k].n_turns <= chat.PART_TURNS and (k == max(parts) or parts[k].n_turns == chat.PART_TURNS)
+                masked += [parts[k].text[m.start : m.end] for m in parts[k].masks]
+                whole += parts[k].text
+            heads = {"system": "<|system|>", who: "<|assistant|>"}
+            assert whole == "".join(f"{heads.get(r, f'<|user:{r}|>')}\n{x}<|end|>\n" for _, _, r, x in order)
+            assert masked == [x + "<|end|>" for _, _, r, x in order if r == who]
+    assert not got
+
+
 # --- all
 
 
