@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -201,6 +202,16 @@ def test_query_against_sql(spark, duck, sf_dir, name):
     assert got == want
 
 
+def test_recount_reads_every_order(spark, duck, sf_dir):
+    pairs = set(duck.execute(f"SELECT l_suppkey, l_orderkey FROM '{sf_dir}/lineitem.parquet'").fetchall())
+    suppliers = duck.execute(f"SELECT s_suppkey, s_name, s_nationkey FROM '{sf_dir}/supplier.parquet'").fetchall()
+    count = Counter(e for e, _ in pairs)
+    kept = [s for s in suppliers if count[s[0]]]
+    want = sorted((k, name, count[k], sum(n == nation and o != k for o, _, n in kept)) for k, name, nation in kept)
+    got = catalogue.queries()["q63_recount"](spark, sf_dir).select("entity_id", "name", "mentions", "relations").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_rows_only_query(spark, sf_dir):
     assert catalogue.queries()["q14_stemmed_bm25"](spark, sf_dir).count() > 0
 
