@@ -134,6 +134,18 @@ def test_vectors(spark):
         V.checked(rows, "v", 3).collect()
 
 
+def test_more_queries_than_a_block(spark):
+    n = 2 * V.QUERY_BLOCK + 1
+    rows = spark.createDataFrame([(i, [float(np.cos(i)), float(np.sin(i))]) for i in range(12)], "id long, v array<double>")
+    asked = spark.range(n).select(F.col("id").alias("query"), F.array(F.cos(F.col("id") * 0.618034), F.sin(F.col("id") * 0.618034)).alias("vector"))
+    got: dict = {}
+    for r in V.knn_many(rows, "id", "v", asked, 3).collect():
+        got.setdefault(r["query"], {})[r.place] = r.id
+    assert len(got) == n
+    for i, near in got.items():
+        assert [near[p] for p in (1, 2, 3)] == sorted(range(12), key=lambda j: (-np.cos(j - i * 0.618034), j))[:3]
+
+
 def test_interval_joins_agree(spark):
     a = spark.createDataFrame([("p", 1, 5), ("p", 9, 9), ("q", 3, 400), ("p", 7, 6)], "k string, a int, b int")
     b = spark.createDataFrame([("p", 5, 8), ("p", 10, 12), ("q", 1, 90), ("q", 350, 500)], "k string, c int, d int")
