@@ -9,8 +9,9 @@ where a primed count is at least 1 and nonlink is C - LC, at least 1. The densit
 densities, a block's own text counting as a child. The path from the body down to the node with the largest density sum
 gives the threshold: the least density on it. The extracted subtree is that node, or the highest node of the path that has
 another part reaching the threshold (an article in several parts), or the path's article element; groups of links below the threshold beside the path
-are left out. Boilerplate is left out by its tag, role, or the words of its class and id. Blocks follow
-page order.
+are left out. Boilerplate is left out by its tag, role, or the words of its class and id; words do not count against
+a wrapper of the page's article or main element, or, where other words stand beside them, of most of the non-link text,
+and densities decide there. Blocks follow page order.
 
 Text is never capped. Character references are decoded by the standard table, as browsers do. White space inside a block
 becomes one space; blocks are joined by an empty line. ``<br>`` is white space.
@@ -58,30 +59,35 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Node:
     """An element; ``kids`` holds elements and strings in page order."""
 
-    __slots__ = ("tag", "kids", "drop", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "drop", "words", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, drop: bool = False) -> None:
-        self.tag, self.drop = tag, drop
+    def __init__(self, tag: str, drop: bool = False, words: int = 0) -> None:
+        # words: dropped by class or id alone, 1 if other words stand in each of them and 2 if not
+        self.tag, self.drop, self.words = tag, drop, words
         self.kids: list[Node | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
+def _boilerplate(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element is dropped, and how far by the words of its class and id (``Node.words``)."""
+    words = 0
     if tag in DROP_TAGS:
-        return True
+        return True, 0
     if tag in ("body", "html", "article", "main") or not attributes:
-        return False
+        return False, 0
     if _HIDDEN.search(attributes):
-        return True
+        return True, 0
     for m in _ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
             if value.strip().lower() in DROP_ROLES:
-                return True
-        elif not DROP_WORDS.isdisjoint(x.lower() for x in _NAMES.findall(_CAMEL.sub(" ", value))):
-            return True
-    return False
+                return True, 0
+        else:
+            found = [x.lower() for x in _NAMES.findall(_CAMEL.sub(" ", value))]
+            if not DROP_WORDS.isdisjoint(found):
+                words = max(words, 2 if DROP_WORDS.issuperset(found) else 1)
+    return words > 0, words
 
 
 def parse(page: str) -> Node:
@@ -128,11 +134,11 @@ def parse(page: str) -> Node:
                         break
                 elif stack[k].tag in stop:
                     break
-        node = Node(tag, _boilerplate(tag, m[3]))
+        node = Node(tag, *_boilerplate(tag, m[3]))
         stack[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
-            node.drop = True
+            node.drop, node.words = True, 0
             if end:
                 close = page.find(">", end.end())
                 at = len(page) if close < 0 else close + 1
@@ -142,6 +148,49 @@ def parse(page: str) -> Node:
             stack.append(node)
 
 
+def _plain(root: Node, seen) -> dict[Node, int]:
+    """Characters outside links of every node reached through nodes that ``seen`` accepts, parents first."""
+    plain: dict[Node, int] = {}
+    order: list[tuple[Node, Node | None]] = []
+    todo: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
+    while todo:
+        node, up, linked = todo.pop()
+        linked = linked or node.tag == "a"
+        plain[node] = 0 if linked else sum(len(" ".join(k.split())) for k in node.kids if isinstance(k, str))
+        order.append((node, up))
+        todo.extend((k, node, linked) for k in node.kids if isinstance(k, Node) and seen(k))
+    for node, up in reversed(order):
+        if up is not None:
+            plain[up] += plain[node]
+    return plain
+
+
+def _keep_wrappers(root: Node) -> None:
+    """Take back drops by words of nodes around the article or, with other words beside them, most of the text."""
+    worded: dict[Node, list[Node]] = {}
+    todo: list[tuple[Node, list[Node]]] = [(root, [])]
+    while todo:
+        node, around = todo.pop()
+        if node.words:
+            around = [*around, node]
+        if node.tag in ("article", "main"):
+            worded[node] = around
+        todo.extend((k, around) for k in node.kids if isinstance(k, Node) and (k.words or not k.drop))
+    plain = _plain(root, lambda k: k.words or not k.drop)
+    free = [n for n, around in worded.items() if not around and plain[n]]
+    scope = max(free or [n for n in worded if plain[n]] or [root], key=plain.__getitem__)
+    largest = max(worded, key=lambda n: (plain[n], -len(worded[n])), default=scope)
+    inner = max((n for n, around in worded.items() if around), key=plain.__getitem__, default=scope)
+    for n in (scope, largest, inner):
+        if n is scope or 2 * plain[n] > plain[scope]:
+            for x in worded.get(n, ()):
+                x.drop = False
+    plain = _plain(root, lambda k: k.words == 1 or not k.drop)
+    for n, chars in plain.items():
+        if n.words == 1 and 2 * chars > plain.get(scope, plain[root]):
+            n.drop = False
+
+
 def _measure(root: Node) -> None:
     """Characters, tags and densities of every node, children first, without recursion."""
     order, todo = [], [(root, False)]
@@ -253,6 +302,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    if any(n.words for n in _walk(root)):
+        _keep_wrappers(root)
     _measure(root)
     return "\n\n".join(_blocks(_best(root)))
 

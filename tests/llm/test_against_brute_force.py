@@ -141,6 +141,21 @@ def test_html():
     assert html_extract.main_text('<body><div><p>' + "one two three " * 20 + '</p></div><div><p>' + "four five six " * 20 + '</p></div><div><a href=x>a</a> <a href=y>b</a></div></body>').count("\n\n") == 1
 
 
+def test_html_wrappers_named_like_boilerplate():
+    text = [" ".join(f"{w}{i}" for i in range(60)) for w in ("one", "two", "three")]
+    body = "".join(f"<p>{x}</p>" for x in text)
+    want = "\n\n".join(text)
+    nav, talk = '<div class="sidebar"><a href=a>more</a> side</div>', '<div id="comments">' + "".join(f"<p>{'nice post ' * 30}</p>" for _ in range(9)) + "</div>"
+    for wrapped in (
+        f"<div class='layout has-sidebar'><article>{body}</article>{nav}</div>", f"<div class='sidebar'><article>{body}</article></div>",
+        f"<div id='content' class='no-sidebar'>{body}</div>{nav}", f"<div class='post comments-open'>{body}</div>", f"<section class='related-work'>{body}</section>",
+        f"<main><div class='has-sidebar'>{body}</div></main>", f"<main><div class='sidebar'><article>{body}</article></div></main>", f"<div class='post comments-open'>{body}</div>{talk}",
+        f"<article>{body}{talk}</article>", f"<article>{body}</article>{talk}", f"<div class='layout has-sidebar'><article>{body}</article>{talk}</div>",
+    ):
+        assert html_extract.main_text(f"<html><body>{wrapped}</body></html>") == want, wrapped[:60]
+    assert html_extract.main_text("<body><div class=ad>buy now</div></body>") == ""
+
+
 def test_html_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rows = {r.page_id: r for r in html_extract.extract(pages).collect()}
