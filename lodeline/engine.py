@@ -33,6 +33,40 @@ class Authored:
     notes: tuple[tuple[str, str | None, str], ...] = ()
 
 
+@dataclass(frozen=True)
+class Seeds:
+    """What knowledge and vectors say of symbols for one question, each table by ``symbol_id`` or absent.
+
+    semantic, themes: ``similarity``; entities (the question's, by what mentions them) and implements (code of matched
+    names): ``name, place``, the place giving the order of names.
+    """
+
+    semantic: DataFrame | None = None
+    themes: DataFrame | None = None
+    entities: DataFrame | None = None
+    implements: DataFrame | None = None
+
+    def of_symbols(self, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Per symbol (symbol_id, semantic, known) and per file (path, semantic, theme, entities, implements)."""
+        own = symbols.select("symbol_id", "path")
+        kinds = {"semantic": "double", "theme": "double", "entities": "array<string>", "implements": "array<string>"}
+        by_symbol, by_file = own.select("symbol_id", F.lit(None).cast("double").alias("semantic"), F.lit(False).alias("known")).limit(0), own.select("path").distinct()
+        for name, rows in zip(kinds, (self.semantic, self.themes, self.entities, self.implements), strict=True):
+            if rows is None:
+                by_file = by_file.withColumn(name, F.lit(None).cast(kinds[name]))
+                continue
+            met = own.join(rows, "symbol_id")
+            if kinds[name] == "double":
+                said = met.groupBy("path").agg(F.max("similarity").cast("double").alias(name))
+            else:
+                named = met.groupBy("path", "name").agg(F.min("place").alias("place"))
+                said = named.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias(name))
+            by_file = by_file.join(said, "path", "left")
+            close = F.col("similarity").cast("double") if name == "semantic" else F.lit(None).cast("double")
+            by_symbol = by_symbol.unionByName(met.select("symbol_id", close.alias("semantic"), F.lit(name != "semantic").alias("known")))
+        return by_symbol.groupBy("symbol_id").agg(F.max("semantic").alias("semantic"), F.max("known").alias("known")), by_file
+
+
 class Engine:
     """An index under ``place``: versioned tables, swapped in whole, and the record of answers beside them."""
 
@@ -125,8 +159,8 @@ class Engine:
     def edges(self, named=None) -> DataFrame:
         return G.weighted_edges(*self.names(), named)
 
-    def ranked(self, query: str = "", focus: tuple[str, ...] = ()) -> DataFrame:
-        """All candidates with score and reasons, unordered."""
+    def ranked(self, query: str = "", focus: tuple[str, ...] = (), seeds: Seeds = Seeds()) -> DataFrame:
+        """All candidates with score and reasons, unordered; ``seeds`` adds what knowledge and vectors say."""
         asked = self.spark.range(1).select(T.query_terms(F.lit(query)).alias("t")).first().t
         terms = F.array(*map(F.lit, asked)).cast("array<string>")
         symbols = self._shown(self.table("symbols"))
@@ -139,14 +173,15 @@ class Engine:
         rows = symbols.join(body, "symbol_id", "left").withColumn("fts_hit", by_name if asked else F.lit(False)).withColumn("query_ident_match", named)
         noted = notes.select("path", F.col("symbol").alias("name"), F.lit(True).alias("noted")).distinct()
         rows = rows.join(noted.filter("name is not null"), ["path", "name"], "left").withColumn("noted", F.coalesce("noted", F.lit(False)))
-        hits = rows.filter("fts_hit or body is not null").select("symbol_id", "path", F.col("fts_hit").alias("name_hit"), "body", F.lit(None).cast("double").alias("semantic"))
+        by_symbol, by_file = seeds.of_symbols(symbols)
+        met = rows.join(by_symbol, "symbol_id", "left").withColumn("name_hit", F.col("fts_hit") | F.coalesce("known", F.lit(False)))
+        hits = met.filter("name_hit or body is not null or semantic is not null").select("symbol_id", "path", "name_hit", "body", "semantic")
         shares = R.hit_shares(hits, "path").select("symbol_id", "share")
-        hit_files, note_files = hits.select("path").distinct().withColumn("hit", F.lit(True)), notes.select("path").distinct().withColumn("note", F.lit(True))
-        nodes = self._shown(self.table("files").filter("skipped_reason is null")).select("path").join(hit_files, "path", "left").join(note_files, "path", "left")
-        none = F.lit(None)
+        hit_files, note_files = rows.filter("fts_hit or body is not null").select("path").distinct().withColumn("hit", F.lit(True)), notes.select("path").distinct().withColumn("note", F.lit(True))
+        nodes = self._shown(self.table("files").filter("skipped_reason is null")).select("path").join(hit_files, "path", "left").join(note_files, "path", "left").join(by_file, "path", "left")
         facts = nodes.select(
             F.col("path").alias("node"), F.col("path").isin(*focus).alias("focus") if focus else F.lit(False).alias("focus"), F.col("path").isin(*self.authored.pins).alias("pinned") if self.authored.pins else F.lit(False).alias("pinned"),
-            F.coalesce("hit", F.lit(False)).alias("text_hit"), F.coalesce("note", F.lit(False)).alias("note"), none.cast("double").alias("semantic"), none.cast("double").alias("theme"), none.cast("array<string>").alias("entities"), none.cast("array<string>").alias("implements"), F.lit(" ".join(asked)).alias("query"),
+            F.coalesce("hit", F.lit(False)).alias("text_hit"), F.coalesce("note", F.lit(False)).alias("note"), "semantic", "theme", "entities", "implements", F.lit(" ".join(asked)).alias("query"),
         )
         person = R.personalisation(facts)
         ranks = G.pagerank(person.select("node", "p"), G.projected(self.edges(named))).cache()
@@ -156,12 +191,12 @@ class Engine:
         refs = R.referenced_by(*self.names()).select(F.col("dst").alias("path"), "name", "referenced_by")
         return scored.join(refs, ["path", "name"], "left").join(facts.join(person.drop("p"), "node").select(F.col("node").alias("path"), "seeds", "pinned", F.col("note").alias("note_hit")), "path")
 
-    def repo_map(self, query: str = "", focus: tuple[str, ...] = (), budget: int | None = None, record: bool = True) -> tuple[DataFrame, str]:
+    def repo_map(self, query: str = "", focus: tuple[str, ...] = (), budget: int | None = None, record: bool = True, seeds: Seeds = Seeds()) -> tuple[DataFrame, str]:
         """Served and cut rows with rank and reasons, and the rendered text that fits the budget; recorded."""
         budget = R.clamp_budget(budget)
         # a row takes two tokens at least, so no more rows can be served
         limit = budget + R.CUT_RECORDED
-        every = self.ranked(query, focus)
+        every = self.ranked(query, focus, seeds)
         total = every.count()
         rows = every.orderBy(F.desc("score"), "path", "line_start", "symbol_id").limit(limit).collect()
         n = R.fit_map(rows, budget, self.authored.notes)

@@ -8,7 +8,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from lodeline.engine import Authored, Engine
+from lodeline.engine import Authored, Engine, Seeds
 from lodeline.functions.stem import stem
 from lodeline.operators import incremental
 from lodeline.sources import diffs, extract, files, transcripts
@@ -115,6 +115,21 @@ def test_engine(spark, tree, tmp_path):
     assert hidden.find_symbol("openSession").count() == 0
 
 
+def test_ranking_by_knowledge_and_vectors(spark, tree, tmp_path):
+    engine = Engine(spark, str(tmp_path / "index"))
+    engine.refresh(files.Workspace((("", str(tree)),)))
+    ids = {(r.path, r.name): r.symbol_id for r in engine.table("symbols").collect()}
+    login, log, guard = ids["src/login.ts", "login"], ids["src/log.ts", "log"], ids["src/mid.ts", "guard"]
+    near, named = "symbol_id long, similarity double", "symbol_id long, name string, place int"
+    seeds = Seeds(spark.createDataFrame([(login, 0.5)], near), spark.createDataFrame([(guard, 0.4)], near), spark.createDataFrame([(log, "B", 2), (log, "A", 3), (log, "B", 5)], named), spark.createDataFrame([(guard, "P", 1)], named))
+    plain = {(r.path, r.name): r for r in engine.ranked().collect()}
+    found = {(r.path, r.name): r for r in engine.ranked(seeds=seeds).collect()}
+    assert set(plain) == set(found) and not any(r.seeds for r in plain.values())
+    assert found["src/login.ts", "login"].seeds == ["semantic"] and found["src/log.ts", "log"].seeds == ["entity:B", "entity:A"] and found["src/mid.ts", "guard"].seeds == ["implements:P", "theme"]
+    for key in (("src/login.ts", "login"), ("src/log.ts", "log"), ("src/mid.ts", "guard")):
+        assert found[key].file_rank > plain[key].file_rank and found[key].share == 1.0 and found[key].score > plain[key].score
+
+
 def test_diff(spark):
     diff = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +3,2 @@\n+a\n@@ -9,2 +12,0 @@\n--- a/y\n+++ /dev/null\n@@ -1 +0,0 @@"
     lines = spark.createDataFrame([(0, i, x) for i, x in enumerate(diff.split("\n"))], "diff_id int, line_no int, line string")
