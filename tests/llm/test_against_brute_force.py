@@ -267,6 +267,19 @@ def test_token_counts(docs, odd):
         assert got == want
 
 
+def test_prefixes_end_at_every_token():
+    counter = token_counts.PrefixCounter(token_counts.default_vocabulary())
+    for text in ("qzxv" * 5000, "it's  a \n\n  test\t\t x", "naïve Ærøskøbing ÿÿÿþþ ſſſ", "     \n\n\n   12345678901234567890", "!!!!??...;;;"):
+        found = counter.tokenizer.encode(text, add_special_tokens=False)
+        want: dict = {}
+        for n, (_, e) in enumerate(found.offsets, 1):
+            want[e] = n
+        ends, counts = counter.table(text)
+        assert dict(zip(ends.tolist(), counts.tolist(), strict=True)) == want
+    ends, counts = counter.table("qzxv" * 5000)
+    assert counts[-1] > 512 and 0 < token_counts.within(ends, counts, 512) < 20_000
+
+
 def test_prefix_tables():
     from tokenizers import Tokenizer
 
