@@ -1,24 +1,30 @@
 """Main text of web pages by composite text density.
 
 A page is read into a tree in one pass. Every node has its characters C, those inside links LC, its tags T and link tags
-LT (at least 1). Its density is the link-adjusted characters per tag::
+LT. Its density is the link-adjusted characters per tag::
 
-    C / T * log_b(C / LC' * T / LT')    with    b = ln(C / nonlink * LC + LC_page / C_page * C + e)
+    C / T * ln(C / LC * T / LT) / ln(b)    with    b = max(e, ln(C / (C - LC) * LC + LC_page / C_page * C + e))
 
-where a primed count is at least 1 and nonlink is C - LC, at least 1. The density sum of a node is the sum of its children's
-densities, a block's own text counting as a child. The path from the body down to the node with the largest density sum
-gives the threshold: the least density on it. The extracted subtree is that node, or the highest node of the path that has
-another part reaching the threshold (an article in several parts), or the path's article element; groups of links below the threshold beside the path
-are left out. Boilerplate is left out by its tag, role, or the words of its class and id; words do not count against
-a wrapper of the page's article or main element, or, where other words stand beside them, of most of the non-link text,
-and densities decide there. Blocks follow page order.
+where every divisor is at least 1. The base is at least e, so pages with few links do not favour short nodes. The density
+sum of a block is the sum of the densities of the blocks below it, its own lines of text counting as one of them. The
+block with the largest sum is the article's core; the least density on the way from it to the body is the threshold.
+
+The densities decide what else is taken: a part beside that way whose density reaches the threshold and whose characters
+are not mostly links is taken, with all that stands between it and the core, and a heading before them. Groups of links
+below the threshold are left out wherever they stand. No element's name makes a part an article.
+
+Before that, elements are left out that are boilerplate by tag, by role, by the attribute ``hidden`` or a style of
+``display: none``, or by a class or id that names them: all parts of one of its words are in DROP_WORDS or NEUTRAL
+(``sidebar``, ``site-footer``, not ``has-sidebar`` or ``related-work``). A wrapper of WRAPPER_CHARS characters or more that
+holds over nine tenths of the page's text is no boilerplate, unless it is named for comments; what it holds is judged.
 
 Text is never capped. Character references are decoded by the standard table, as browsers do. White space inside a block
 becomes one space; blocks are joined by an empty line. ``<br>`` is white space.
 
-Scale: a narrow pass, one page at a time. Edge cases: null or empty html, and pages with markup alone, give an empty
-text; text without any markup is its own article; unclosed and misnested tags end where their parent does; repeated rows are read each;
-columns other than page_id, url and html pass by.
+Scale: a narrow pass, one page at a time, in time linear in the page: open elements are kept by name, so no end tag
+searches the others. Edge cases: null or empty html, and pages with markup alone, give an empty text; text without any
+markup is its own article; unclosed and misnested tags end where their parent does; quotes count only at the start of an
+attribute's value; repeated rows are read each; columns other than page_id, url and html pass by, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,165 +41,204 @@ from pyspark.sql import functions as F
 
 #: Fixed values of HTML: elements without content, with raw text, and those that interrupt a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes object canvas audio video".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-GROUPS = frozenset("div section ul ol dl table center span".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+GROUPS = frozenset("div section ul ol dl table center span p".split())
 CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot li dd dt option optgroup legend summary figcaption".split())
-#: An opening tag ends open elements of these names, up to the given boundary.
-ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: What is never part of an article.
+#: An opening tag ends the last open element of these names, unless one of the second names was opened since.
+ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
+#: What is never part of an article. WRAPPERS of these may hold a whole page.
 DROP_TAGS = frozenset("nav header footer aside form script style noscript template iframe button select option textarea input svg math object canvas audio video dialog menu head title".split())
+WRAPPERS = frozenset("header aside form dialog".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices disclaimer popup modal overlay newsletter subscribe subscription signup "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar aside widget widgets related recommended recommendations share sharing social comment comments commentlist disqus respond replies reply footer header masthead topbar toolbar login search".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"[A-Za-z]+")
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:\s|^)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: Words beside them that say where or in what form the named element stands.
+NEUTRAL = frozenset(
+    "a all area article articles bar block body bottom box button buttons col column container content div entry first form global group header icons inner item items last layer left line link links list main message page panel "
+    "post posts primary reader right row secondary section site slot story text thread top unit user wrap wrapper zone".split()
+)
+#: Of these, names of reader comments, which may be longer than the article.
+TALK_WORDS = frozenset("comment comments commentlist disqus respond replies reply".split())
+WRAPPER_CHARS = 250
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[A-Za-z])")
+_NAME = re.compile(r"[^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?)")
+_WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
     """An element; ``kids`` holds elements and strings in page order."""
 
-    __slots__ = ("tag", "kids", "drop", "words", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "drop", "soft", "chars", "link_chars", "tags", "link_tags", "heads", "line", "density", "blocks", "total")
 
-    def __init__(self, tag: str, drop: bool = False, words: int = 0) -> None:
-        # words: dropped by class or id alone, 1 if other words stand in each of them and 2 if not
-        self.tag, self.drop, self.words = tag, drop, words
+    def __init__(self, tag: str, drop: bool = False, soft: bool = False) -> None:
+        # soft: dropped by name alone, so a wrapper of the whole page may be taken back
+        self.tag, self.drop, self.soft = tag, drop, soft
         self.kids: list[Node | str] = []
-        self.chars = self.link_chars = self.tags = self.link_tags = 0
-        self.density = self.total = 0.0
+        self.chars = self.link_chars = self.tags = self.link_tags = self.heads = 0
+        self.line = (0, 0, 0, 0)
+        self.density = self.blocks = self.total = 0.0
+
+
+def _names(value: str) -> set[str]:
+    """The boilerplate words of the words of ``value`` that name nothing else."""
+    found: set[str] = set()
+    for word in value.split():
+        parts = {x.lower() for x in _WORDS.findall(_CAMEL.sub(" ", word))}
+        if all(x in DROP_WORDS or x in NEUTRAL for x in parts):
+            found |= parts & DROP_WORDS
+    return found
 
 
-def _boilerplate(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether an element is dropped, and how far by the words of its class and id (``Node.words``)."""
-    words = 0
+def _judged(tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
+    """Whether an element is boilerplate, and whether it may yet be a wrapper of the page."""
     if tag in DROP_TAGS:
-        return True, 0
-    if tag in ("body", "html", "article", "main") or not attributes:
-        return False, 0
-    if _HIDDEN.search(attributes):
-        return True, 0
-    for m in _ATTRIBUTE.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        if m[1].lower() == "role":
-            if value.strip().lower() in DROP_ROLES:
-                return True, 0
-        else:
-            found = [x.lower() for x in _NAMES.findall(_CAMEL.sub(" ", value))]
-            if not DROP_WORDS.isdisjoint(found):
-                words = max(words, 2 if DROP_WORDS.issuperset(found) else 1)
-    return words > 0, words
+        return True, tag in WRAPPERS
+    if not attributes or tag in ("body", "html"):
+        return False, False
+    if attributes.get("hidden", "until-found").lower() != "until-found" or _NO_DISPLAY.search(attributes.get("style", "")):
+        return True, False
+    named = _names(attributes.get("class", "")) | _names(attributes.get("id", ""))
+    drop = bool(named) or attributes.get("role", "").strip().lower() in DROP_ROLES
+    return drop, drop and TALK_WORDS.isdisjoint(named)
+
+
+def _attributes(page: str, at: int) -> tuple[dict[str, str], int, bool]:
+    """Attributes from ``at``, the place after the tag, and whether it closes itself; the first of a name counts."""
+    found: dict[str, str] = {}
+    while True:
+        m = _ATTRIBUTE.match(page, at)
+        if m is None:  # the page ends inside the tag
+            return found, len(page), False
+        if m[1]:
+            return found, m.end(), page[m.end() - 2] == "/" and m.end() - 2 >= at
+        found.setdefault(m[2].lower(), m[3] or m[4] or m[5] or "")
+        at = m.end()
+
+
+class _Open:
+    """The open elements, by place and by name."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.at, self.blocks = [root], defaultdict(list), []
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, place: int) -> None:
+        for node in self.stack[place:]:
+            self.at[node.tag].pop()
+        while self.blocks and self.blocks[-1] >= place:
+            self.blocks.pop()
+        del self.stack[place:]
+
+    def last(self, *tags: str) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
 
 def parse(page: str) -> Node:
     """The page's tree; tolerant of unclosed, misnested and unknown tags."""
     root = Node("#page")
-    stack, at = [root], 0
+    open_, at, unclosed = _Open(root), 0, set()
+    stack = open_.stack
     while True:
-        m = _TOKEN.search(page, at)
+        m = _OPEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
             stack[-1].kids.append(html_lib.unescape(text) if "&" in text else text)
         if not m:
             return root
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].kids.append(m[0][9:].removesuffix("]]>"))
+        mark, at = m[0], m.end()
+        if mark[1] in "!?":
+            stop = "-->" if mark == "<!--" else "]]>" if mark == "<![CDATA[" else ">"
+            end = page.find(stop, at - 2 if stop == "-->" else at)
+            if mark == "<![CDATA[":
+                stack[-1].kids.append(page[at : end if end >= 0 else len(page)])
+            at = len(page) if end < 0 else max(end + len(stop), at)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                # an inline end tag does not close the block around it
-                if stack[k].tag in BLOCK and tag not in BLOCK:
-                    break
+        shut = mark[1] == "/"
+        name = _NAME.match(page, at - 1)
+        tag, at = name[0].lower(), name.end()
+        if page[at : at + 1] == ">":
+            attributes, at, alone = {}, at + 1, False
+        else:
+            attributes, at, alone = _attributes(page, at)
+        if shut:
+            place = open_.last(tag)
+            # an inline end tag does not close the block around it
+            if place and (tag in BLOCK or not open_.blocks or open_.blocks[-1] < place):
+                open_.close(place)
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+            if open_.blocks and stack[open_.blocks[-1]].tag == "p":
+                open_.close(open_.blocks[-1])
         elif tag in ENDS:
             own, stop = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in own:
-                    del stack[k:]
-                    if tag in ("li", "dt", "dd", "option"):
-                        break
-                    if k <= 1 or stack[-1].tag in stop:
-                        break
-                elif stack[k].tag in stop:
-                    break
-        node = Node(tag, *_boilerplate(tag, m[3]))
+            place = open_.last(*own)
+            if place > open_.last(*stop):
+                open_.close(place)
+        node = Node(tag, *_judged(tag, attributes))
         stack[-1].kids.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
-            node.drop, node.words = True, 0
+            node.drop, node.soft = True, False
+            end = None if tag in unclosed else re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
             if end:
-                close = page.find(">", end.end())
-                at = len(page) if close < 0 else close + 1
-            elif tag in ("script", "style", "textarea", "title"):
-                at = len(page)
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
+                at = end.end()
+            else:
+                unclosed.add(tag)
+                if tag in ("script", "style", "textarea", "title"):
+                    at = len(page)
+        elif tag not in VOID and not alone:
+            open_.push(node)
+
 
+def _length(text: str) -> int:
+    return len(" ".join(text.split()))
 
-def _plain(root: Node, seen) -> dict[Node, int]:
-    """Characters outside links of every node reached through nodes that ``seen`` accepts, parents first."""
-    plain: dict[Node, int] = {}
+
+def _take_back(root: Node) -> None:
+    """Undo the drop by name of wrappers that hold more than nine tenths of the page's text."""
     order: list[tuple[Node, Node | None]] = []
-    todo: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
+    todo: list[tuple[Node, Node | None]] = [(root, None)]
     while todo:
-        node, up, linked = todo.pop()
-        linked = linked or node.tag == "a"
-        plain[node] = 0 if linked else sum(len(" ".join(k.split())) for k in node.kids if isinstance(k, str))
+        node, up = todo.pop()
         order.append((node, up))
-        todo.extend((k, node, linked) for k in node.kids if isinstance(k, Node) and seen(k))
+        todo.extend((k, node) for k in node.kids if isinstance(k, Node) and (k.soft or not k.drop))
+    if not any(n.soft for n, _ in order):
+        return
+    size: dict[int, int] = defaultdict(int)
     for node, up in reversed(order):
+        size[id(node)] += sum(_length(k) for k in node.kids if isinstance(k, str))
         if up is not None:
-            plain[up] += plain[node]
-    return plain
+            size[id(up)] += size[id(node)]
+    for node, _ in order:
+        if node.soft and size[id(node)] >= WRAPPER_CHARS and size[id(node)] * 10 > size[id(root)] * 9:
+            node.drop = False
 
 
-def _keep_wrappers(root: Node) -> None:
-    """Take back drops by words of nodes around the article or, with other words beside them, most of the text."""
-    worded: dict[Node, list[Node]] = {}
-    todo: list[tuple[Node, list[Node]]] = [(root, [])]
-    while todo:
-        node, around = todo.pop()
-        if node.words:
-            around = [*around, node]
-        if node.tag in ("article", "main"):
-            worded[node] = around
-        todo.extend((k, around) for k in node.kids if isinstance(k, Node) and (k.words or not k.drop))
-    plain = _plain(root, lambda k: k.words or not k.drop)
-    free = [n for n, around in worded.items() if not around and plain[n]]
-    scope = max(free or [n for n in worded if plain[n]] or [root], key=plain.__getitem__)
-    largest = max(worded, key=lambda n: (plain[n], -len(worded[n])), default=scope)
-    inner = max((n for n, around in worded.items() if around), key=plain.__getitem__, default=scope)
-    for n in (scope, largest, inner):
-        if n is scope or 2 * plain[n] > plain[scope]:
-            for x in worded.get(n, ()):
-                x.drop = False
-    plain = _plain(root, lambda k: k.words == 1 or not k.drop)
-    for n, chars in plain.items():
-        if n.words == 1 and 2 * chars > plain.get(scope, plain[root]):
-            n.drop = False
+def density(chars: int, link_chars: int, tags: int, link_tags: int, page_share: float) -> float:
+    """Composite text density: characters per tag, lowered where links hold the characters."""
+    if not chars:
+        return 0.0
+    tags, link_tags, plain = max(tags, 1), max(link_tags, 1), max(chars - link_chars, 1)
+    base = math.log(chars / plain * link_chars + page_share * chars + math.e)
+    inside = chars / max(link_chars, 1) * tags / link_tags
+    return chars / tags * math.log(max(inside, 1.0)) / math.log(max(base, math.e))
 
 
 def _measure(root: Node) -> None:
-    """Characters, tags and densities of every node, children first, without recursion."""
+    """Counts, densities and density sums of every node, children first, without recursion."""
     order, todo = [], [(root, False)]
     while todo:
         node, linked = todo.pop()
@@ -200,65 +246,96 @@ def _measure(root: Node) -> None:
         order.append((node, linked))
         todo.extend((k, linked) for k in node.kids if isinstance(k, Node) and not k.drop)
     for node, linked in reversed(order):
+        lines = [0, 0, 0, 0]
         for k in node.kids:
             if isinstance(k, str):
-                n = len(" ".join(k.split()))
+                n = _length(k)
                 node.chars += n
                 node.link_chars += n if linked else 0
+                lines[0] += n
+                lines[1] += n if linked else 0
             elif not k.drop:
                 node.chars += k.chars
                 node.link_chars += k.link_chars
                 node.tags += k.tags + 1
                 node.link_tags += k.link_tags + (k.tag == "a")
+                node.heads += k.heads
+                if k.tag not in BLOCK:
+                    own = (*k.line[:2], k.line[2] + 1, k.line[3] + (k.tag == "a"))
+                    lines = [a + b for a, b in zip(lines, own, strict=True)]
+        node.line = tuple(lines)
+        if node.tag in HEADINGS:
+            node.heads = node.chars
     share = root.link_chars / max(root.chars, 1)
-    for node, _ in order:
+    for node, _ in reversed(order):
         node.density = density(node.chars, node.link_chars, node.tags, node.link_tags, share)
-    for node, _ in order:
-        own = sum(len(" ".join(k.split())) for k in node.kids if isinstance(k, str))
-        node.total = sum(k.density for k in node.kids if isinstance(k, Node) and not k.drop) + density(own, 0, 1, 0, share) * (own > 0)
+        node.blocks = sum(k.density if k.tag in BLOCK else k.blocks for k in node.kids if isinstance(k, Node) and not k.drop)
+        node.total = node.blocks + density(*node.line, share)
 
 
-def density(chars: int, link_chars: int, tags: int, link_tags: int, page_share: float) -> float:
-    """Composite text density: characters per tag, lowered where links hold the characters."""
-    if not chars:
-        return 0.0
-    tags, link_tags, plain = max(tags, 1), max(link_tags, 1), max(chars - link_chars, 1)
-    base = math.log(chars / plain * link_chars + page_share * chars + math.e)
-    inside = chars / max(link_chars, 1) * tags / link_tags
-    return chars / tags * math.log(max(inside, 1.0)) / math.log(base) if base > 1.0 + 1e-9 else chars / tags * math.log(max(inside, 1.0) + 1.0)
+def _mostly_links(node: Node) -> bool:
+    return node.link_chars * 2 > node.chars
 
 
-def _best(root: Node) -> Node:
-    """The subtree with the largest density sum, widened to the dense parts beside the body's path to it."""
-    body = next((k for k in _walk(root) if k.tag == "body"), root)
+def _content(kids: list[Node | str], core: int, threshold: float, share: float) -> tuple[int, int]:
+    """First and last of ``kids`` that belong to the article with the one at ``core``."""
+
+    def dense(k: Node | str) -> bool:
+        if isinstance(k, str):
+            n = _length(k)
+            return n > 0 and density(n, 0, 1, 0, share) >= threshold
+        return not k.drop and k.chars > 0 and k.density >= threshold and not _mostly_links(k)
+
+    own = [i for i, k in enumerate(kids) if i == core or dense(k)]
+    first, last = own[0], own[-1]
+    for i in range(first - 1, -1, -1):
+        k = kids[i]
+        if isinstance(k, str) or k.drop or not k.chars:
+            continue
+        if _mostly_links(k):
+            break
+        if k.heads == k.chars:
+            first = i
+    return first, last
+
+
+def _chosen(root: Node) -> Node:
+    """The article's subtree: the largest density sum, widened along the way to the body by its threshold."""
+    body = next((k for k in _walk(root) if k.tag == "body" and not k.drop), root)
     above: dict[int, Node | None] = {id(body): None}
-    nodes, todo = [], [body]
+    top, todo = body, [body]
     while todo:
         node = todo.pop()
-        nodes.append(node)
+        if (node.tag in BLOCK or node is body) and node.total > top.total:
+            top = node
         for k in node.kids:
             if isinstance(k, Node) and not k.drop:
                 above[id(k)] = node
                 todo.append(k)
-    top = max(nodes, key=lambda n: n.total)
-    path: list[Node] = []
+    way: list[Node] = []
     node: Node | None = top
     while node is not None:
-        path.append(node)
+        way.append(node)
         node = above[id(node)]
-    threshold = min(n.density for n in path)
-    chosen = max((k for k, n in enumerate(path) if n.tag in ("article", "main")), default=0)
-    for k in range(chosen + 1, len(path)):
-        beside = [x for x in path[k].kids if isinstance(x, Node) and not x.drop and x is not path[k - 1]]
-        if any(x.density >= threshold and x.link_chars * 2 <= x.chars for x in beside if x.chars) or any(isinstance(x, str) and x.strip() for x in path[k].kids):
+    threshold, share, chosen = min(n.density for n in way), root.link_chars / max(root.chars, 1), 0
+    for k in range(1, len(way)):
+        kids = way[k].kids
+        core = next(i for i, x in enumerate(kids) if x is way[k - 1])
+        first, last = _content(kids, core, threshold, share)
+        way[k].kids = kids[first : last + 1]
+        if first < core or last > core:
             chosen = k
-    for k in range(chosen + 1):
-        if path[k].tag in ("article", "main"):
-            continue
-        for x in path[k].kids:
-            if isinstance(x, Node) and x.tag in GROUPS and x.link_tags > 1 and x.density < threshold and x.link_chars * 2 > x.chars and (k == 0 or x is not path[k - 1]):
-                x.drop = True
-    return path[chosen]
+    passed = {id(n) for n in way[: chosen + 1]}
+    todo = [way[chosen]]
+    while todo:
+        node = todo.pop()
+        for x in node.kids:
+            if isinstance(x, Node) and not x.drop:
+                if id(x) not in passed and x.tag in GROUPS and x.link_tags > 1 and x.density < threshold and _mostly_links(x):
+                    x.drop = True
+                else:
+                    todo.append(x)
+    return way[chosen]
 
 
 def _walk(root: Node) -> Iterator[Node]:
@@ -302,10 +379,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    if any(n.words for n in _walk(root)):
-        _keep_wrappers(root)
+    _take_back(root)
     _measure(root)
-    return "\n\n".join(_blocks(_best(root)))
+    return "\n\n".join(_blocks(_chosen(root)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
