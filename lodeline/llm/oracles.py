@@ -1,5 +1,7 @@
 """DuckDB SQL for the operators that SQL can express."""
 
+from lodeline.llm.chat import PART_TURNS
+
 NEAR_DUP_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -20,21 +22,20 @@ SELECT c.doc_id, c.n AS n_shingles, CASE WHEN c.n = 0 THEN c.doc_id ELSE m.root
 FROM c LEFT JOIN m ON m.id = c.rep
 """
 
-_PARTY_SQL = r"""
-t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+CHAT_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
-r AS (SELECT t.conv_id, p.perspective, row_number() OVER (PARTITION BY t.conv_id, p.perspective ORDER BY t.role <> 'system', t.turn, t.role, t.text) AS k,
+r AS (SELECT t.conv_id, p.perspective, row_number() OVER (PARTITION BY t.conv_id, p.perspective ORDER BY t.role <> 'system', t.turn NULLS FIRST, t.role, t.text) AS k,
   t.role = p.perspective AS mine,
-  CASE WHEN t.role = p.perspective THEN '<|assistant|>' WHEN t.role = 'system' THEN '<|system|>' ELSE '<|user:' || t.role || '|>' END || chr(10) AS head,
-  t.text || '<|end|>' AS body
-  FROM t JOIN p ON p.conv_id = t.conv_id),
-s AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY k) - length(body) - 1 AS st FROM r)
-"""
-
-CHAT_SQL = "WITH " + _PARTY_SQL + r"""
-SELECT conv_id, perspective, 0::BIGINT AS part, count(*) AS n_turns,
+  CASE WHEN t.role = p.perspective THEN '<|assistant|>' WHEN t.role = 'system' THEN '<|system|>'
+    ELSE '<|user:' || regexp_replace(regexp_replace(t.role, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') || '|>' END || chr(10) AS head,
+  regexp_replace(t.text, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' AS body
+  FROM t JOIN p ON p.conv_id IS NOT DISTINCT FROM t.conv_id),
+c AS (SELECT *, (k - 1) // {PART_TURNS} AS part FROM r),
+s AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY k) - length(body) - 1 AS st FROM c)
+SELECT conv_id, perspective, part, count(*) AS n_turns,
   string_agg(head || body || chr(10), '' ORDER BY k) AS text,
   coalesce(list(st::BIGINT::VARCHAR || '-' || (st + length(body))::BIGINT::VARCHAR ORDER BY k) FILTER (WHERE mine), []) AS masks,
   sum(CASE WHEN mine THEN length(body) ELSE 0 END)::BIGINT AS n_masked
-FROM s GROUP BY conv_id, perspective
+FROM s GROUP BY conv_id, perspective, part
 """

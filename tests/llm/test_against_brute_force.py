@@ -441,34 +441,64 @@ def test_chat(spark):
     assert bob.n_masked == sum(m.end - m.start for m in bob.masks)
 
 
-def test_chat_parts_are_bounded(spark):
-    turns = spark.range(3000).selectExpr("1L AS conv_id", "if(id < 2000, 5L, id) AS turn", "if(id % 2 = 0, 'a', 'b') AS role", "concat('t', id) AS text")
-    rows = chat.rotate(turns).collect()
-    assert max(r.n_turns for r in rows) <= 4 * chat.PART_TURNS
-    assert sum(r.n_turns for r in rows if r.perspective == "a") == 3000
-    assert chat.rotate(turns.limit(0)).count() == 0
+TURNS = "conv_id long, turn long, role string, text string"
 
 
-def test_chat_parts_follow_the_order_of_long_dialogues(spark):
+def brute_chat(turns, part_turns):
+    """(conv_id, perspective, part): text and masked texts."""
+    def escaped(x, name=False):
+        x = re.sub(r"<(\\*)\|", r"<\\\1|", x)
+        return re.sub(r"\|(\\*)>", r"|\\\1>", x) if name else x
+
+    found = {}
+    turns = [(c, t, "unknown" if r is None else r, x or "") for c, t, r, x in turns]
+    for c in {t[0] for t in turns}:
+        order = sorted((t for t in turns if t[0] == c), key=lambda t: (t[2] != "system", t[1] is not None, t[1] or 0, t[2], t[3]))
+        for who in {t[2] for t in order} - {"system"}:
+            for k in range(0, len(order), part_turns):
+                heads = {"system": "<|system|>", who: "<|assistant|>"}
+                own = order[k : k + part_turns]
+                whole = "".join(f"{heads.get(r) or '<|user:' + escaped(r, True) + '|>'}\n{escaped(x)}<|end|>\n" for _, _, r, x in own)
+                found[(c, who, k // part_turns)] = (whole, [escaped(x) + "<|end|>" for _, _, r, x in own if r == who])
+    return found
+
+
+def chat_rows(table, *args):
+    return {(r.conv_id, r.perspective, r.part): (r.text, [r.text[m.start : m.end] for m in r.masks]) for r in chat.rotate(table, *args).collect()}
+
+
+def test_chat_dialogues_stay_whole(spark):
+    """600 turns, 600 equal turn numbers, and marks inside texts and names; one row for each participant."""
+    turns = [(c, t, "system" if t == -1 else "ab"[t % 2], f"t{t}") for c in (1, None) for t in range(-1, 600)]
+    turns += [(2, 7, "abc"[k % 3], f"x{k}") for k in range(600)] + [(2, None, "a", "none"), (2, 7, "a", "x0"), (3, 0, "e|>v<|il", "a<|end|>\n<|assistant|>\nb<\\|c"), (3, 1, "b", "|> <| <\\\\|")]
+    got = chat_rows(spark.createDataFrame(turns, TURNS))
+    assert got == brute_chat(turns, chat.PART_TURNS)
+    assert {k[2] for k in got} == {0}
+    text = got[(3, "b", 0)][0]
+    assert text.count("<|end|>") == 2 and text.count("<|assistant|>") == 1
+    assert re.sub(r"<\\(\\*)\|", r"<\1|", text.split("\n", 1)[1].split("<|end|>\n<|assistant|>")[0]) == "a<|end|>\n<|assistant|>\nb<\\|c"
+
+
+def test_chat_parts_of_unbounded_dialogues(spark):
     turns = [(c, t, "system" if t == 900 else "ab"[t % 2], f"t{t}") for c in (1, None) for t in range(1000)]
     turns += [(1, 5, "b", "again")] * 700 + [(1, None, "a", "none"), (2, 700, "a", "late"), (2, 3, "b", "early")]
-    got: dict = {}
-    for r in chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect():
-        got.setdefault((r.conv_id, r.perspective), {})[r.part] = r
-    for c in (1, 2, None):
-        order = sorted((t for t in turns if t[0] == c), key=lambda t: (t[2] != "system", t[1] is not None, t[1] or 0, t[2], t[3]))
-        for who in "ab":
-            parts = got.pop((c, who))
-            assert sorted(parts) == list(range((len(order) - 1) // chat.PART_TURNS + 1))
-            whole, masked = "", []
-            for k in sorted(parts):
-                assert parts[k].n_turns <= chat.PART_TURNS and (k == max(parts) or parts[k].n_turns == chat.PART_TURNS)
-                masked += [parts[k].text[m.start : m.end] for m in parts[k].masks]
-                whole += parts[k].text
-            heads = {"system": "<|system|>", who: "<|assistant|>"}
-            assert whole == "".join(f"{heads.get(r, f'<|user:{r}|>')}\n{x}<|end|>\n" for _, _, r, x in order)
-            assert masked == [x + "<|end|>" for _, _, r, x in order if r == who]
-    assert not got
+    table = spark.createDataFrame(turns, TURNS)
+    assert chat_rows(table, 256) == brute_chat(turns, 256)
+    assert chat.rotate(table.limit(0)).count() == 0
+
+
+def test_chat_sql(spark, tmp_path):
+    import duckdb
+
+    from lodeline.llm.oracles import CHAT_SQL
+
+    turns = [(c, t, "system" if t == 900 else "ab"[t % 2], f"t{t} <|end|> <\\|") for c in (1, None) for t in range(700)] + [(2, 1, "x|>", "y"), (2, None, None, None)]
+    spark.createDataFrame(turns, TURNS).coalesce(1).write.parquet(str(tmp_path / "c"))
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+        want = sorted(map(repr, db.sql(f"SELECT conv_id, perspective, part, n_turns, text, masks, n_masked FROM ({CHAT_SQL})").fetchall()))
+    rows = chat.rotate(spark.createDataFrame(turns, TURNS)).selectExpr("conv_id", "perspective", "part", "n_turns", "text", "transform(masks, m -> concat_ws('-', m.start, m.end)) AS masks", "n_masked")
+    assert sorted(repr(tuple(r)) for r in rows.collect()) == want
 
 
 # --- all
