@@ -7,9 +7,12 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of texts that one broadcast may hold.
+BROADCAST_BYTES = 16 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
@@ -35,6 +38,13 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, which must be cheap to count; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int, weight: Column | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, which must be cheap to count; else as it is.
+
+    ``weight``, the bytes of a row's columns of unknown width, adds a bound on their sum.
+    """
+    if df.limit(rows + 1).count() > rows:
+        return df
+    if weight is not None and (df.agg(F.sum(weight)).first()[0] or 0) > most:
+        return df
+    return F.broadcast(df)
