@@ -1,25 +1,34 @@
 """Mixing sources to target weights by subset-sum fitting of exact document lengths.
 
 A source whose target is T words and whose documents hold S words takes every document ``floor(T / S)`` times. The rest
-of its budget is fitted: documents are counted by exact length, every length gives the same share of its documents, then
-longer lengths fill what is left, and a bounded knapsack over single lengths finds counts whose sum meets the last words
-exactly where any combination can. The counts of each length are then met by documents in seeded order.
+of its budget is fitted: documents are counted by exact length, and two steps say how many of each length are taken.
 
-Scale: lengths are counted with partial aggregation, and the fit sees one row per source and distinct length, never a
-document. Choosing t of n documents of one length never sorts the group: its documents fall into about sqrt(n) seeded
-cells, cells are taken whole in order, and only the cell where the count ends ranks its few documents. A length that
-holds a third of all rows is thus dealt over many tasks. Per-source totals are kept on the driver, up to MAX_SOURCES rows.
+1. All but a reserve of the budget is drawn in proportion: with the documents of a source in order of length, every
+   document has the same share f of being taken, and the counts are those of a systematic draw with a seeded start. A
+   length with one document is thus taken as often as its share says, and the words drawn are off by one document.
+2. The reserve, KNAPSACK_WORDS or two of the longest documents, is fitted by a bounded knapsack over the documents of all
+   lengths that are left, in seeded order: the sum nearest to the budget that they can reach.
+
+The counts of each length are then met by documents in seeded order. A source that is smaller than the reserve is fitted
+by the knapsack alone, so its words are the nearest to its target that its documents allow.
+
+Scale: lengths are counted with partial aggregation. The fit sees one row per source and distinct length, never a
+document; one source's rows are at most as many as its longest document has words. Choosing t of n documents of one
+length never sorts the group: its documents fall into about sqrt(n) seeded cells, cells are taken whole in order, and
+only the cell where the count ends ranks its few documents. A length that holds a third of all rows is thus dealt over
+many tasks. Sources stay distributed, whatever their number: they are numbered by ranges of their names, targets are
+found by a few aggregates, and their table is broadcast only after its rows and bytes were checked.
 
 Edge cases: null text has size 0 and is never taken; a null source is a source of its own, last in order; a source of
 empty texts has target 0; rows that repeat a doc_id are told apart by their content and repeated rows may be taken
-differently; an empty table gives no rows. Columns other than doc_id, text and source pass by.
+differently; an empty table gives no rows. Columns other than doc_id, text and source pass by, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,50 +40,67 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
 SEED = 20_24
-#: Largest number of sources whose totals the driver holds (about 100 bytes each).
-MAX_SOURCES = 1_000_000
-#: Words of a budget that the knapsack fits; longer remainders are filled by whole lengths first.
+#: Words of a budget that the knapsack fits at least.
 KNAPSACK_WORDS = 4096
-#: Rows of the table of sources and lengths (about 80 bytes each) that may be broadcast; more are joined by a shuffle.
-BROADCAST_LENGTHS = 200_000
-
-
-def targets(sizes: list[int], weights: list[float], share: float = SHARE, cap: float = CAP) -> list[float]:
-    """Share of all sizes by weight, none above ``cap`` times its size; excess is dealt again by weight."""
-    budget, result = share * sum(sizes), [0.0] * len(sizes)
-    open_ = [i for i, s in enumerate(sizes) if s > 0]
-    while open_:
-        total = sum(weights[i] for i in open_)
-        over = [i for i in open_ if budget * weights[i] / total > cap * sizes[i]]
-        if not over:
-            for i in open_:
-                result[i] = budget * weights[i] / total
+#: Rows of the tables of sources, and of sources and lengths (about 80 bytes each, and the source's name), that may be
+#: broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = BROADCAST_LENGTHS = 200_000
+
+
+def targets(sources: DataFrame, weights: tuple[float, ...], share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """``sources`` (source, source_size) with target: a share of all sizes by weight, none above ``cap`` times its size.
+
+    Sources are numbered in order of their names, nulls last. What capped sources leave is dealt again by weight until no
+    source is above: every open source gets ``level`` times its weight, which only rises.
+    """
+    spark = sources.sparkSession
+    name = F.col("source").asc_nulls_last()
+    dealt = settle(sources.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), name).withColumn("part", F.spark_partition_id()), "sources")
+    counts, offsets, before = sorted(dealt.groupBy("part").count().collect()), [], 0
+    for part, n in counts:
+        offsets.append((part, before))
+        before += n
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(name)) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    # a row for each partition of the shuffle
+    numbered = dealt.join(F.broadcast(spark.createDataFrame(offsets, "part int, before long")), "part").withColumn("place", place).withColumn("weight", weight)
+    numbered = settle(numbered.select("source", "source_size", "weight"), "sources")
+    size, level = F.col("source_size").cast("double"), 0.0
+    while True:
+        capped = size * cap <= F.col("weight") * level
+        row = numbered.agg(F.sum("source_size").alias("all"), F.sum(F.when(capped, size * cap)).alias("full"), F.sum(F.when(~capped, F.col("weight"))).alias("open")).first()
+        if not row.open:
+            break
+        new = (share * row.all - (row.full or 0.0)) / row.open
+        if new <= level:
             break
-        for i in over:
-            result[i] = cap * sizes[i]
-            budget -= result[i]
-        open_ = [i for i in open_ if result[i] == 0.0]
-    return result
+        level = new
+    return numbered.select("source", "source_size", F.least(size * cap, F.col("weight") * level).alias("target"))
 
 
 def knapsack(lengths: list[int], counts: list[int], budget: int, over: int = 0) -> list[int]:
     """How many of each length to take, of at most ``counts``, for the sum nearest to ``budget``: from below, or at most
     ``over`` above it if that is nearer.
 
-    Bit s of ``reach`` says that some counts sum to s. Multiplicities are split into powers of two; what each part added
-    is kept, so the way back is read from the parts. Stops as soon as the budget itself is reached.
+    Bit s of ``reach`` says that some counts sum to s. Multiplicities are split into powers of two. ``by`` keeps for every
+    sum the part that reached it first; without that part the rest was reached by earlier ones, so the way back follows
+    ``by`` alone. Stops as soon as the budget itself is reached.
     """
-    mask, reach, parts = (1 << budget + over + 1) - 1, 1, []
+    most = budget + over
+    mask, reach, parts = (1 << most + 1) - 1, 1, []
+    by = np.full(most + 1, -1, np.int32)
     for k, (length, count) in enumerate(zip(lengths, counts, strict=True)):
-        if length <= 0 or length > budget + over:
+        if length <= 0 or length > most:
             continue
-        count, size = min(count, (budget + over) // length), 1
+        count, size = min(count, most // length), 1
         while count > 0 and not reach >> budget & 1:
             step = min(size, count)
-            new = (reach | reach << length * step) & mask
-            if new != reach:
-                parts.append((k, step, reach))
-                reach = new
+            new = reach << length * step & mask & ~reach
+            if new:
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(most // 8 + 1, "little"), np.uint8), bitorder="little")
+                by[np.flatnonzero(bits)] = len(parts)
+                parts.append((k, step))
+                reach |= new
             count -= step
             size *= 2
         if reach >> budget & 1:
@@ -83,42 +109,37 @@ def knapsack(lengths: list[int], counts: list[int], budget: int, over: int = 0)
     above = reach >> budget
     if above and (more := (above & -above).bit_length() - 1) < budget - at:
         at = budget + more
-    for k, step, before in reversed(parts):
-        if not before >> at & 1:
-            take[k] += step
-            at -= lengths[k] * step
+    while at:
+        k, step = parts[by[at]]
+        take[k] += step
+        at -= lengths[k] * step
     return take
 
 
-def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """Documents to take of each length, so that their words come nearest to ``budget``."""
-    total = sum(n * c for n, c in zip(lengths, counts, strict=True))
+def fit(lengths: list[int], counts: list[int], budget: int, seed: int = SEED) -> list[int]:
+    """Documents to take of each length (in ascending order), so that their words come nearest to ``budget``."""
+    n, c = np.array(lengths, np.int64), np.array(counts, np.int64)
+    total, random = int((n * c).sum()), np.random.default_rng(seed)
     if budget >= total:
         return list(counts)
-    take = [c * budget // total if n > 0 else 0 for n, c in zip(lengths, counts, strict=True)]
-    left = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
-    order = sorted((k for k in range(len(lengths)) if lengths[k] > 0), key=lambda k: -lengths[k])
-    for k in order:
-        if left <= KNAPSACK_WORDS:
-            break
-        more = min(counts[k] - take[k], (left - KNAPSACK_WORDS // 2) // lengths[k])
-        if more > 0:
-            take[k] += more
-            left -= more * lengths[k]
-    last = [k for k in reversed(order) if lengths[k] < 2 * left and counts[k] > take[k]]
-    for k, n in zip(last, knapsack([lengths[k] for k in last], [counts[k] - take[k] for k in last], left, left), strict=True):
-        take[k] += n
-    return take
+    reserve = max(KNAPSACK_WORDS, 2 * int(n.max()))
+    share, start = max(0, budget - reserve) / total, random.random()
+    ends = np.floor(np.cumsum(c) * share + start)
+    take = np.diff(ends, prepend=0.0).astype(np.int64)
+    take[n == 0] = 0
+    left = budget - int((n * take).sum())
+    order = random.permutation(np.flatnonzero((n > 0) & (c > take) & (n < 2 * left)))
+    take[order] += np.array(knapsack(n[order].tolist(), (c - take)[order].tolist(), left, left), np.int64)
+    return take.tolist()
 
 
 def _fit_group(key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
     rows = rows.sort_values("size", kind="stable").reset_index(drop=True)
-    return rows.assign(take=fit(rows["size"].tolist(), rows["n"].tolist(), int(rows["budget"].iloc[0])))
+    return rows.assign(take=fit(rows["size"].tolist(), rows["n"].tolist(), int(rows["budget"].iloc[0]), int(rows["draw"].iloc[0])))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
-    spark = docs.sparkSession
     text = F.col("text").cast("string")
     source = F.col("source").cast("string")
     light = docs.select(
@@ -126,26 +147,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     )
     light = settle(light, "sizes")
     lengths = settle(light.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
-    totals = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; give coarser ones")
-    totals.sort(key=lambda r: (r.source is None, [ord(c) for c in r.source or ""]))
-    wanted = targets([r.source_size for r in totals], [weights[i % len(weights)] for i in range(len(totals))], share, cap)
-    plan = [
-        (r.source, r.source_size, t, math.floor(t / r.source_size + 1e-12) if r.source_size else 0) for r, t in zip(totals, wanted, strict=True)
-    ]
-    plan = [(*p, max(0, round(p[2]) - p[3] * p[1])) for p in plan]
-    goal = spark.createDataFrame(plan, "source string, source_size long, target double, whole long, budget long")
+    goal = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long")
+    goal = goal.withColumn("whole", whole).withColumn("budget", F.greatest(F.lit(0).cast("long"), F.round("target").cast("long") - F.col("whole") * F.col("source_size")))
+    goal = settle(goal.withColumn("draw", F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 31))), "goal")
+    named = F.octet_length(F.coalesce("source", F.lit("")))
 
     same = F.col("l.source").eqNullSafe(F.col("g.source"))
-    asked = lengths.alias("l").join(F.broadcast(goal.alias("g")), same).select("l.source", "size", "n", "budget", "source_size", "target", "whole")
-    asked = asked.groupBy("source").applyInPandas(_fit_group, "source string, size long, n long, budget long, source_size long, target double, whole long, take long")
-    asked = settle(asked.drop("budget").withColumn("cells", F.ceil(F.sqrt(F.col("n") / 4.0)).cast("long")), "asked")
+    asked = lengths.alias("l").join(small(goal, BROADCAST_SOURCES, named).alias("g"), same).select("l.source", "size", "n", "budget", "draw", "source_size", "target", "whole")
+    asked = asked.groupBy("source").applyInPandas(_fit_group, "source string, size long, n long, budget long, draw long, source_size long, target double, whole long, take long")
+    asked = settle(asked.drop("budget", "draw").withColumn("cells", F.ceil(F.sqrt(F.col("n") / 4.0)).cast("long")), "asked")
 
     cell = F.pmod(F.col("draw"), F.col("cells"))
     open_ = F.when((F.col("take") > 0) & (F.col("take") < F.col("n")), F.col("take"))
     dealt = (
-        light.alias("d").join(small(asked, BROADCAST_LENGTHS).alias("a"), F.col("d.source").eqNullSafe(F.col("a.source")) & (F.col("d.size") == F.col("a.size")))
+        light.alias("d").join(small(asked, BROADCAST_LENGTHS, named).alias("a"), F.col("d.source").eqNullSafe(F.col("a.source")) & (F.col("d.size") == F.col("a.size")))
         .select("doc_id", F.col("d.source").alias("source"), F.col("d.size").alias("size"), "draw", "source_size", "target", "whole", "n", "take", open_.alias("open"), cell.alias("cell"))
     )
     # dealt by cell: a partitioning by source and length alone would satisfy the windows and gather a hot length
