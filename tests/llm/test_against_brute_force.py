@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lodeline.llm import chat, decontaminate, html_extract, licenses, mixing, near_dup, quality_model, quality_rules, token_counts, url_filter
+from lodeline.llm import chat, decontaminate, html_extract, mixing, near_dup, quality_model, quality_rules, token_counts, url_filter
 from lodeline.llm import queries as llm_queries
 from lodeline.llm.words import WordHashes, lower_words, shingle_row
 
@@ -355,32 +355,6 @@ def test_knapsack_is_exact():
         assert abs(sum(n * t for n, t in zip(lengths, take, strict=True)) - budget) == min(abs(s - budget) for s in sums)
 
 
-# --- 8 licenses
-
-
-def test_licenses(spark, docs):
-    filler = " ".join(f"f{i}" for i in range(300))
-    rows = [(1, "x y z Released under the MIT License. and more"), (2, f"{filler} This work is licensed under the GNU General Public License, version 3. {filler}"), (3, filler), (4, None), (5, ""), (6, "the MIT License"), (7, "Released under\nthe  mit LICENSE.")]
-    mit = next(t for name, t in licenses.TEMPLATES if t.startswith("Permission is hereby"))
-    words = mit.split()
-    words[20] = "changed"
-    rows.append((8, f"{filler} {' '.join(words)} {filler}"))
-    got = {(r.doc_id, r.license): r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert set(got) == {(1, "MIT"), (2, "GPL-3.0"), (7, "MIT"), (8, "MIT")}
-    assert got[(1, "MIT")].first_word == 3 and got[(2, "GPL-3.0")].first_word == 300
-    assert got[(8, "MIT")].containment < 1
-
-    table = docs.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    want = set()
-    for r in table.collect():
-        own = shingles(r.text) if len(lower_words(r.text)) >= 5 else set()
-        for name, template in licenses.TEMPLATES:
-            s = shingles(template)
-            if len(own & s) >= 0.75 * len(s):
-                want.add((r.doc_id, name))
-    assert {(r.doc_id, r.license) for r in licenses.scan(table).collect()} == want
-
-
 # --- 9 decontamination
 
 
