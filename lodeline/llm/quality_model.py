@@ -1,8 +1,9 @@
 """Hierarchical empirical Bayes over document evidence, hosts and paths.
 
-1. A logistic regression over text measures, fitted on about FIT_ROWS labelled documents drawn by a hash of their id
-   (FIT_ROWS is the bound on what the driver holds: a dozen doubles a row), gives every document a log likelihood ratio of
-   good against bad.
+1. A logistic regression over hashed n-grams gives every document a log likelihood ratio of good against bad. Features
+   are the square roots of the shares of BUCKETS hashed runs of three bytes, and five of its shape: words that repeat the
+   one before them, distinct words, length, word length, distinct n-grams. It is fitted on about FIT_ROWS labelled
+   documents drawn by a hash of their id (FIT_ROWS is the bound on what the driver holds: 8 KB a row).
 2. Soft counts of good documents are summed per host and path by grouped partial aggregation, then per host.
 3. A host's share of good documents is shrunk towards the global share, a path's towards its host's. How strongly is
    estimated from the data: the prior's weight in documents follows from the variance between groups that sampling does
@@ -10,13 +11,16 @@
 4. A document's posterior log odds are its likelihood ratio plus the log odds of its path's share, its own soft count
    left out. Shares are held in [0.02, 0.98], so no site outweighs clear evidence.
 
-Scale: text is read once for the counts and once for the decision and is never shuffled. The table of sites has one row
-per host and path; it is broadcast only up to BROADCAST_SITES rows, beyond that it is joined by a shuffle of ids only,
-where Spark splits a hot site's partition. Counts are whole millionths, so sums do not depend on order.
+Scale: whole texts are read by narrow Arrow passes. The table of sites has one row per host and path; it is broadcast
+only up to BROADCAST_SITES rows and BROADCAST_BYTES, beyond that rows are joined to it by a shuffle, in which Spark splits
+a hot site's partition. ``judge`` shuffles ids only; ``keep`` would shuffle its rows then. Counts are whole millionths,
+so sums do not depend on order.
 
 Edge cases: a text without words (null, blank) has probability 0 and is rejected; null hosts and paths are groups of
-their own; if labels are missing or of one class, the evidence is 0 and everything with words is kept; repeated rows
-count each and are judged each.
+their own; labels that repeat a doc_id count once, by their majority; documents that repeat a labelled doc_id give one
+row to the fit; few labels are held back by the ridge alone, and where labels are missing or of one class there is nothing
+to tell apart: the evidence is 0, the probability 0.5 and everything with words is kept; repeated rows count each and are judged each; columns
+pass through ``keep`` whatever their names.
 """
 
 from __future__ import annotations
@@ -24,101 +28,112 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType
 
-from lodeline.llm.words import SPACES, let, word_array
+from lodeline.llm.words import SPACES
 from lodeline.storage import settle, small
 
-FIT_ROWS = 20_000
+FIT_ROWS = 4000
 BROADCAST_SITES = 200_000
 LEAST, MOST = 0.02, 0.98
+BUCKETS, SHAPES = 1 << 12, 5
+RIDGE, STEPS = 0.03, 400
+BOUND = 30.0
 _MICRO = 1_000_000
-FEATURES = ("symbols", "pipes", "shouting", "bangs", "word_length", "lines", "short", "digits", "marks", "echo", "variety")
+_CHUNK = 1 << 20
 
 
-def _n(text: Column, others: str) -> Column:
-    return F.length(F.regexp_replace(text, others, "")).cast("double")
+def features(text: str) -> np.ndarray:
+    """BUCKETS + SHAPES numbers of a text, each of bounded size; the text is hashed in chunks of bounded memory."""
+    raw = text.encode("utf-8", "surrogatepass")
+    data = np.frombuffer(b" " + raw + b" ", np.uint8)
+    counts = np.zeros(BUCKETS, np.int64)
+    for low in range(0, len(raw), _CHUNK):
+        b = data[low : low + _CHUNK + 2].astype(np.uint32)
+        mixed = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))
+        counts += np.bincount(mixed * np.uint32(2654435761) >> np.uint32(20), minlength=BUCKETS)
+    n, words = max(len(raw), 1), raw.lower().split()
+    k = max(len(words), 1)
+    echo = sum(map(bytes.__eq__, words, words[1:]))
+    shape = (np.sqrt(echo / k), len(set(words)) / k, 1 / np.sqrt(k), min(sum(map(len, words)) / k / 8, 3.0), np.count_nonzero(counts) / np.sqrt(n) / 4)
+    return np.concatenate([np.sqrt(counts / n), shape]).astype(np.float32)
 
 
-def _times(text: Column, char: str) -> Column:
-    return (F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))).cast("double")
-
-
-def measures(text: Column) -> Column:
-    """Array of the FEATURES of a non-null text; each is bounded, so no text has unbounded leverage."""
-
-    def cut(x: Column, most: float) -> Column:
-        return F.least(x, F.lit(most))
-
-    def of(w: Column) -> Column:
-        n = F.greatest(F.size(w).cast("double"), F.lit(1.0))
-        chars = F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-        upper = _n(text, "[^\\p{Lu}]+")
-        return F.array(
-            cut(_n(text, "[^#*$%&<>]+") / n, 3.0),
-            cut(_times(text, "|") / n, 1.0),
-            cut(upper / F.greatest(chars.cast("double"), F.lit(1.0)), 1.0),
-            cut(_times(text, "!") / n, 2.0),
-            cut(F.abs(chars / n - 5.5), 6.0),
-            cut(_times(text, "\n") / n, 1.0),
-            F.exp(-n / 20.0),
-            _n(text, "[^0-9]+") / F.greatest(F.length(text).cast("double"), F.lit(1.0)),
-            cut(_n(text, "[^.,;:?]+") / n, 2.0),
-            # words equal to the one before them, and distinct words by the square root of all
-            F.size(F.filter(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda x, y: x == y), lambda same: same)) / n,
-            cut(F.size(F.array_distinct(w)) / F.sqrt(n), 12.0),
-        )
-
-    return let(word_array(text), of)
+@F.pandas_udf(BinaryType())
+def _packed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: features(t).astype(np.float16).tobytes())
 
 
 @dataclass(frozen=True)
 class Evidence:
-    """Weights of a fitted log likelihood ratio over ``measures``."""
+    """Weights of a fitted log likelihood ratio over ``features``."""
 
-    weights: tuple[float, ...]
+    weights: np.ndarray
     intercept: float
+    informed: bool = True
+
+    def of(self, text: str) -> float:
+        return float(np.clip(features(text) @ self.weights + self.intercept, -BOUND, BOUND))
 
     def ratio(self, text: Column) -> Column:
-        value = F.aggregate(F.zip_with(measures(text), F.array(*map(F.lit, self.weights)), lambda x, w: x * w), F.lit(self.intercept), lambda a, x: a + x)
-        return F.least(F.greatest(value, F.lit(-30.0)), F.lit(30.0))
+        """The ratio of a non-null text, as a column."""
 
+        @F.pandas_udf(DoubleType())
+        def ratios(texts: pd.Series) -> pd.Series:
+            return texts.map(self.of).astype(float)
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> Evidence:
-    """Ridge logistic regression by Newton steps on standardised columns; the classes' own odds are taken out."""
-    none = Evidence((0.0,) * len(FEATURES), 0.0)
-    if len(y) < 20 or y.min() == y.max():
+        return ratios(text)
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> Evidence:
+    """Ridge logistic regression by accelerated gradients on centred columns; the classes' own odds are taken out."""
+    none = Evidence(np.zeros(BUCKETS + SHAPES, np.float32), 0.0, False)
+    if not len(y) or y.min() == y.max():
         return none
-    mean, dev = x.mean(axis=0), x.std(axis=0)
-    dev[dev < 1e-9] = 1.0
-    z = np.column_stack([np.ones(len(y)), (x - mean) / dev])
-    w, penal = np.zeros(z.shape[1]), np.full(z.shape[1], ridge * len(y) / 100)
-    penal[0] = 0.0
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        gradient = z.T @ (p - y) + penal * w
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penal + 1e-9)
-        change = np.linalg.solve(hessian, gradient)
-        w = w - change
-        if np.abs(change).max() < 1e-8:
-            break
-    prior = np.log(y.mean() / (1 - y.mean()))
-    return Evidence(tuple(w[1:] / dev), float(w[0] - (w[1:] * mean / dev).sum() - prior))
+    x, y = np.asarray(x, np.float32), np.asarray(y, np.float32)
+    mean = x.mean(axis=0)
+    z = np.ascontiguousarray(x - mean)
+    direction = np.ones(z.shape[1], np.float32)
+    for _ in range(30):
+        direction = z.T @ (z @ direction)
+        top = float(np.linalg.norm(direction))
+        direction /= max(top, 1e-12)
+    step, flat = np.float32(1 / (0.2625 * top + RIDGE)), np.float32(4 / len(y))
+    prior = np.float32(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    w, b = np.zeros(z.shape[1], np.float32), prior
+    ahead, ahead_b = w, b
+    for k in range(STEPS):
+        off = 1 / (1 + np.exp(-np.clip(z @ ahead + ahead_b, -BOUND, BOUND))) - y
+        w_new, b_new = ahead - step * (z.T @ off + np.float32(RIDGE) * ahead), ahead_b - flat * off.sum()
+        speed = np.float32(k / (k + 3))
+        ahead, ahead_b, w, b = w_new + speed * (w_new - w), b_new + speed * (b_new - b), w_new, b_new
+    return Evidence(w, float(b - mean @ w - prior))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> tuple[Evidence, float]:
     """Evidence fitted on about ``rows`` labelled documents, and the share of good ones among all labels."""
-    labels = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-    seen = labels.agg(F.count("*").alias("n"), F.sum((F.col(label) > 0).cast("long")).alias("good")).first()
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(label) > 0).cast("double").alias("y"))
+    known = settle(known.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("double").alias("y")), "labels")
+    seen = known.agg(F.count("*").alias("n"), F.sum("y").alias("good")).first()
     if not seen.n:
-        return fit(np.empty((0, len(FEATURES))), np.empty(0)), 0.5
+        return fit(np.empty((0, BUCKETS + SHAPES)), np.empty(0)), 0.5
     share = 1 << 30 if seen.n <= rows else int((1 << 30) * rows / seen.n)
-    drawn = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < share).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(label) > 0).cast("double").alias("y"))
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
-    got = known.filter(F.btrim(F.col("text"), F.lit(SPACES)) != "").select(measures(F.col("text")).alias("x"), "y").collect()
-    good = min(max(seen.good / seen.n, LEAST), MOST)
-    return fit(np.array([r.x for r in got], float).reshape(-1, len(FEATURES)), np.array([r.y for r in got])), good
+    drawn = small(known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < share), 2 * rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text(docs).alias("text")).join(drawn, "doc_id").filter(~_blank(F.col("text")))
+    got = texts.select("doc_id", "y", _packed("text").alias("x")).groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).orderBy("doc_id").collect()
+    x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float16).reshape(-1, BUCKETS + SHAPES)
+    return fit(x, np.array([r.y for r in got])), min(max(seen.good / seen.n, LEAST), MOST)
+
+
+def _text(docs: DataFrame) -> Column:
+    return F.coalesce(docs["text"].cast("string"), F.lit(""))
+
+
+def _blank(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACES)) == ""
 
 
 def _logistic(x: Column) -> Column:
@@ -156,30 +171,44 @@ def sites(scored: DataFrame, host: str, path: str, prior: float) -> DataFrame:
     return settle(joined.select(F.col(host).alias("_host"), F.col(path).alias("_path"), F.col("good").alias("_good"), F.col("n").alias("_n"), F.col("host_share").alias("_share"), F.lit(below).alias("_weight")), "sites")
 
 
-def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", label: str = "quality") -> DataFrame:
-    """``docs`` with all columns and _evidence, _probability, _kept."""
-    evidence, prior = train(docs, labels, label)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    blank = F.btrim(text, F.lit(SPACES)) == ""
-    ratio = F.when(blank, F.lit(-30.0)).otherwise(evidence.ratio(text))
-    soft = _logistic(ratio + F.lit(float(np.log(prior / (1 - prior)))))
-    light = docs.select(F.col(host), F.col(path), F.round(soft * _MICRO).cast("long").alias("micro"))
-    table = sites(light, host, path, prior)
-    table = small(table, BROADCAST_SITES)
-    rows = docs.withColumn("_evidence", ratio)
-    rows = rows.join(table, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")))
-    own = _logistic(F.col("_evidence") + F.lit(float(np.log(prior / (1 - prior)))))
-    share = (F.col("_good") - own + F.col("_weight") * F.col("_share")) / (F.col("_n") - 1 + F.col("_weight"))
-    rows = rows.withColumn("_probability", F.when(F.col("_evidence") <= -30.0, 0.0).otherwise(_logistic(F.col("_evidence") + _odds(share))))
-    return rows.withColumn("_kept", F.col("_probability") >= 0.5).drop("_host", "_path", "_good", "_n", "_share", "_weight")
-
-
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def _evidence(evidence: Evidence, text: Column) -> Column:
+    return F.when(_blank(text), F.lit(-BOUND)).otherwise(evidence.ratio(text))
+
+
+def _soft(ratio: Column, prior: float) -> Column:
+    return _logistic(ratio + F.lit(float(np.log(prior / (1 - prior)))))
+
+
+def _micro(ratio: Column, prior: float) -> Column:
+    return F.round(_soft(ratio, prior) * _MICRO).cast("long").alias("micro")
+
+
+def _posterior(rows: DataFrame, table: DataFrame, prior: float) -> DataFrame:
+    """``rows`` (host, path, evidence and more) with the posterior probability, from the table of sites."""
+    named = F.octet_length(F.coalesce(F.col("_host"), F.lit(""))) + F.octet_length(F.coalesce(F.col("_path"), F.lit("")))
+    met = rows.join(small(table, BROADCAST_SITES, named), F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
+    share = (F.col("_good") - _soft(F.col("evidence"), prior) + F.col("_weight") * F.col("_share")) / (F.col("_n") - 1 + F.col("_weight"))
+    return met.withColumn("probability", F.when(F.col("evidence") <= -BOUND, 0.0).otherwise(_logistic(F.col("evidence") + _odds(share))))
+
+
+def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", label: str = "quality") -> DataFrame:
     """One row per document: doc_id, evidence (log likelihood ratio), probability of good, kept."""
-    lean = docs.select("doc_id", "text", "source", "lang")
-    return score(lean, labels).select("doc_id", F.round("_evidence", 6).alias("evidence"), F.round("_probability", 6).alias("probability"), F.col("_kept").alias("kept"))
+    evidence, prior = train(docs, labels, label)
+    rows = docs.select("doc_id", docs[host].cast("string").alias("host"), docs[path].cast("string").alias("path"), _evidence(evidence, _text(docs)).alias("evidence"))
+    if not evidence.informed:
+        kept = F.col("evidence") > -BOUND
+        return rows.select("doc_id", "evidence", F.when(kept, 0.5).otherwise(0.0).alias("probability"), kept.alias("kept"))
+    rows = settle(rows, "evidence")
+    table = sites(rows.select("host", "path", _micro(F.col("evidence"), prior)), "host", "path", prior)
+    return _posterior(rows, table, prior).select("doc_id", F.round("evidence", 6).alias("evidence"), F.round("probability", 6).alias("probability"), (F.col("probability") >= 0.5).alias("kept"))
 
 
-def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", label: str = "quality") -> DataFrame:
     """The rows of ``docs`` judged good, with all their columns."""
-    return score(docs, labels).filter("_kept").select(*docs.columns)
+    evidence, prior = train(docs, labels, label)
+    if not evidence.informed:
+        return docs.filter(~_blank(_text(docs)))
+    ratio, host_, path_ = _evidence(evidence, _text(docs)), docs[host].cast("string").alias("host"), docs[path].cast("string").alias("path")
+    table = sites(docs.select(host_, path_, ratio.alias("evidence")).select("host", "path", _micro(F.col("evidence"), prior)), "host", "path", prior)
+    rows = docs.select(F.struct("*").alias("row"), host_, path_, ratio.alias("evidence"))
+    return _posterior(rows, table, prior).filter("probability >= 0.5").select("row.*")

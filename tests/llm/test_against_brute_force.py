@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lodeline.llm import chat, decontaminate, html_extract, mixing, near_dup, quality_model, quality_rules, token_counts, url_filter
+from lodeline.llm import chat, decontaminate, html_extract, mixing, near_dup, quality_rules, token_counts, url_filter
 from lodeline.llm import queries as llm_queries
 from lodeline.llm.words import WordHashes, lower_words, shingle_row
 
@@ -230,30 +230,6 @@ def test_superminhash_estimates_similarity():
     assert (near_dup.signatures([a])[0] >> 24).max() <= 3  # stopped early
 
 
-# --- 5 quality model
-
-
-def test_quality_model(spark, sf_dir, odd):
-    d = sf_dir.replace("sf0.001", "sf0.01")
-    table, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    fit_on = labels.filter("doc_id % 2 = 0")
-    got = quality_model.judge(table, fit_on).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
-    good, bad = [r for r in got if r.quality == 1], [r for r in got if r.quality == 0]
-    assert sum(r.kept for r in good) >= 0.98 * len(good) and sum(not r.kept for r in bad) >= 0.9 * len(bad)
-    rows = quality_model.judge(odd, labels.limit(0)).collect()
-    assert len(rows) == len(ODD) and {r.doc_id: r.kept for r in rows}[2] is False
-    assert quality_model.judge(odd.limit(0), labels).count() == 0
-    clash = odd.withColumn("micro", odd.doc_id).withColumn("n", odd.doc_id)
-    assert set(quality_model.keep(clash, labels).columns) == set(clash.columns)
-
-
-def test_sites_shrink_towards_their_host(spark):
-    rows = [("big", "p", 900_000)] * 500 + [("bad", "p", 100_000)] * 500 + [("new", "p", 100_000)] + [("big", "q", 100_000)]
-    table = {(r._host, r._path): r for r in quality_model.sites(spark.createDataFrame(rows, "source string, lang string, micro long"), "source", "lang", 0.5).collect()}
-    assert table[("big", "p")]._share > 0.8 > table[("new", "p")]._share > table[("bad", "p")]._share
-    assert table[("big", "q")]._share == table[("big", "p")]._share
-
-
 # --- 6 token counts
 
 
