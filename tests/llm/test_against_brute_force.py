@@ -77,6 +77,28 @@ def test_order_does_not_change_verdicts(docs, odd):
     order = quality_rules.plan_order(docs)
     per_cost = [hit / seconds for _, seconds, hit in order]
     assert per_cost == sorted(per_cost, reverse=True)
+    assert len(quality_rules.plan_order(odd.limit(0))) == len(quality_rules.RULES)
+
+
+def test_rules_against_plain_verdicts(docs, odd):
+    """``kept`` by all rules without a cascade."""
+    def verdict(text):
+        text = text or ""
+        n, _, symbols, dup, repeated = base_measures(text)
+        if n < 20 or 100 * repeated > 30 * n:
+            return False
+        words, upper, letters = WORD.findall(text), sum(c.isupper() for c in text), sum(c.isalpha() for c in text)
+        chars, echo = sum(map(len, words)), sum(a == b for a, b in zip(words, words[1:], strict=False))
+        return not (
+            symbols * 10 > n * 3 or (upper > 20 and upper * 2 > letters) or text.count("!") * 3 > n or chars < n * 2 or chars > n * 14 or (dup >= 4 and dup * 10 > len(text.split("\n")) * 6) or echo * 5 > n
+        )
+
+    clash = odd.selectExpr("*", "1 AS words", "2 AS n_words", "3 AS copy", "4 AS base_failed")
+    for table in (docs, clash):
+        want = sorted((r.doc_id is not None, r.doc_id or 0, verdict(r.text)) for r in table.collect())
+        assert sorted((r.doc_id is not None, r.doc_id or 0, r.kept) for r in quality_rules.judge(table).collect()) == want
+        kept = quality_rules.keep(table)
+        assert kept.columns == table.columns and sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect()) == [w[:2] for w in want if w[2]]
 
 
 # --- 2 URL filter
