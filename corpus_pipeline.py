@@ -6,8 +6,11 @@
 4. benchmark decontamination: documents that hold a benchmark item go
 5. mixing sources to target weights: how many words of each document left the mix takes
 
-All stages but the last return the columns of their input. Rows that repeat a doc_id are one document from the third
-stage on; rows with a null doc_id pass it. Ids that leave are broadcast only up to BROADCAST_IDS, else joined by shuffle.
+All stages but the last return the columns of their input, whatever their names. A document is a row: rows that share a
+doc_id, or have none, are judged each like any other. Where ids are null or repeat, the third and fourth stage write
+their input once with a number for each row; else the ids themselves are the numbers. Of a group the row with the
+smallest doc_id stays, nulls last, among equals the first in the table as written. Ids that leave are broadcast only up to
+BROADCAST_IDS, else joined by shuffle.
 """
 
 from __future__ import annotations
@@ -24,10 +27,19 @@ from lodeline.storage import settle, shared_dir, small
 BROADCAST_IDS = 2_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows of these distinct, settled ids."""
-    ids = small(ids.select(F.col("doc_id").alias("_gone")), BROADCAST_IDS)
-    return docs.join(ids, F.col("doc_id") == F.col("_gone"), "left_anti")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns of ``docs``), ``id``, ``text`` and ``rid``, a number that no other row has."""
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
+    doubted = rows.filter("id is null").limit(1).count() or rows.groupBy("id").count().filter("count > 1").limit(1).count()
+    if not doubted:
+        return rows.withColumn("rid", F.col("id"))
+    return settle(rows.withColumn("rid", F.monotonically_increasing_id()), "numbered")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of ``rows`` whose ``rid`` is not in ``gone``."""
+    gone = small(settle(gone.select("rid"), "gone"), BROADCAST_IDS)
+    return rows.join(gone, "rid", "left_anti").select("row.*")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,17 +51,18 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = settle(near_dup.near_duplicates(docs).select("doc_id", "kept"), "groups")
-    left = _without(docs, settle(groups.filter("not kept").select("doc_id").distinct(), "gone"))
-    if groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        known = left.filter("doc_id is not null").dropDuplicates(["doc_id"])
-        left = known.unionByName(left.filter("doc_id is null"))
-    return left
+    rows = _numbered(docs)
+    groups = near_dup.near_duplicates(rows.select(F.col("rid").alias("doc_id"), "text")).select(F.col("doc_id").alias("rid"), "component_id")
+    groups = settle(groups.join(rows.select("rid", "id"), "rid"), "groups")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
+    kept = groups.groupBy("component_id").agg(first.alias("first")).select("first.rid")
+    return _without(rows, groups.join(kept, "rid", "left_anti"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, settle(found.select("doc_id").filter("doc_id is not null").distinct(), "gone"))
+    rows = _numbered(docs)
+    found = decontaminate.leaks(rows.select(F.col("rid").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(rows, found.select(F.col("doc_id").alias("rid")).distinct())
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
