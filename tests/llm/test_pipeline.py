@@ -80,15 +80,21 @@ def test_mixing_stage_and_run(spark, sf_dir, stages):
 
 def test_stages_on_odd_rows(spark, sf_dir):
     good = " ".join(f"word{i % 40} text{i}" for i in range(60)) + "."
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
     rows = [
         (1, None, None, None, None), (2, "", "en", "a", 0), (3, good, "en", "a", len(good)), (3, good, "en", "a", len(good)), (4, good + " more", None, None, 5), (None, good, "en", "a", 3),
-        (None, "other " + LONG[:4000], "en", "a", 3), (5, LONG, "en", "b", len(LONG)),
+        (None, "other " + LONG[:4000], "en", "a", 3), (5, LONG, "en", "b", len(LONG)), (3, "entirely " + LONG[4000:8000], "en", "b", 7), (None, f"{LONG[9000:9500]} {item} {LONG[9500:9900]}", "en", "b", 7),
     ]
     table = spark.createDataFrame(rows, DOCS)
+    for name in ("_gone", "rid", "row", "id", "first", "component_id", "item_id", "n_words", "kept", "taken", "n"):
+        table = table.withColumn(name, table.n_chars)
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         assert stage(spark, table.limit(0), sf_dir).count() == 0, name
         out = stage(spark, table, sf_dir)
         if k < 4:
             assert out.columns == table.columns
-    ids = Counter(r.doc_id for r in corpus_pipeline.near_dedup(spark, table, sf_dir).collect())
-    assert ids == {1: 1, 2: 1, 3: 1, 5: 1, None: 2}
+            assert not Counter(map(repr, out.collect())) - Counter(map(repr, table.collect()))
+    ids = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, table, sf_dir).collect())
+    assert ids == Counter({(1, None): 1, (2, ""): 1, (3, good): 1, rows[6][:2]: 1, rows[7][:2]: 1, rows[8][:2]: 1, rows[9][:2]: 1})
+    ids = Counter((r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, table, sf_dir).collect())
+    assert ids == Counter(r[:2] for r in rows[:-1])
