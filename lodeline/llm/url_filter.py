@@ -1,25 +1,30 @@
 """URL filter: rules on hosts and paths first, then a logistic regression on hashed character n-grams.
 
 A rule ``host/path`` fits its host and every subdomain if the path starts with the rule's; the longest fitting rule
-decides. URLs that no rule fits are judged by a model over character n-grams of the host, the path and their words,
-trained here from LABELLED, a small table of URLs made from the words under a comment below, and shipped as one array of
-BUCKETS weights. Everything per row is a built-in expression: no shuffle, no Python. Training runs on the table alone
-(a few hundred rows, JVM operators), whatever the size of the input.
+decides. URLs that no rule fits are judged by a model over character n-grams of the host and the path, trained on a small
+labelled table of URLs and shipped as one array of BUCKETS weights. Everything per row is a built-in expression: no
+shuffle, no Python. Training reads the labelled table alone, whatever the size of the input.
+
+The labelled table is an input: any (host, path, label) rows, of at most TABLE_ROWS rows. ``labelled`` makes the default
+one from the words below by stated rules: hosts of one word or two, with ordinary additions, under usual labels and
+top-level domains, the same for either label, and ordinary hosts of names that mean nothing. It can be split by host, or by word so that no host of one part shares a
+word with the other. A bad host is taken to be BLOCK_SHARE as frequent as a good one, so that a host the table says
+nothing about is allowed; BLOCK_AT is the even chance. Neither was set on pages.
 
 Rules are a parameter and go into the plan as literals, so they are bounded: at most MAX_RULES.
 
-Edge cases: a null url, or one without ``://``, has an empty host and path and is allowed by the model's prior (no
-n-gram speaks against it); repeated rows are judged each; columns other than page_id and url pass by.
+Edge cases: a null url, or one without ``://``, has an empty host and path and, if no rule fits, is allowed: there is
+nothing to judge; repeated rows are judged each; columns other than page_id and url pass by, whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import zlib
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors  # noqa: F401  the vector type must be known to the session
-from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,44 +32,72 @@ from lodeline.llm.words import ascii_lower
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 MAX_RULES = 2000
-BUCKETS = 1 << 14
+TABLE_ROWS = 100_000
+BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
-BLOCK_AT = 0.75
-#: Words of hosts and paths that a crawl of prose leaves out, and ordinary ones.
-BAD_WORDS = "casino poker bets betting slots jackpot pills pharmacy viagra cialis adult porn sex xxx escort cam spam farm malware phish crack warez torrent keygen ads track tracker banner click popunder doubleclick affiliate loan payday replica cheap discount bonus winner lottery free win farm-spam hookup nude".split()
-GOOD_WORDS = "news blog wiki docs help about article story science history music garden library museum school city travel kitchen weather sport health market forum review research journal photo video product support contact archive theory reading nature people culture world local family book review street letters union river".split()
-SYLLABLES = "ba la mer sol ten vi nor tha ing ver den lo ran che stu mi per th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur wh sh ch ble ly tion".split()
-#: Words that go with either kind.
-ADDITIONS = "mega best top online my the world daily super go web net site zone hub first real".split()
-ZONES = ("example.com", "example.org", "example.net")
-#: Registries under which hosts of the table are registered themselves.
-TOPS = "com net org info biz io de fr co.uk com.au".split()
-
-
-def labelled() -> list[tuple[str, str, float]]:
-    """The small labelled table: (host, path, 1.0 to block), from the word lists, zones and usual prefixes."""
+BLOCK_AT = 0.5
+BLOCK_SHARE = 0.3
+#: Of the fit: ridge and rounds.
+REG, ROUNDS = 0.002, 60
+#: Words of hosts that a crawl of prose leaves out, by what they offer, and words of ordinary hosts.
+BAD_WORDS = (
+    "casino casinos poker pokerstars roulette blackjack jackpot jackpots slots slotmachine bingo lotto lottery betting bets wager wagers sportsbet sportsbook bookmaker baccarat gambling gambler gamble "
+    "viagra cialis levitra pills pillstore pharmacy pharma pharmameds meds onlinemeds tramadol xanax steroid steroids drugstore "
+    "porn porno pornhub xxx xxxvideos sex sexy sexcam adult adults adultcam escort escorts nude nudes erotic erotica webcam camgirls hookup hookups fetish "
+    "warez crack cracks cracked keygen keygens torrent torrents serials malware spyware phishing phish trojan exploit hacked "
+    "ads adserver adserve adclick advert adverts adbanner banners tracker trackers tracking clicktracker popunder popads doubleclick clickbank affiliate affiliates pixeltrack retarget "
+    "spam spammer spammers bulkmail payday paydayloan loan loans fastloans replica replicas cheapwatches getrich earncash freebie freebies giveaway prizes winner winners bonus bonuses linkfarm backlinks cheapest discount discounts"
+).split()
+GOOD_WORDS = (
+    "news daily times herald tribune gazette journal review magazine press radio weather forecast politics world local city town village county region nature science physics biology chemistry history museum gallery archive library books reading "
+    "stories poetry theatre cinema music concert orchestra guitar piano school college university academy teacher student lessons course education research institute laboratory hospital clinic doctor nursing family children parents garden flowers "
+    "kitchen cooking recipes bakery coffee travel hotel railway airport harbour river mountain forest island beach camping walking cycling football tennis running swimming chess climbing sailing market street house building architecture design photo "
+    "camera painting drawing craft pottery knitting sewing fashion software developer docs wiki manual support forum community project foundation charity church council government parliament justice police energy climate water farm farmers wildlife "
+    "birds horses animals veterinary letters union workers trade industry steel engineering mechanics bicycle transport logistics shipping insurance bank economy business company office consulting language translation dictionary grammar philosophy "
+    "zeitung nachrichten wetter stadt schule verein kirche garten kueche reisen bibliothek geschichte wissenschaft freunde musik theater bahnhof rathaus wohnung arbeit journal ville ecole musee cuisine voyage nature jardin lecture monde region "
+    "the and that with this from they there their then than these those other another mother father brother together whether northern southern thing things nothing something morning evening station nation section election information edition tradition "
+    "noticias ciudad escuela museo cocina viajes historia ciencia libros musica gobierno salud deporte mundo pueblo trabajo tierra"
+).split()
+ADDITIONS = "mega best top online my the world daily super go web net site zone hub first real new live club".split()
+TOPS = "com net org info io de fr es co.uk com.au example.com example.org example.net".split()
+ONSETS = "b br c ch cl d dr f fl g gr h j k l m n p pl pr r s sh sl sp st str t th tr v w wh".split()
+VOWELS = "a e i o u ai ea ee ie io oa oo ou".split()
+CODAS = ("", "", "", *"n r s t l m d nd ng nt st ck sh th ly".split())
+NAMES = 1500
+LABELS = ("", "www.", "m.", "blog.", "")
+#: One host or word in so many is held out; rows for each word.
+HELD_OUT, ROWS_PER_WORD = 4, 24
+
+
+def labelled(part: str = "all", by: str = "host") -> list[tuple[str, str, float]]:
+    """The default table: (host, path, 1.0 to block), all of it, or its part ``train`` or ``held-out`` by ``host`` or ``word``."""
+
+    def drawn(*key: object) -> int:
+        return zlib.crc32(repr(key).encode())
+
+    def taken(word: str) -> bool:
+        return part == "all" or (drawn(word) % HELD_OUT == 0) == (part == "held-out")
+
     rows = []
     for words, label in ((BAD_WORDS, 1.0), (GOOD_WORDS, 0.0)):
-        for i, word in enumerate(words):
-            mate = words[(i * 7 + 3) % len(words)]
-            zone, prefix = ZONES[i % 3], ("", "www.", "m.", "blog.")[i % 4]
-            rows += [(f"{prefix}{word}.{zone}", f"/{'de en fr es'.split()[i % 4]}/{(i * 37) % 1000}", label), (f"{prefix}{word}-{mate}.{zone}", "/", label), (f"{prefix}{word}{mate}.{ZONES[(i + 1) % 3]}", f"/{(i * 53) % 1000}.html", label)]
-            a, b = SYLLABLES[(i * 5 + 2) % len(SYLLABLES)], SYLLABLES[(i * 3 + 1) % len(SYLLABLES)]
-            fore, aft = ADDITIONS[i % len(ADDITIONS)], ADDITIONS[(i * 3 + 1) % len(ADDITIONS)]
-            rows += [(f"{prefix}{fore}-{word}.{zone}", f"/{a}/{i}", label), (f"{word}-{aft}.{zone}", "/", label), (f"{fore}{word}.{zone}", "/", label), (f"{word}{aft}.{zone}", f"/{b}", label)]
-            rows += [(f"{prefix}{a}{word}.{zone}", f"/{i}", label), (f"{word}s{b}.{zone}", "/index.html", label), (f"{a}{b}{a}.{zone}", f"/{word}/{i}", label)]
-            # the word in the registered domain itself, alone, beside others and under sub-labels
-            for k in range(5):
-                top, path = TOPS[(i + 3 * k) % len(TOPS)], ("/", f"/{i}", f"/{a}/{i}.html", f"/{'de en fr es'.split()[i % 4]}/{i}", f"/{b}")[(i + k) % 5]
-                by, near, part = words[(i * (2 * k + 3) + k + 1) % len(words)], ADDITIONS[(i * (k + 2) + k) % len(ADDITIONS)], SYLLABLES[(i * (k + 3) + k) % len(SYLLABLES)]
-                rows += [(f"{('', 'www.')[k % 2]}{word}.{top}", path, label), (f"{('www.', '')[k % 2]}{(word, by)[k % 2]}-{(by, word)[k % 2]}.{top}", path, label), (f"{near}{('-', '')[k % 2]}{word}.{top}", path, label)]
-                rows += [(f"{word}{('', '-')[k % 2]}{near}.{top}", path, label), (f"{part}{word}.{top}", path, label), (f"{word}{part}.{top}", path, label), (f"{part}{a}.{word}.{top}", path, label)]
-    # hosts of letters alone, in the shape of names, are ordinary
-    for i in range(960):
-        parts = [SYLLABLES[(i * k + k + i // 20) % len(SYLLABLES)] for k in (1, 3, 7, 11)[: 2 + i % 3]]
-        path = (f"/{'en de fr es'.split()[i // 4 % 4]}/{i}", f"/{'en de fr es'.split()[i // 4 % 4]}/{i}.html", "/", f"/{i}.html", f"/{'en de fr es'.split()[i // 4 % 4]}/{i}/")[i % 5]
-        rows.append((f"{('', 'www.', 'm.', 'blog.')[i % 4]}{''.join(parts)}.{ZONES[i % 3]}", path, 0.0))
-        rows += [(f"{('', 'www.')[(i // 2 + k) % 2]}{''.join(parts[::k])}.{TOPS[(i + k) % len(TOPS)]}", path, 0.0) for k in (1, -1)]
+        # words with a common beginning stay together
+        own = [w for w in dict.fromkeys(words) if by == "host" or taken(w[:4])]
+        for word in own:
+            for k in range(ROWS_PER_WORD):
+                draw = drawn(word, k)
+                mate, more = own[draw % len(own)], ADDITIONS[draw // 7 % len(ADDITIONS)]
+                name = (word, f"{word}-{mate}", f"{more}-{word}", f"{more}{word}", f"{word}{more}", f"{word}-{more}")[k % 6]
+                path = ("/", f"/{draw % 9000}", f"/{('en', 'de', 'fr', 'es')[draw % 4]}/{draw % 977}.html", f"/{own[draw // 11 % len(own)]}/{draw % 97}")[draw // 3 % 4]
+                host = f"{name}.{TOPS[draw // 13 % len(TOPS)]}"
+                if by == "word" or taken(host):
+                    rows.append((LABELS[draw // 5 % len(LABELS)] + host, path, label))
+    # names that mean nothing, of English sounds: what the table does not know is ordinary
+    for k in range(NAMES):
+        draw = drawn("name", k)
+        parts = [ONSETS[x % len(ONSETS)] + VOWELS[x // 31 % len(VOWELS)] + CODAS[x // 311 % len(CODAS)] for x in (drawn(k, j) for j in range(2 + draw % 2))]
+        host = f"{''.join(parts)}.{TOPS[draw // 13 % len(TOPS)]}"
+        if part == "all" or (drawn(host) % HELD_OUT == 0) == (part == "held-out"):
+            rows.append((LABELS[draw // 5 % len(LABELS)] + host, f"/{draw % 9000}", 0.0))
     return rows
 
 
@@ -91,39 +124,49 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...])
 
 
 def grams(host: Column, path: Column) -> Column:
-    """Character n-grams of host and path, each marked with the part it comes from."""
+    """Character n-grams of every label of the host and every part of the path, marked with where they come from."""
+
+    def of(parts: Column, mark: str) -> Column:
+        def each(part: Column) -> Column:
+            # by shifted arrays: a substring by its place would read the text from its start each time
+            chars, shorter, found = F.split(F.concat(F.lit("^"), part, F.lit("$")), ""), None, []
+            for n in range(1, SIZES[-1] + 1):
+                after = F.slice(chars, n, F.greatest(F.lit(0), F.size(chars) - (n - 1)))
+                shorter = chars if n == 1 else F.filter(F.zip_with(shorter, after, lambda a, b: F.concat(a, b)), lambda x: x.isNotNull())
+                if n in SIZES:
+                    found.append(F.transform(shorter, lambda x: F.concat(F.lit(mark), x)))
+            return F.concat(*found)
 
-    def of(part: Column, mark: str) -> Column:
-        padded = F.concat(F.lit("^"), part, F.lit("$"))
-        each = [
-            F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - (n - 1))), lambda i, n=n: F.concat(F.lit(mark), F.substring(padded, i, n)))).otherwise(F.array().cast("array<string>"))
-            for n in SIZES
-        ]
-        return F.concat(*each)
+        return F.flatten(F.transform(F.filter(parts, lambda x: x != ""), each))
 
     # the top-level domain, a usual first label before a domain and a path's numbers, language code and ending say nothing about the page
     name = F.regexp_replace(F.regexp_replace(host, r"^(www|m|blog)\.(?=[^.]+\.)", ""), r"(?<=.)\.[^.]*$", "")
-    return F.concat(of(name, "h"), of(F.regexp_replace(ascii_lower(path), "[0-9]+|\\.[a-z0-9]+$|(?<=/)[a-z]{2}(?=/|$)|/+$", ""), "p"))
+    return F.concat(of(F.split(name, "\\."), "h"), of(F.split(F.regexp_replace(ascii_lower(path), "[0-9]+|\\.[a-z0-9]+$|(?<=/)[a-z]{2}(?=/|$)|/+$", ""), "/"), "p"))
+
 
+def labelled_table(spark: SparkSession, part: str = "all", by: str = "host") -> DataFrame:
+    """``labelled`` as a table of host, path and label."""
+    rows = ", ".join(f"('{h}', '{p}', {y}D)" for h, p, y in labelled(part, by))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(host, path, label)")
 
-@lru_cache(maxsize=1)
-def _table_sql() -> str:
-    rows = ", ".join(f"('{h}', '{p}', {y}D)" for h, p, y in labelled())
-    return f"SELECT * FROM VALUES {rows} AS t(host, path, label)"
 
+def train(table: DataFrame) -> LogisticRegressionModel:
+    """The model fitted on a labelled table of host, path and label (1 to block), the labels weighing by BLOCK_SHARE."""
+    if table.limit(TABLE_ROWS + 1).count() > TABLE_ROWS:
+        raise ValueError(f"a labelled table of at most {TABLE_ROWS} rows")
+    rows = table.select(F.col("label").cast("double").alias("label"), grams(F.col("host"), F.col("path")).alias("grams")).coalesce(1)
+    half = rows.agg(F.avg("label")).first()[0]
+    rows = rows.withColumn("weight", F.when(F.col("label") > 0, BLOCK_SHARE / half).otherwise(1 / (1 - half)))
+    hashed = HashingTF(numFeatures=BUCKETS, inputCol="grams", outputCol="features").transform(rows)
+    return LogisticRegression(regParam=REG, maxIter=ROUNDS, featuresCol="features", labelCol="label", weightCol="weight").fit(hashed)
 
-def train(spark: SparkSession) -> LogisticRegression:
-    """The model fitted on the labelled table."""
-    table = spark.sql(_table_sql()).select("label", grams(F.col("host"), F.col("path")).alias("grams")).coalesce(1)
-    half = table.agg(F.avg("label")).first()[0]
-    table = table.withColumn("weight", F.when(F.col("label") > 0, 0.5 / half).otherwise(0.5 / (1 - half)))
-    hashed = HashingTF(numFeatures=BUCKETS, inputCol="grams", outputCol="features").transform(table)
-    return LogisticRegression(regParam=0.002, maxIter=100, featuresCol="features", labelCol="label", weightCol="weight").fit(hashed)
 
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, model: LogisticRegressionModel | None = None) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, score (the model's probability of block).
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, score (the model's probability of block)."""
-    model = train(pages.sparkSession)
+    ``model`` is one fitted before; without it the default table is fitted here.
+    """
+    model = model or train(labelled_table(pages.sparkSession))
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = HashingTF(numFeatures=BUCKETS, inputCol="grams", outputCol="features").transform(rows.withColumn("grams", grams(F.col("host"), F.col("path"))))
