@@ -26,10 +26,8 @@ differently; an empty table gives no rows. Columns other than doc_id, text and s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,9 +131,10 @@ def fit(lengths: list[int], counts: list[int], budget: int, seed: int = SEED) ->
     return take.tolist()
 
 
-def _fit_group(key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    rows = rows.sort_values("size", kind="stable").reset_index(drop=True)
-    return rows.assign(take=fit(rows["size"].tolist(), rows["n"].tolist(), int(rows["budget"].iloc[0]), int(rows["draw"].iloc[0])))
+def _fit_group(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("size")
+    take = fit(rows["size"].to_pylist(), rows["n"].to_pylist(), rows["budget"][0].as_py(), rows["draw"][0].as_py())
+    return rows.append_column("take", pa.array(take, pa.int64()))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
@@ -155,7 +154,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
     same = F.col("l.source").eqNullSafe(F.col("g.source"))
     asked = lengths.alias("l").join(small(goal, BROADCAST_SOURCES, named).alias("g"), same).select("l.source", "size", "n", "budget", "draw", "source_size", "target", "whole")
-    asked = asked.groupBy("source").applyInPandas(_fit_group, "source string, size long, n long, budget long, draw long, source_size long, target double, whole long, take long")
+    asked = asked.groupBy("source").applyInArrow(_fit_group, "source string, size long, n long, budget long, draw long, source_size long, target double, whole long, take long")
     asked = settle(asked.drop("budget", "draw").withColumn("cells", F.ceil(F.sqrt(F.col("n") / 4.0)).cast("long")), "asked")
 
     cell = F.pmod(F.col("draw"), F.col("cells"))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
@@ -62,9 +62,9 @@ def features(text: str) -> np.ndarray:
     return np.concatenate([np.sqrt(counts / n), shape]).astype(np.float32)
 
 
-@F.pandas_udf(BinaryType())
-def _packed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: features(t).astype(np.float16).tobytes())
+@F.arrow_udf(BinaryType())
+def _packed(texts: pa.Array) -> pa.Array:
+    return pa.array([features(t.as_py()).astype(np.float16).tobytes() for t in texts], pa.binary())
 
 
 @dataclass(frozen=True)
@@ -81,9 +81,9 @@ class Evidence:
     def ratio(self, text: Column) -> Column:
         """The ratio of a non-null text, as a column."""
 
-        @F.pandas_udf(DoubleType())
-        def ratios(texts: pd.Series) -> pd.Series:
-            return texts.map(self.of).astype(float)
+        @F.arrow_udf(DoubleType())
+        def ratios(texts: pa.Array) -> pa.Array:
+            return pa.array([self.of(t.as_py()) for t in texts], pa.float64())
 
         return ratios(text)
 
