@@ -10,18 +10,23 @@ finished as soon as all its slots are (early stopping, after two or three levels
 Candidates come from equal bands. A pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^31 = 8e-6.
 Groups of copies are never spelled out as pairs:
 
-1. documents with equal sets form a class, of which the smallest id goes on;
+1. documents with equal sets form a class, of which the smallest id goes on; sets are held equal if their sizes and the
+   128-bit BLAKE2 digests of the whole sorted sets are, so every member is confirmed on its full set;
 2. in each bucket every class is compared with the smallest one only; verified links are united;
 3. buckets that still hold several components give their cross-component pairs, if they are small;
 4. the classes of larger ones meet through rare shingles: two sets with similarity t share one of the rarest
    ``n - ceil(t * n) + 1`` shingles of either (prefix filter, exact at any size).
 
+Shingles are compared by 64-bit hashes. A pair of documents with n and m shingles meets a false common one with
+probability n * m / 2^64, 2e-14 for 600 words each.
+
 Edge cases: null or blank text has an empty set, links with nothing and keeps its own id. Rows that repeat a doc_id are
 one node. A null doc_id has a null component and is kept. Only ``doc_id`` and ``text`` are read; other columns pass by.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.words import WordHashes, lower_words, mix, shingle_row
+from lodeline.llm.words import WordHashes, mix, shingles_of, word_row
 from lodeline.storage import settle, small
 
 SLOTS = 127
@@ -91,7 +96,7 @@ def sketches(sig: np.ndarray) -> np.ndarray:
 def _chunks(texts: Iterator[str | None], hashes: WordHashes) -> Iterator[list[np.ndarray]]:
     held, size = [], 0
     for text in texts:
-        held.append(np.unique(shingle_row(lower_words(text), hashes)))
+        held.append(np.unique(shingles_of(word_row(text, hashes))))
         size += len(held[-1])
         if size >= _CHUNK:
             yield held
@@ -107,12 +112,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _chunks((t.as_py() for t in batch.column("text")), hashes):
             n = np.array([len(s) for s in sets], np.int64)
             sig = signatures(sets)
-            total = [np.array([f(s) for s in sets], np.uint64).view(np.int64) for f in (lambda s: s.sum(dtype=np.uint64), lambda s: mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64))]
+            digest = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
             keys, sk = band_keys(sig), sketches(sig)
             live = n > 0
             ends = np.concatenate([[0], np.cumsum(np.where(live, BANDS, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(at, len(sets)), pa.array(n), *(pa.array(t) for t in total), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[live].reshape(-1))), *(pa.array(sk[:, j].copy()) for j in range(4))],
+                [ids.slice(at, len(sets)), pa.array(n), *(pa.array(digest[:, j].copy()) for j in range(2)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[live].reshape(-1))), *(pa.array(sk[:, j].copy()) for j in range(4))],
                 names=["doc_id", "n_shingles", "h1", "h2", "bands", *_SKETCH],
             )
             at += len(sets)
@@ -159,7 +164,7 @@ def _prefixes(known: np.ndarray, often: np.ndarray):
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """One row per document: size and two sums of its set, band keys, sketch."""
+    """One row per document: size and digest of its set, band keys, sketch."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sign, SIGNED)
 
 
@@ -271,6 +276,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         label = components(linked.union(verify(cross, docs)))
 
     root = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("label", "rep").alias("root"))
-    own = signed.select("doc_id", "n_shingles", "h1", "h2").join(root, ["h1", "h2", "n_shingles"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id"))
-    return own.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    # empty sets and rows without an id stay out of the join, where they would be one key
+    alone = F.col("n_shingles").eqNullSafe(0) | F.col("doc_id").isNull()
+    own = signed.filter(~alone).select("doc_id", "n_shingles", "h1", "h2").join(root, ["h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", F.col("root").alias("component_id"))
+    every = own.unionByName(signed.filter(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return every.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))

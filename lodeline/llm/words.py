@@ -5,6 +5,8 @@ A word is a maximal run of characters other than U+0020 and U+0009 to U+000D. Nu
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column
@@ -77,17 +79,36 @@ class WordHashes(dict):
         return value
 
 
+#: Bytes of a text whose words are held as objects at once.
+PIECE_BYTES = 1 << 20
+_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """Words with A-Z lower-cased, as UTF-8; bytes.split and bytes.lower know exactly these spaces and letters."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def shingle_row(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    """64-bit hash of every five-word window in order; fewer words give one hash of the whole sequence, none give none."""
-    n = len(words)
+def word_row(text: str | None, hashes: WordHashes) -> np.ndarray:
+    """64-bit hashes of the lower-cased words in order; a long text is cut at spaces into pieces of about PIECE_BYTES."""
+    raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
+    rows, at = [], 0
+    while at < len(raw):
+        end = len(raw)
+        if end - at > PIECE_BYTES:
+            space = _SPACE.search(raw, at + PIECE_BYTES)
+            end = space.start() if space else end
+        words = raw[at:end].split()
+        rows.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+        at = end
+    return rows[0] if len(rows) == 1 else np.concatenate([np.empty(0, np.uint64), *rows])
+
+
+def shingles_of(w: np.ndarray) -> np.ndarray:
+    """64-bit hash of every five-word window of hashed words; fewer words give one hash of the whole sequence, none give none."""
+    n = len(w)
     if not n:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
     if n < SHINGLE_WORDS:
         return mix((w * _ODD[:n]).sum(keepdims=True) ^ np.uint64(0x2545F4914F6CDD1D * n % 2**64))
     k = n - SHINGLE_WORDS + 1
@@ -95,3 +116,8 @@ def shingle_row(words: list[bytes], hashes: WordHashes) -> np.ndarray:
     for j in range(1, SHINGLE_WORDS):
         total += w[j : j + k] * _ODD[j]
     return mix(total)
+
+
+def shingle_row(words: list[bytes], hashes: WordHashes) -> np.ndarray:
+    """``shingles_of`` these words."""
+    return shingles_of(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
