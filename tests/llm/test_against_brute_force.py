@@ -233,6 +233,35 @@ def test_superminhash_estimates_similarity():
     assert (near_dup.signatures([a])[0] >> 24).max() <= 3  # stopped early
 
 
+def test_superminhash_varies_less_than_minhash():
+    """Small sets: the slots of one permutation are nearly a sample without repeats."""
+    rng = np.random.default_rng(2)
+    found = []
+    for _ in range(500):
+        x = rng.integers(0, 2**63, 45).astype(np.uint64)
+        sig = near_dup.signatures([x[:30], x[15:]])
+        found.append((sig[0] == sig[1]).mean())
+    assert abs(np.mean(found) - 1 / 3) < 0.01
+    assert np.var(found) < 0.85 * (1 / 3 * 2 / 3 / near_dup.SLOTS)
+
+
+def test_sketches_and_bands_lose_no_linked_pair():
+    """4000 pairs between 0.75 and 0.8, the hardest that must be linked."""
+    rng = np.random.default_rng(12)
+    sets = []
+    for _ in range(4000):
+        n = int(rng.integers(40, 300))
+        shared = int(np.ceil(rng.uniform(0.75, 0.8) * 2 * n / (1 + 0.75)))
+        x = rng.integers(0, 2**63, 2 * n - shared).astype(np.uint64)
+        sets += [x[:n], np.concatenate([x[:shared], x[n:]])]
+    sig = near_dup.signatures(sets)
+    keys, sk = near_dup.band_keys(sig), near_dup.sketches(sig).view(np.uint64)
+    assert (keys[::2] == keys[1::2]).any(axis=1).all()
+    x = sk[::2] ^ sk[1::2]
+    off = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x1555555555555555)).sum(axis=1)
+    assert off.max() <= int(0.4 * 124)
+
+
 # --- 6 token counts
 
 
@@ -337,6 +366,11 @@ def test_knapsack_is_exact():
 # --- 9 decontamination
 
 
+def weighted(a, b):
+    shared = sum((a & b).values())
+    return shared / max(1, sum(a.values()) + sum(b.values()) - shared)
+
+
 def brute_leaks(rows, items):
     found = set()
     for doc_id, text in rows:
@@ -348,7 +382,7 @@ def brute_leaks(rows, items):
                 continue
             span = min(len(theirs), len(own))
             for start in range(len(own) - span + 1):
-                if decontaminate.weighted_similarity(Counter(own[start : start + span]), Counter(theirs)) >= 0.75:
+                if weighted(Counter(own[start : start + span]), Counter(theirs)) >= 0.75:
                     found.add((doc_id, item_id))
                     break
     return found
@@ -368,6 +402,66 @@ def test_leaks(spark, sf_dir, odd):
     assert decontaminate.leaks(odd, blank).count() == 0
 
 
+def test_leaks_of_repeated_items_and_blocks(spark, monkeypatch):
+    """Items that share an id are one item with several texts; blocks do not change the rows; ids of other types."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"v{x}" for x in rng.integers(0, 5000, 30)) for _ in range(12)]
+    items = [(k // 2, t) for k, t in enumerate(texts)] + [(0, texts[0]), (0, texts[0]), (None, texts[1]), (3, None)]
+    docs = [(k, f"{'a b c ' * 9}{t} {'d e f ' * 9}") for k, t in enumerate(texts)] + [(50, texts[0] + " " + texts[1]), (None, texts[5]), (4, texts[9])]
+    table = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS similarity", "3 AS start_word")
+    want = sorted([(k, k // 2) for k in range(12)] + [(50, 0), (4, 4)]) + [(None, 2)]
+    for block, kind in ((20_000, "long"), (1, "long"), (3, "string")):
+        monkeypatch.setattr(decontaminate, "ITEM_BLOCK", block)
+        bench = spark.createDataFrame(items, "item_id long, text string").selectExpr(f"CAST(item_id AS {kind}) AS item_id", "text", "'x' AS doc_id")
+        got = [(r.doc_id, r.item_id) for r in decontaminate.leaks(table, bench).collect()]
+        assert sorted(x for x in got if x[0] is not None) + [x for x in got if x[0] is None] == want
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    from lodeline.llm import words
+
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{x}\u00a0é" for x in rng.integers(0, 900, 4000)) + "\n\t end"
+    whole = shingle_row(lower_words(text), WordHashes())
+    for size in (1, 7, 1000):
+        monkeypatch.setattr(words, "PIECE_BYTES", size)
+        assert np.array_equal(words.shingles_of(words.word_row(text, WordHashes())), whole)
+    starts = np.sort(rng.choice(3900, 500, replace=False))
+    prints = decontaminate.fingerprints(whole, starts, 60)
+    for chunk in (1, 50, 997):
+        monkeypatch.setattr(decontaminate, "CHUNK", chunk)
+        assert np.array_equal(decontaminate.fingerprints(whole, starts, 60), prints)
+    for at, print_ in zip(starts[:40].tolist(), prints[:40].tolist(), strict=True):
+        bits = [(sum(1 if x >> b & 1 else -1 for x in whole[at : at + 60].tolist()) > 0) << b for b in range(64)]
+        assert sum(bits) == print_
+
+
+def test_fingerprints_find_edited_passages():
+    """Passages of 20 to 120 words with words put in, dropped and replaced, all windows, no bound on shared shingles: the
+    Hamming blocks alone hand over nearly every pair at 0.75 or more, and few of those that share next to nothing."""
+    rng, hashes = np.random.default_rng(7), WordHashes()
+    met = wanted = other = handed = 0
+    for k in range(700):
+        words = [f"t{x}" for x in rng.integers(0, 3000, int(rng.integers(20, 120)))]
+        index = decontaminate.ItemIndex.of([(k, " ".join(words))])
+        width = next(iter(index.tables))
+        edited = list(words)
+        for _ in range(int(rng.integers(0, 1 + len(words) // 12))):
+            at, kind = int(rng.integers(0, len(edited))), int(rng.integers(0, 3))
+            edited[at : at + (kind < 2)] = [f"e{at}"] * (kind != 1)
+        text = [f"f{x}" for x in rng.integers(0, 3000, 15)] + edited + [f"g{x}" for x in rng.integers(0, 3000, 15)]
+        row = shingle_row([w.encode() for w in text], hashes)
+        starts = np.arange(max(0, len(row) - width + 1))
+        for start, print_ in zip(starts.tolist(), decontaminate.fingerprints(row, starts, width).tolist(), strict=True):
+            near = bool(index.candidates(width, print_))
+            similarity = decontaminate.weighted_similarity(decontaminate.shape(row[start : start + width]), index.shapes[0])
+            if similarity >= decontaminate.THRESHOLD:
+                wanted, met = wanted + 1, met + near
+            elif similarity < 0.1:
+                other, handed = other + 1, handed + near
+    assert wanted > 1000 and met >= 0.995 * wanted and handed < 0.1 * other
+
+
 def test_blocks_guarantee_the_radius():
     rng = np.random.default_rng(2)
     text = " ".join(f"w{i}" for i in range(40))
