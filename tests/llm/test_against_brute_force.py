@@ -275,32 +275,54 @@ def test_token_counts(docs, odd):
         assert got == want
 
 
-def test_prefixes_end_at_every_token():
-    counter = token_counts.PrefixCounter(token_counts.default_vocabulary())
-    for text in ("qzxv" * 5000, "it's  a \n\n  test\t\t x", "naïve Ærøskøbing ÿÿÿþþ ſſſ", "     \n\n\n   12345678901234567890", "!!!!??...;;;"):
-        found = counter.tokenizer.encode(text, add_special_tokens=False)
-        want: dict = {}
-        for n, (_, e) in enumerate(found.offsets, 1):
-            want[e] = n
-        ends, counts = counter.table(text)
-        assert dict(zip(ends.tolist(), counts.tolist(), strict=True)) == want
-    ends, counts = counter.table("qzxv" * 5000)
-    assert counts[-1] > 512 and 0 < token_counts.within(ends, counts, 512) < 20_000
-
-
-def test_prefix_tables():
+@pytest.fixture(scope="module")
+def counter():
+    return token_counts.PrefixCounter(token_counts.default_vocabulary())
+
+
+TEXTS = (
+    "Hello there, it's   2024!\n\n  Ünïcode wörds. we'll they've I'd 'x ''re", "naïve \U0001f600 <|endoftext|> z!<|endoftext|><|endoftext|>  \n", "a" * 60, "qzxv" * 30, "     \n\n\n   12345678901234567890   x\t\ty  ",
+    "!!!!??...;;;  ---   ", "", " ", "漢字 かな  ひらがな​ ẞß", "tokenization antidisestablishmentarianism internationalization  returns", "<|endof", "x <|endoftext|", "\xa0\x85 \u2003\u2003 a\u2003 b",
+)
+
+
+def test_every_prefix_is_exact(counter, docs):
+    """The table of a text against the library's count of each of its prefixes."""
+    rng = np.random.default_rng(3)
+    some = [r.text for r in docs.orderBy("doc_id").limit(6).collect() if r.text]
+    mixed = ["".join(rng.choice(list("  \n\t'abesrtTHE19!?.-éß漢"), 80)) for _ in range(40)]
+    for text in (*TEXTS, *(t[:300] for t in some), *mixed):
+        want = [len(counter.tokenizer.encode(text[:k], add_special_tokens=False).ids) for k in range(1, len(text) + 1)]
+        assert counter.table(text).tolist() == want, text
+        assert counter.count(text) == (want[-1] if want else 0)
+        for budget in {0, 1, 2, 5, 17, len(want) // 4, counter.count(text)}:
+            best = max((k for k, n in enumerate(want, 1) if n <= budget), default=0)
+            assert counter.cut(text, budget) == best, (text, budget)
+
+
+def test_stored_tables(spark, odd, counter):
+    rows = token_counts.count_tokens(odd.filter("n_chars < 100 or n_chars is null"), limit=7, tables=True)
+    for r in rows.select("*", token_counts.prefix_within("prefix_tokens", 7).alias("w"), token_counts.prefix_within("prefix_tokens", 0).alias("zero")).collect():
+        assert r.w == r.cut_chars and r.zero == 0 and (r.prefix_tokens[-1] if r.prefix_tokens else 0) == r.n_tokens
+
+
+def test_long_piece_is_cut_inside(counter):
+    text = "qzxv" * 5000
+    k = counter.cut(text, 512)
+    assert len(counter.tokenizer.encode(text[:k], add_special_tokens=False).ids) <= 512 < len(counter.tokenizer.encode(text[: k + 1], add_special_tokens=False).ids)
+
+
+def test_vocabulary_of_another_form(odd):
+    """Split otherwise than by this module's pattern: counted by the library, as its own file says."""
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(token_counts.default_vocabulary())
-    counter = token_counts.PrefixCounter(token_counts.default_vocabulary())
-    for text in ("Hello there, it's   2024!\n\n  Ünïcode wörds.", "naïve \U0001f600 <|endoftext|> z", "a" * 50):
-        ends, counts = counter.table(text)
-        for end, count in zip(ends.tolist(), counts.tolist(), strict=True):
-            if text[end : end + 1].strip() and text[:end].strip() == text[:end]:
-                assert count <= len(library.encode(text, add_special_tokens=False).ids)
-        assert ends[-1] == len(text)
-        assert token_counts.within(ends, counts, int(counts[-1])) == len(text)
-        assert token_counts.within(ends, counts, 0) == 0
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), token_counts.PrefixCounter(path)
+    assert not own.plain
+    for text in TEXTS:
+        n = len(library.encode(text, add_special_tokens=False).ids)
+        assert own.count(text) == n and own.cut(text, n) == len(text) and (not n or own.cut(text, n - 1) == -1)
 
 
 # --- 7 mixing
