@@ -15,6 +15,7 @@ SHAPES = (
     ("slack-token", r"\bxox[baprs]-[0-9A-Za-z-]{10,}\b"),
     ("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b"),
 )
+#: Quoted values of telling names, and the bits per character from which they count.
 ASSIGNMENT = r"""(?i)\b(?:api[_-]?key|secret|token|password|passwd|auth)\w*\s*[:=]\s*['"]([A-Za-z0-9_\-/+=]{32,})['"]"""
 MIN_ENTROPY = 3.5
 

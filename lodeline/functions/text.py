@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 QUERY_STOPWORDS = tuple(
     "a an and are the of to in is it for on how does do what where which when why this that with by at be or as from into i we you my our".split()
 )
-#: Directories whose files support the code without being part of it.
+#: Directories whose files support the code without being part of it.
 SUPPORT_DIRS = ("__tests__", "__mocks__", "test", "tests", "bench", "benches", "benchmarks")
 #: Letters and digits in the wide sense.
 ALNUM = "\\p{IsAlphabetic}\\p{N}"
 
-#: Language of a file by the last part of its name.
+#: Language of a file by the last part of its name.
 LANGUAGES = {
     "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "rs": "rust", "md": "markdown", "markdown": "markdown", "html": "html", "htm": "html",
     "css": "css", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "txt": "text", "prisma": "prisma", "sql": "sql",
@@ -116,9 +116,8 @@ def is_excluded(path: Column, excludes: Column) -> Column:
 
 
 def language(path: Column) -> Column:
-    """Language by the last extension, null if unknown or without one."""
-    base = F.element_at(F.split(path, "/"), -1)
-    return F.when(base.contains("."), F.element_at(literal_map(LANGUAGES), F.lower(F.element_at(F.split(base, "\\."), -1))))
+    """Language by what follows the last dot of the path, exactly as written; null if unknown."""
+    return F.element_at(literal_map(LANGUAGES), F.element_at(F.split(path, "\\."), -1))
 
 
 def language_class(lang: Column) -> Column:

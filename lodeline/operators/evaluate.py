@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeline.operators.graph import hops
+
 Z = 1.96
 TOLERANCE = 0.10
 MIN_PAIRS = 2
@@ -100,3 +102,49 @@ def keyset_page(rows: DataFrame, id_: str, before: int | None, limit: int) -> Da
 def first_of(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row per key in order."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
+
+
+# --- walks and sessions
+
+
+def walk_budget(walk: Column, flag: int | None, file: int | None, default: int = 1024, least: int = 64, most: int = 8192) -> Column:
+    """A walk's own budget, else the caller's, else the file's, else the default; clamped."""
+    return F.greatest(F.lit(least), F.least(F.lit(most), F.coalesce(walk, F.lit(flag), F.lit(file), F.lit(default)))).cast("int")
+
+
+def connection_keys(relations: DataFrame, mentions: DataFrame, sections: DataFrame, start, most: int) -> DataFrame:
+    """``key`` (path::name) of the sections that mention an entity within ``most`` relations of ``start``."""
+    near = hops(relations.select(F.col("src_entity").alias("src"), F.col("dst_entity").alias("dst")), start, most)
+    met = mentions.join(near.select(F.col("node").alias("entity_id")), "entity_id", "left_semi").select("section").distinct()
+    return sections.join(met, "section", "left_semi").select(F.concat_ws("::", "path", "name").alias("key")).distinct()
+
+
+def session_records(sessions: DataFrame, questions: DataFrame) -> DataFrame:
+    """Scored sessions: why each failed, hit, miss, recall and precision of its answer, denials by hooks and others.
+
+    ``sessions``: question, condition, repeat, spawn_error, is_error, outcome (null without a result line), structured
+    (whether the result holds structured output), answer (null if malformed), denials (array of tool, by_hook);
+    ``questions``: question, gold. A failed session answers nothing.
+    """
+    reason = (
+        F.when(F.col("spawn_error").isNotNull(), F.col("spawn_error")).when(F.col("outcome").isNull(), "no result line").when(F.col("is_error"), "result reported an error")
+        .when(F.col("outcome") != "success", F.concat(F.lit("result subtype "), F.col("outcome"))).when(~F.col("structured"), "no structured output").when(F.col("answer").isNull(), "malformed structured output")
+    )
+    rows = sessions.join(questions.select("question", "gold"), "question").withColumn("reason", reason).withColumn("failed", F.col("reason").isNotNull())
+    rows = rows.withColumn("answer", F.when(F.col("failed"), F.array().cast("array<string>")).otherwise(F.col("answer")))
+    hook, other = F.filter("denials", lambda x: x["by_hook"]), F.filter("denials", lambda x: ~x["by_hook"])
+    rows = rows.withColumn("hook_denials", F.size(hook)).withColumn("denied", F.array_distinct(F.transform(other, lambda x: x["tool"])))
+    rows = graded(rows).withColumn("recall", recall(F.col("answer"), F.col("gold"), F.col("failed")))
+    return rows.drop("denials", "structured", "is_error", "spawn_error")
+
+
+def run_summary(records: DataFrame, conditions: list[str]) -> DataFrame:
+    """Mean recall of every question by condition, and of all (question null)."""
+    wide = pivoted(records, "question", "condition", "recall", conditions)
+    whole = records.withColumn("question", F.lit(None).cast("string")).groupBy("question").pivot("condition", conditions).agg(F.avg("recall"))
+    return wide.unionByName(whole)
+
+
+def category_recall(results: DataFrame) -> DataFrame:
+    """Mean recall, whole answers and questions by category, and of all (category null)."""
+    return results.rollup("category").agg(F.avg("recall").alias("recall"), F.count_if(F.col("recall") >= 1).alias("cited"), F.count("*").alias("questions"))

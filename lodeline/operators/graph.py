@@ -88,14 +88,15 @@ def pagerank_of_names(nodes: DataFrame, defs: DataFrame, refs: DataFrame, iterat
     """``node, rank`` as ``pagerank`` over the projected edges of ``defs`` and ``refs``, without building those edges.
 
     All definers of a name have the same incoming edges: a step sums what a name receives and hands it on, a file's own
-    share left out. References and definitions of a checked, bounded size run as arrays in one task.
+    share left out. References and definitions of a checked, bounded size run as arrays in one task; more of them as joins
+    of the partitioned references and definitions, two hops a step: file to name, name to file.
     """
     kind, name = dict(nodes.dtypes)["node"], dict(defs.dtypes)["name"]
     rows = nodes.groupBy("node").agg(F.max("p").alias("w")).select(F.col("node").alias("a"), F.lit(None).cast(name).alias("name"), "w", F.lit(0).alias("kind"))
     rows = rows.unionByName(defs.select(F.col("file").alias("a"), "name").distinct().withColumn("w", F.lit(0.0)).withColumn("kind", F.lit(1)))
     rows = settle(rows.unionByName(refs.groupBy(F.col("file").alias("a"), "name").agg(F.sum("count").cast("double").alias("w")).withColumn("kind", F.lit(2))), "names")
     if rows.limit(KERNEL_EDGES + 1).count() > KERNEL_EDGES:
-        return pagerank(nodes, projected(weighted_edges(defs, refs)), iterations)
+        return _names_joins(nodes, defs, refs, iterations)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows[rows["kind"] == 0].sort_values("a")
@@ -123,6 +124,34 @@ def pagerank_of_names(nodes: DataFrame, defs: DataFrame, refs: DataFrame, iterat
     return rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda x: run(x.drop(columns="one")), f"node {kind}, rank double")
 
 
+def _names_joins(nodes: DataFrame, defs: DataFrame, refs: DataFrame, iterations: int) -> DataFrame:
+    """The same by joins. What a name receives is one row, so a name with many definers is a hot key of one side only,
+    whose partition Spark splits; sums are partly aggregated before they are shuffled."""
+    nodes = nodes.groupBy("node").agg(F.max("p").alias("p"))
+    total = nodes.agg(F.sum("p").alias("s"), F.count("*").alias("n")).first()
+    share = F.col("p") / total.s if total.s else F.lit(1.0 / max(total.n, 1))
+    ids = nodes.select(F.col("node").alias("file"))
+    known = settle(defs.select("file", "name").distinct().join(ids, "file", "left_semi"), "definitions")
+    often = known.groupBy("name").agg(F.count("*").alias("definers"))
+    used = refs.groupBy("file", "name").agg(F.sum("count").cast("double").alias("w")).join(ids, "file", "left_semi").join(often, "name")
+    used = used.join(known.withColumn("own", F.lit(1)), ["file", "name"], "left").select("file", "name", (F.col("w") / F.col("definers")).alias("share"), "definers", F.coalesce("own", F.lit(0)).alias("own"))
+    used = settle(used, "used")
+    out = used.groupBy("file").agg(F.sum(F.col("share") * (F.col("definers") - F.col("own"))).alias("out")).filter("out > 0")
+    base = settle(nodes.select("node", share.alias("p")).join(out.withColumnRenamed("file", "node"), "node", "left"), "base")
+    used = settle(used.join(out, "file").select("file", "name", "own", (F.col("share") / F.col("out")).alias("share")).repartition("file"), "used")
+    now = base.select("node", F.col("p").alias("rank"))
+    for _ in range(iterations):
+        lost = now.join(base.filter("out is null").select("node"), "node").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+        given = used.join(now, F.col("file") == F.col("node")).select("file", "name", "own", (F.col("rank") * F.col("share")).alias("given"))
+        received = given.groupBy("name").agg(F.sum("given").alias("got"))
+        both = known.join(received, "name").select("file", "got").unionByName(given.filter("own = 1").select("file", (-F.col("given")).alias("got")))
+        got = both.groupBy(F.col("file").alias("node")).agg(F.sum("got").alias("got"))
+        step = base.join(got, "node", "left").crossJoin(F.broadcast(lost))
+        now = settle(step.select("node", ((1 - DAMPING) * F.col("p") + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p"))).alias("rank")), "rank")
+    whole = now.agg(F.sum("rank").alias("whole"))
+    return now.crossJoin(F.broadcast(whole)).select("node", (F.col("rank") / F.col("whole")).alias("rank"))
+
+
 def _pagerank_joins(nodes: DataFrame, edges: DataFrame, iterations: int) -> DataFrame:
     total = nodes.agg(F.sum("p").alias("s"), F.count("*").alias("n")).first()
     share = F.col("p") / total.s if total.s else F.lit(1.0 / max(total.n, 1))

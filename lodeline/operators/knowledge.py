@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeline.operators.vectors import ENTITY_K, SEMANTIC_K, THEME_K, knn, knn_many
+from lodeline.storage import small
 from lodeline.functions.text import clean, extend_description, norm_name, normalise_system, split_identifier, token_windows
 
 #: The closed list of entity types, and words that no query matches as an entity.
@@ -16,6 +18,8 @@ NAME_MAX, DESCRIPTION_MAX, STEP_MAX, STEPS_MAX = 80, 300, 300, 30
 RELATIONS_SHOWN, VIA_STEP_MAX, LINK_LIMIT, MIN_SYSTEM = 30, 5, 3, 3
 OVERLAY_MAX, SEARCH_MAX = 500, 20
 ENTITY_MIN = 0.5
+#: Matched entities that are broadcast.
+SHOWN_ENTITIES = 10_000
 
 
 def entity_type(kind: Column) -> Column:
@@ -34,12 +38,26 @@ def normalise_relations(rows: DataFrame) -> DataFrame:
     return out.filter("source <> '' and target <> '' and source <> target")
 
 
+def first_parts(rows: DataFrame, keys: list[str], column: str, *order: str, most: int = DESCRIPTION_MAX) -> DataFrame:
+    """``keys, parts``: the first texts of a group in order, each once, as many as ``most`` characters can hold.
+
+    A text and its separator take three characters at least, so a group of any size leaves a bounded list; equal texts
+    are merged by partial aggregation before anything is ordered.
+    """
+    said = rows.filter(F.col(column) != "").groupBy(*keys, column).agg(F.min(F.struct(*order)).alias("_o"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_o", column))
+    few = said.withColumn("_p", place).filter(F.col("_p") <= most // 3 + 1)
+    return few.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", F.col(column).alias("d")))), lambda x: x["d"]).alias("parts"))
+
+
 def merge_entities(rows: DataFrame, *order: str) -> DataFrame:
     """One row per norm_name: first name and type in order (``process`` wins), descriptions folded, sections counted."""
     key = F.struct(*order)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(key.alias("o"), F.col("description").alias("d")))), lambda x: x["d"])
     kind = F.when(F.bool_or(F.col("type") == "process"), "process").otherwise(F.min_by("type", key))
-    return rows.groupBy("norm_name").agg(F.min_by("name", key).alias("name"), kind.alias("type"), extend_description(listed).alias("description"), F.count_distinct("section").alias("mentions"))
+    whole = rows.groupBy("norm_name").agg(F.min_by("name", key).alias("name"), kind.alias("type"), F.count_distinct("section").alias("mentions"))
+    parts = first_parts(rows, ["norm_name"], "description", *order).withColumnRenamed("norm_name", "_norm")
+    met = whole.join(parts, F.col("norm_name").eqNullSafe(F.col("_norm")), "left")
+    return met.select("norm_name", "name", "type", F.coalesce(extend_description(F.col("parts")), F.lit("")).alias("description"), "mentions")
 
 
 def apply_extraction(entities: DataFrame, relations: DataFrame, *order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -90,7 +108,7 @@ def match_entities(entities: DataFrame, query: str, arguments: list[str] = (), s
 def overlay(entities: DataFrame, relations: DataFrame, most: int = OVERLAY_MAX) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The top entities by mentions, relations among them, and whether any were left out."""
     top = entities.orderBy(F.desc("mentions"), "name", "entity_id").limit(most)
-    ids = F.broadcast(top.select("entity_id"))
+    ids = small(top.select("entity_id"), OVERLAY_MAX)
     inside = relations.join(ids, F.col("src_entity") == F.col("entity_id"), "left_semi").join(ids, F.col("dst_entity") == F.col("entity_id"), "left_semi")
     return top, inside, entities.limit(most + 1).agg((F.count("*") > most).alias("truncated"))
 
@@ -116,7 +134,7 @@ def named_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
 def shown_relations(relations: DataFrame, order: DataFrame, most: int = RELATIONS_SHOWN) -> DataFrame:
     """Of matched entities in order (entity_id, place): each relation under its first entity, ``most`` in all."""
-    ends = relations.select("*", F.explode(F.array("src_entity", "dst_entity")).alias("entity_id")).join(F.broadcast(order), "entity_id")
+    ends = relations.select("*", F.explode(F.array("src_entity", "dst_entity")).alias("entity_id")).join(small(order, SHOWN_ENTITIES), "entity_id")
     first = ends.withColumn("_r", F.row_number().over(Window.partitionBy("relation_id").orderBy("place"))).filter("_r = 1").drop("_r")
     return first.orderBy("place", "relation_id").limit(most)
 
@@ -153,8 +171,162 @@ def implemented_by(section_links: DataFrame, system_links: DataFrame, most: int
 
 
 def process_hops(processes: DataFrame, steps: DataFrame, systems: DataFrame, matched: DataFrame, most: int = VIA_STEP_MAX) -> DataFrame:
-    """Processes that a matched entity acts in or is touched by, by mentions."""
+    """Processes (rows of entities) that a matched entity acts in or is touched by, by mentions; none that is matched itself."""
     acts = steps.join(matched.withColumnRenamed("entity_id", "role_id"), "role_id", "left_semi").select("process_id")
     touched = steps.join(systems.join(matched, "entity_id", "left_semi").select("step_id"), "step_id", "left_semi").select("process_id")
     ids = acts.union(touched).distinct().join(matched.withColumnRenamed("entity_id", "process_id"), "process_id", "left_anti")
-    return processes.join(ids, "process_id", "left_semi").orderBy(F.desc("mentions"), "process_id").limit(most)
+    return processes.join(ids.withColumnRenamed("process_id", "entity_id"), "entity_id", "left_semi").orderBy(F.desc("mentions"), "entity_id").limit(most)
+
+
+# --- from extracted rows to tables
+
+
+def normalise_steps(rows: DataFrame) -> DataFrame:
+    """Extracted steps (section, process, ordinal, text, role, systems) cleaned and numbered anew: empty ones go, the first
+    STEPS_MAX of a section stay, texts and names have their caps."""
+    cut = rows.withColumn("process", clean(F.col("process"), NAME_MAX)).withColumn("text", clean(F.coalesce("text", F.lit("")), STEP_MAX)).withColumn("role", clean(F.coalesce("role", F.lit("")), NAME_MAX))
+    names = F.transform(F.coalesce("systems", F.array().cast("array<string>")), lambda x: clean(x, NAME_MAX))
+    cut = cut.withColumn("systems", F.array_distinct(F.filter(names, lambda x: x != ""))).filter("text <> '' and process <> ''")
+    place = F.row_number().over(Window.partitionBy("section", "process").orderBy("ordinal"))
+    return cut.withColumn("ordinal", place).filter(F.col("ordinal") <= STEPS_MAX)
+
+
+def preferred(mentions: DataFrame, entities: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each wanted (section, norm, type) the entity that the section mentions by that name, one of that type first."""
+    named = mentions.select("section", "entity_id").distinct().join(entities.select("entity_id", F.col("norm_name").alias("norm"), F.col("type").alias("_type")), "entity_id")
+    met = wanted.select("section", "norm", "type").distinct().join(named, ["section", "norm"])
+    place = F.row_number().over(Window.partitionBy("section", "norm", "type").orderBy((F.col("_type") == F.col("type")).desc(), "entity_id"))
+    return met.withColumn("_p", place).filter("_p = 1").select("section", "norm", "type", "entity_id")
+
+
+def apply_steps(steps: DataFrame, entities: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables (entities, steps, step systems) of normalised steps: a process is found by its name or made, and has that
+    type; roles and systems are resolved inside the step's own section."""
+    named = steps.withColumn("norm_name", norm_name(F.col("process")))
+    made = named.groupBy("norm_name").agg(F.min_by("process", F.struct("section", "ordinal")).alias("_name"), F.count_distinct("section").alias("_sections"))
+    both = entities.join(made, "norm_name", "full_outer")
+    found = F.col("_name").isNotNull()
+    out = both.select(
+        F.coalesce("entity_id", F.xxhash64("norm_name")).alias("entity_id"), "norm_name", F.coalesce("name", "_name").alias("name"), F.when(found, "process").otherwise(F.col("type")).alias("type"),
+        F.coalesce("description", F.lit("")).alias("description"), F.coalesce("mentions", "_sections").alias("mentions"),
+    )
+    rows = named.select(F.xxhash64("norm_name").alias("_made"), "norm_name", "section", "ordinal", "text", "role", "systems")
+    rows = rows.join(out.select(F.col("entity_id").alias("process_id"), "norm_name"), "norm_name").drop("_made", "norm_name")
+    rows = rows.withColumn("step_id", F.xxhash64("process_id", "section", "ordinal"))
+    roles = preferred(mentions, out, rows.filter("role <> ''").select("section", norm_name(F.col("role")).alias("norm"), F.lit("role").alias("type"))).select("section", F.col("norm").alias("_role"), F.col("entity_id").alias("role_id"))
+    placed = rows.withColumn("_role", norm_name(F.col("role"))).join(roles, ["section", "_role"], "left").drop("_role")
+    each = placed.select("step_id", "section", F.posexplode("systems").alias("place", "system")).withColumn("norm", norm_name(F.col("system")))
+    met = preferred(mentions, out, each.select("section", "norm", F.lit("system").alias("type"))).drop("type")
+    systems = each.join(met, ["section", "norm"], "left").select("step_id", "place", "system", "entity_id")
+    return out, placed.select("step_id", "process_id", "section", "ordinal", "text", "role", "role_id"), systems
+
+
+# --- vectors of texts
+
+
+def texts_to_embed(entities: DataFrame, relations: DataFrame, known: DataFrame) -> DataFrame:
+    """``hash, text`` of entities and named relations that ``known`` (hash) lacks, each text once."""
+    one = entities.select(F.concat_ws(": ", "name", F.nullif("description", F.lit(""))).alias("text"))
+    two = relations.select(F.concat(F.concat_ws(" → ", "src_name", "dst_name"), F.when(F.col("description") != "", F.concat(F.lit(": "), "description")).otherwise(F.lit(""))).alias("text"))
+    texts = one.unionByName(two).distinct().withColumn("hash", F.sha2("text", 256))
+    return texts.join(known.select("hash").distinct(), "hash", "left_anti").select("hash", "text")
+
+
+def lacking(rows: DataFrame, vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` that have a vector, and those that lack one."""
+    ids = vectors.select(key).distinct()
+    return rows.join(ids, key, "left_semi"), rows.join(ids, key, "left_anti")
+
+
+def embedded(texts: DataFrame, cache: DataFrame, model: str, dim: int, embed, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``hash, vector`` of ``texts`` (hash, text), and the rows that the cache (hash, model, vector) gains.
+
+    A cached vector counts for its model and dimension alone. What is missed, at most ``most`` texts, goes to ``embed``: a
+    function of a table (hash, text) to a table (hash, vector), such as a mapInArrow over batches.
+    """
+    good = cache.filter((F.col("model") == model) & (F.size("vector") == dim)).select("hash", "vector")
+    asked = texts.select("hash", "text").dropDuplicates(["hash"])
+    hits, misses = asked.join(good.dropDuplicates(["hash"]), "hash").select("hash", "vector"), asked.join(good, "hash", "left_anti")
+    fresh = embed(misses.orderBy("hash").limit(most) if most is not None else misses).select("hash", "vector").filter(F.size("vector") == dim)
+    return hits.unionByName(fresh), fresh.select("hash", F.lit(model).alias("model"), "vector")
+
+
+# --- what knowledge says of a question
+
+
+def section_links(steps: DataFrame, section_refs: DataFrame, symbols: DataFrame, refs: DataFrame) -> DataFrame:
+    """Code that a step's own section mentions: (step, symbol_id, path, name, referrers). ``section_refs``: section, name;
+    ``symbols``: symbol_id, path, name of code; ``refs``: path, name."""
+    by = refs.groupBy("name").agg(F.count_distinct("path").alias("referrers"))
+    met = steps.select(F.col("step_id").alias("step"), "section").join(section_refs.select("section", "name").distinct(), "section").join(symbols.select("symbol_id", "path", "name"), "name")
+    return met.join(by, "name", "left").select("step", "symbol_id", "path", "name", F.coalesce("referrers", F.lit(0)).alias("referrers"))
+
+
+def system_links(step_systems: DataFrame, symbols: DataFrame, refs: DataFrame) -> DataFrame:
+    """Code whose name spells a step's system: (step, symbol_id, path, name, referrers, system)."""
+    by = refs.groupBy("name").agg(F.count_distinct("path").alias("referrers"))
+    met = system_matches(step_systems.select("system").distinct(), symbols.select("symbol_id", "path", "name"))
+    rows = step_systems.select(F.col("step_id").alias("step"), "system").distinct().join(met, "system").join(by, "name", "left")
+    return rows.select("step", "symbol_id", "path", "name", F.coalesce("referrers", F.lit(0)).alias("referrers"), "system")
+
+
+def implements_seeds(matched: DataFrame, steps: DataFrame, step_systems: DataFrame, symbols: DataFrame, refs: DataFrame) -> DataFrame:
+    """``symbol_id, name, place``: code of the systems of matched processes' steps, LINK_LIMIT a step, system by system."""
+    own = steps.join(matched.filter("type = 'process'").select(F.col("entity_id").alias("process_id"), "place"), "process_id").select("step_id", "place", "ordinal")
+    links = system_links(step_systems.join(own.select("step_id").distinct(), "step_id", "left_semi"), symbols, refs)
+    rank = F.row_number().over(Window.partitionBy("step").orderBy(F.desc("referrers"), "path", "name", "system"))
+    few = links.withColumn("_r", rank).filter(F.col("_r") <= LINK_LIMIT).join(own, F.col("step") == F.col("step_id"))
+    return few.groupBy("symbol_id", F.col("system").alias("name")).agg(F.min(F.struct("place", "ordinal", "_r")).alias("_o")).withColumn("place", F.row_number().over(Window.partitionBy("symbol_id").orderBy("_o"))).select("symbol_id", "name", "place")
+
+
+def entity_seeds(matched: DataFrame, mentions: DataFrame) -> DataFrame:
+    """``symbol_id, name, place``: the sections that mention matched entities (entity_id, name, place)."""
+    return mentions.join(small(matched.select("entity_id", "name", "place"), SHOWN_ENTITIES), "entity_id").select(F.col("section").alias("symbol_id"), "name", "place").distinct()
+
+
+def semantic_seeds(section_vectors: DataFrame, query: list[float] | None, k: int = SEMANTIC_K) -> DataFrame | None:
+    """``symbol_id, similarity`` of the sections nearest to the question, those on its side alone."""
+    return None if query is None else knn(section_vectors, "symbol_id", "vector", query, k).filter("similarity > 0")
+
+
+def theme_seeds(relation_vectors: DataFrame, relations: DataFrame, themes: DataFrame, k: int = THEME_K) -> DataFrame:
+    """``symbol_id, similarity``: sections of the relations nearest to each theme (query, vector), the best of each."""
+    near = knn_many(relation_vectors, "relation_id", "vector", themes, k).filter("similarity > 0")
+    return near.join(relations.select("relation_id", "section"), "relation_id").groupBy(F.col("section").alias("symbol_id")).agg(F.max("similarity").alias("similarity"))
+
+
+def similar_entities(entity_vectors: DataFrame, query: list[float] | None, k: int = ENTITY_K) -> DataFrame | None:
+    return None if query is None else knn(entity_vectors, "entity_id", "vector", query, k)
+
+
+def entities_answer(matched: DataFrame, knowledge: dict[str, DataFrame], sections: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """What is told of matched entities (entity_id, place) and of the processes their steps lead to, a row each.
+
+    ``knowledge``: entities, mentions, relations (relation_id, src_entity, dst_entity, description, section), steps and
+    systems as ``apply_steps`` gives them; ``sections``: section, path, name, line_start, line_end; ``links``: code of
+    steps as ``implemented_by`` gives it. Sections stand in document order; a relation under its first entity; steps of
+    processes by line; processes reached through a step come after the matched ones.
+    """
+    entities, steps = knowledge["entities"], knowledge["steps"]
+    order = matched.select("entity_id", "place")
+    reached = process_hops(entities, steps, knowledge["systems"], order.select("entity_id"))
+    last = F.lit(1_000_000)
+    hops = reached.select("entity_id", (last + F.row_number().over(Window.orderBy(F.desc("mentions"), "entity_id"))).cast("int").alias("place"))
+    every = small(order.select("entity_id", F.col("place").cast("int").alias("place"), F.lit(False).alias("via_step")).unionByName(hops.withColumn("via_step", F.lit(True))), SHOWN_ENTITIES)
+    told = knowledge["mentions"].join(every.select("entity_id"), "entity_id", "left_semi").select("entity_id", "section").distinct().join(sections, "section")
+    told = told.groupBy("entity_id").agg(F.array_sort(F.collect_set(F.struct("path", "line_start", "name", "line_end"))).alias("_s"))
+    told = told.select("entity_id", F.transform("_s", lambda x: F.struct(x["path"].alias("path"), x["name"].alias("name"), x["line_start"].alias("line_start"), x["line_end"].alias("line_end"))).alias("sections"))
+    named = named_relations(knowledge["relations"], entities).join(sections, "section")
+    shown = shown_relations(named, every.filter("not via_step").select("entity_id", "place"))
+    said = shown.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("relation_id", F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), "description", "path", F.col("name"), "line_start", "line_end"))).alias("relations"))
+    own = steps.join(every.select(F.col("entity_id").alias("process_id")), "process_id", "left_semi").join(sections, "section")
+    own = own.join(knowledge["systems"].groupBy("step_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "system"))), lambda x: x["system"]).alias("systems")), "step_id", "left")
+    if links is None:
+        own = own.withColumn("code", F.array().cast("array<struct<place: int, path: string, name: string>>")).withColumn("more", F.lit(0).cast("long"))
+    else:
+        code = links.groupBy(F.col("step").alias("step_id")).agg(F.array_sort(F.collect_list(F.struct("place", "path", "name"))).alias("code"), F.max("more").alias("more"))
+        own = own.join(code, "step_id", "left")
+    own = ordered_steps(own)
+    acts = own.groupBy(F.col("process_id").alias("entity_id")).agg(F.array_sort(F.collect_list(F.struct("number", "text", "role", "systems", "path", "name", "code", "more"))).alias("steps"))
+    rows = entities.join(every, "entity_id").join(told, "entity_id", "left").join(said, "entity_id", "left").join(acts, "entity_id", "left")
+    return rows.select("place", "entity_id", "name", "type", "description", "mentions", "via_step", "sections", "relations", F.when(F.col("type") == "process", F.col("steps")).alias("steps")).orderBy("place")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.functions.text import split_identifier
+from lodeline.storage import settle
 
 K1, B = 1.2, 0.75
 #: Inverse document frequency of a term that most rows hold.
@@ -18,36 +21,46 @@ def tokens(text: Column) -> Column:
 
 
 def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, token, tf``: map-side counted before the shuffle."""
-    return rows.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    """``key, n_tokens, token, tf``: one explode that carries the length, map-side counted before the shuffle."""
+    words = rows.select(key, tokens(F.col(text)).alias("_t"))
+    return words.select(key, F.size("_t").cast("long").alias("n_tokens"), F.explode("_t").alias("token")).groupBy(key, "n_tokens", "token").agg(F.count("*").alias("tf"))
+
 
+def _asked(terms: list[str]) -> list[str]:
+    return list(dict.fromkeys(t.lower() for t in terms))
 
-def lengths(rows: DataFrame, key: str, text: str) -> DataFrame:
-    return rows.select(key, F.size(tokens(F.col(text))).cast("long").alias("n_tokens"))
 
+def _meets(term: str, prefix: bool):
+    return lambda x: x.startswith(term) if prefix else x == term
 
-def term_frequencies(post: DataFrame, key: str, terms: list[str], prefix: bool) -> DataFrame:
-    """``key, term, tf``: a prefix term sums the frequencies of every token it starts, before rows are counted."""
-    asked = post.sparkSession.createDataFrame([(t.lower(),) for t in dict.fromkeys(terms)], "term string")
-    meets = F.col("token").startswith(F.col("term")) if prefix else F.col("token") == F.col("term")
-    # the terms of one query are a handful; the postings stay where they are
-    return post.join(F.broadcast(asked), meets).groupBy(key, "term").agg(F.sum("tf").alias("tf"))
 
+def bm25(rows: DataFrame, key: str, words: Column, terms: list[str], prefix: bool = True) -> DataFrame:
+    """``key, score``: sum over terms of the positive BM25 weights; rows that no term meets are absent.
+
+    ``words`` is a row's array of tokens. A question has a handful of terms, so they are counted inside the array: no
+    token leaves its row, and what the frequencies need of all rows is one aggregate. The rows' counts are written once,
+    since both read them. A prefix term sums the frequencies of every token it starts, before rows are counted.
+    """
+    asked = _asked(terms)
+    counted = rows.select(key, words.alias("_t")).select(key, F.size("_t").cast("long").alias("_n"), F.array(*[F.size(F.filter("_t", _meets(t, prefix))).cast("long") for t in asked]).cast("array<bigint>").alias("_tf"))
+    counted = settle(counted, "counted")
+    tf = [F.get("_tf", i) for i in range(len(asked))]
+    stats = counted.agg(F.count("*").alias("_rows"), F.avg("_n").alias("_mean"), *[F.count_if(x > 0).alias(f"_df{i}") for i, x in enumerate(tf)])
 
-def bm25(rows: DataFrame, key: str, text: str, terms: list[str], prefix: bool = True) -> DataFrame:
-    """``key, score``: sum over terms of the positive BM25 weights; rows that no term meets are absent."""
-    size = lengths(rows, key, text)
-    stats = size.agg(F.count("*").alias("rows"), F.avg("n_tokens").alias("mean"))
-    tf = term_frequencies(postings(rows, key, text), key, terms, prefix)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean")))
-    return tf.join(F.broadcast(df), "term").join(size, key).crossJoin(F.broadcast(stats)).groupBy(key).agg(F.sum(weight).alias("score"))
+    def weight(i: int) -> Column:
+        df = F.col(f"_df{i}")
+        idf = F.log((F.col("_rows") - df + 0.5) / (df + 0.5))
+        part = F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)) * tf[i] * (K1 + 1) / (tf[i] + K1 * (1 - B + B * F.col("_n") / F.col("_mean")))
+        return F.when(tf[i] > 0, part).otherwise(0.0)
 
+    met = counted.filter(F.exists("_tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))
+    return met.select(key, sum((weight(i) for i in range(len(asked))), F.lit(0.0)).alias("score"))
 
-def hit_ids(post: DataFrame, key: str, terms: list[str]) -> DataFrame:
+
+def hit_ids(rows: DataFrame, key: str, words: Column, terms: list[str]) -> DataFrame:
     """Rows that hold a token starting with any of the terms, each once."""
-    return term_frequencies(post, key, terms, prefix=True).select(key).distinct()
+    found = [F.exists(words, _meets(t, True)) for t in _asked(terms)]
+    return rows.filter(reduce(Column.__or__, found, F.lit(False))).select(key).distinct()
 
 
 def find(symbols: DataFrame, asked: str, limit: int) -> DataFrame:
@@ -70,3 +83,18 @@ def referrers(refs: DataFrame, most: int = 5) -> DataFrame:
     top = counts.withColumn("rank", F.row_number().over(w))
     listed = F.sort_array(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", "path", "count"))))
     return top.groupBy("name").agg(F.count("*").alias("n_files"), F.sum("count").alias("n_refs"), F.transform(listed, lambda x: F.struct(x["path"].alias("path"), x["count"].alias("count"))).alias("top"))
+
+
+def referrers_of(found: DataFrame, refs: DataFrame, most: int = 5) -> DataFrame:
+    """``found`` (path, name, ...) with the other files that refer to each symbol's name, how many, their references, the
+    ``most`` strongest, and the references in the symbol's own file."""
+    counts = refs.join(F.broadcast(found.select("name").distinct()), "name", "left_semi").groupBy("name", F.col("path").alias("by")).agg(F.count("*").alias("count"))
+    met = found.select("path", "name").distinct().join(counts, "name")
+    own = F.col("by") == F.col("path")
+    place = F.row_number().over(Window.partitionBy("path", "name").orderBy(own, F.desc("count"), "by"))
+    listed = F.sort_array(F.collect_list(F.when(~own & (F.col("place") <= most), F.struct("place", F.col("by").alias("path"), "count"))))
+    by = met.withColumn("place", place).groupBy("path", "name").agg(
+        F.count_if(~own).alias("n_files"), F.sum(F.when(own, 0).otherwise(F.col("count"))).alias("n_refs"), F.sum(F.when(own, F.col("count")).otherwise(0)).alias("n_own"),
+        F.transform(listed, lambda x: F.struct(x["path"].alias("path"), x["count"].alias("count"))).alias("top"),
+    )
+    return found.join(by, ["path", "name"], "left").fillna(0, ["n_files", "n_refs", "n_own"])

@@ -9,6 +9,7 @@ from lodeline.catalogue import query, table
 from lodeline.functions import text as T
 from lodeline.functions.secrets import assigned_values, secret_rule
 from lodeline.operators import incremental as I
+from lodeline.operators.incremental import BUCKET_DIGITS as DIGITS
 from lodeline.sources import gates
 
 
@@ -84,10 +85,13 @@ def q57(spark, d):
     return I.scan_changes(docs.filter("path % 10 < 8"), scanned)
 
 
-@query("q58_index_version", """
-WITH r AS (SELECT lpad(doc_id::VARCHAR, 9, '0') AS path, sha256(text) AS h FROM documents), b AS (SELECT left(sha256(path), 3) AS bucket, path, path || chr(9) || h || chr(10) AS l FROM r),
-g AS (SELECT bucket, sha256(string_agg(l, '' ORDER BY path)) AS dg FROM b GROUP BY bucket)
-SELECT left(sha256(string_agg(dg, '' ORDER BY bucket)), 12) AS version FROM g""")
+def version_sql() -> str:
+    levels = [f"b{DIGITS} AS (SELECT left(sha256(path), {DIGITS}) AS bucket, sha256(string_agg(l, '' ORDER BY path)) AS dg FROM (SELECT path, path || chr(9) || h || chr(10) AS l FROM r) GROUP BY bucket)"]
+    levels += [f"b{k} AS (SELECT left(b.bucket, {k}) AS bucket, sha256(string_agg(dg, '' ORDER BY b.bucket)) AS dg FROM b{k + 1} AS b GROUP BY left(b.bucket, {k}))" for k in range(DIGITS - 1, -1, -1)]
+    return "WITH r AS (SELECT lpad(doc_id::VARCHAR, 9, '0') AS path, sha256(text) AS h FROM documents), " + ", ".join(levels) + " SELECT left(dg, 12) AS version FROM b0"
+
+
+@query("q58_index_version", version_sql())
 def q58(spark, d):
     docs = table(spark, d, "documents").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"), F.sha2("text", 256).alias("content_hash"))
     return I.index_version(docs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodeline.catalogue import query, table
@@ -82,3 +83,44 @@ SELECT user_id, round(avg(value) FILTER (WHERE event_type = 'view'), 9) AS view,
 def q76(spark, d):
     wide = E.pivoted(table(spark, d, "events"), "user_id", "event_type", "value", ["view", "click"])
     return wide.select("user_id", F.round("view", 9).alias("view"), F.round("click", 9).alias("click"))
+
+
+@query("q90_session_scores", f"""
+WITH {ANSWERS}, k AS (SELECT source, gold, answer, row_number() OVER (ORDER BY source) AS n FROM a),
+r AS (SELECT source, gold, CASE WHEN n % 5 = 1 THEN 'no result line' WHEN n % 5 = 2 THEN 'result subtype error_max_turns' WHEN n % 5 = 3 THEN 'no structured output' END AS reason, answer, n FROM k),
+b AS (SELECT source, gold, reason, CASE WHEN reason IS NULL THEN answer ELSE [] END AS answer, n FROM r)
+SELECT source AS question, reason, reason IS NOT NULL AS failed, len(list_intersect(gold, answer))::INT AS hits,
+  round(CASE WHEN reason IS NOT NULL THEN 0.0 WHEN len(gold) = 0 THEN 1.0 ELSE len(list_intersect(gold, answer))::DOUBLE / len(gold) END, 9) AS recall,
+  (n % 3)::INT AS hook_denials, CASE WHEN n % 2 = 0 THEN ['Bash'] ELSE [] END AS denied FROM b""")
+def q90(spark, d):
+    """Sources as questions of a run, whose sessions end in different ways."""
+    rows = answers(spark, d).select(F.col("source").alias("question"), F.transform("gold", lambda x: x.cast("string")).alias("gold"), F.transform("answer", lambda x: x.cast("string")).alias("answer"))
+    n = F.row_number().over(Window.orderBy("question"))  # a row per source
+    rows = rows.withColumn("n", n)
+    hook = F.array_repeat(F.struct(F.lit("Read").alias("tool"), F.lit(True).alias("by_hook")), (F.col("n") % 3).cast("int"))
+    other = F.when(F.col("n") % 2 == 0, F.array_repeat(F.struct(F.lit("Bash").alias("tool"), F.lit(False).alias("by_hook")), 2)).otherwise(F.array_repeat(F.struct(F.lit("").alias("tool"), F.lit(False).alias("by_hook")), 0))
+    runs = rows.select(
+        "question", "answer", F.lit(None).cast("string").alias("spawn_error"), F.lit(False).alias("is_error"), F.when(F.col("n") % 5 == 2, "error_max_turns").when(F.col("n") % 5 != 1, "success").alias("outcome"),
+        (F.col("n") % 5 != 3).alias("structured"), F.concat(hook, other).alias("denials"),
+    )
+    scored = E.session_records(runs, rows)
+    return scored.select("question", "reason", "failed", F.size("hit").alias("hits"), F.round("recall", 9).alias("recall"), "hook_denials", "denied")
+
+
+@query("q91_connection_walk", """
+WITH RECURSIVE r AS (SELECT o_custkey AS a, o_custkey * 7 % 1499 AS b FROM orders), b2 AS (SELECT a, b FROM r UNION SELECT b, a FROM r),
+w AS (SELECT 7::BIGINT AS node, 0 AS hops UNION SELECT b2.b, w.hops + 1 FROM w JOIN b2 ON b2.a = w.node WHERE w.hops < 3)
+SELECT DISTINCT o_orderpriority || '::' || o_orderstatus AS key FROM orders WHERE o_custkey IN (SELECT node FROM w)""")
+def q91(spark, d):
+    orders = table(spark, d, "orders")
+    relations = orders.select(F.col("o_custkey").alias("src_entity"), (F.col("o_custkey") * 7 % 1499).alias("dst_entity"))
+    sections = orders.select(F.col("o_orderkey").alias("section"), F.col("o_orderpriority").alias("path"), F.col("o_orderstatus").alias("name"))
+    return E.connection_keys(relations, orders.select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("section")), sections, 7, 3)
+
+
+@query("q92_category_recall", f"""
+WITH {ANSWERS}, c AS (SELECT 'k' || right(source, 1) AS category, CASE WHEN len(gold) = 0 THEN 1.0 ELSE len(hit)::DOUBLE / len(gold) END AS recall FROM g)
+SELECT category, round(avg(recall), 9) AS recall, count(*) FILTER (WHERE recall >= 1) AS cited, count(*) AS questions FROM c GROUP BY ROLLUP (category)""")
+def q92(spark, d):
+    rows = E.graded(answers(spark, d)).select(F.concat(F.lit("k"), F.right(F.col("source"), F.lit(1))).alias("category"), "recall")
+    return E.category_recall(rows).withColumn("recall", F.round("recall", 9))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodeline.catalogue import query, table
@@ -49,13 +50,14 @@ def q62(spark, d):
 
 
 @query("q63_recount", """
-WITH m AS (SELECT DISTINCT l_suppkey AS e, l_orderkey AS s FROM lineitem WHERE l_orderkey % 40 = 0), c AS (SELECT e, count(*) AS n FROM m GROUP BY e)
-SELECT s_suppkey AS entity_id, s_name AS name, n AS mentions, (SELECT count(*) FROM supplier AS t JOIN c AS d ON d.e = t.s_suppkey WHERE t.s_nationkey = supplier.s_nationkey AND t.s_suppkey <> supplier.s_suppkey) AS relations FROM supplier JOIN c ON e = s_suppkey""")
+WITH m AS (SELECT DISTINCT l_suppkey AS e, l_orderkey AS s FROM lineitem), c AS (SELECT e, count(*) AS n FROM m GROUP BY e),
+r AS (SELECT s_suppkey AS a, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS b FROM supplier)
+SELECT s_suppkey AS entity_id, s_name AS name, n AS mentions, (SELECT count(*) FROM r WHERE r.a = s_suppkey AND b IN (SELECT e FROM c)) AS relations FROM supplier JOIN c ON e = s_suppkey""")
 def q63(spark, d):
     suppliers = table(spark, d, "supplier")
     mentions = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity_id"), F.col("l_orderkey").alias("section"))
-    a = suppliers.select(F.col("s_suppkey").alias("src_entity"), "s_nationkey")
-    relations = a.join(a.withColumnRenamed("src_entity", "dst_entity"), "s_nationkey").filter("src_entity <> dst_entity")
+    after = F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    relations = suppliers.select(F.col("s_suppkey").alias("src_entity"), after.alias("dst_entity")).filter("dst_entity is not null")
     kept, left = K.recount(suppliers.select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name")), mentions, relations)
     return kept.join(left.groupBy(F.col("src_entity").alias("entity_id")).agg(F.count("*").alias("relations")), "entity_id", "left").fillna(0, ["relations"])
 
@@ -115,5 +117,45 @@ def q68(spark, d):
 SELECT s_nationkey, left(string_agg(x, '; ' ORDER BY k), 120) AS description FROM (SELECT s_nationkey, floor(s_acctbal / 1000)::INT::VARCHAR AS x, min(s_suppkey) AS k FROM supplier GROUP BY ALL) GROUP BY s_nationkey""")
 def q69(spark, d):
     rows = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", F.floor(F.col("s_acctbal") / 1000).cast("int").cast("string").alias("x"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "x"))), lambda r: r["x"])
-    return rows.groupBy("s_nationkey").agg(extend_description(listed, 120).alias("description"))
+    return K.first_parts(rows, ["s_nationkey"], "x", "s_suppkey", most=120).select("s_nationkey", extend_description(F.col("parts"), 120).alias("description"))
+
+
+def told_steps(spark, d):
+    """Turns as extracted steps of sections: what is said is a step, who says it a role, its first word a system."""
+    rows = table(spark, d, "conversations")
+    return rows.select(F.col("conv_id").alias("section"), F.concat(F.lit("Process "), F.col("conv_id") % 40).alias("process"), F.col("turn").cast("int").alias("ordinal"), "text", "role", F.array(F.substring("text", 1, 3)).alias("systems"))
+
+
+@query("q77_normalised_steps", r"""
+WITH t AS (SELECT conv_id AS section, 'Process ' || conv_id % 40 AS process, turn, role, left(trim(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F-\x9F]', '', 'g'), '\s+', ' ', 'g')), 300) AS text FROM conversations)
+SELECT section, process, row_number() OVER (PARTITION BY section, process ORDER BY turn)::INT AS ordinal, role, text FROM t WHERE text <> ''""")
+def q77(spark, d):
+    return K.normalise_steps(told_steps(spark, d)).select("section", "process", "ordinal", "role", "text")
+
+
+PREFERRED = """
+m AS (SELECT conv_id AS section, role AS norm, turn % 2 AS kind FROM conversations), e AS (SELECT DISTINCT norm || kind AS entity_id, norm, CASE kind WHEN 0 THEN 'role' ELSE 'system' END AS type FROM m),
+mt AS (SELECT DISTINCT section, norm || kind AS entity_id FROM m)"""
+
+
+@query("q78_preferred_mention", f"""
+WITH {PREFERRED}, w AS (SELECT DISTINCT section, norm, CASE WHEN section % 2 = 0 THEN 'role' ELSE 'system' END AS type FROM m),
+r AS (SELECT w.*, e.entity_id, row_number() OVER (PARTITION BY w.section, w.norm, w.type ORDER BY e.type = w.type DESC, e.entity_id) AS k FROM w JOIN mt ON mt.section = w.section JOIN e ON e.entity_id = mt.entity_id AND e.norm = w.norm)
+SELECT section, norm, type, entity_id FROM r WHERE k = 1""")
+def q78(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("section"), F.col("role").alias("norm"), (F.col("turn") % 2).alias("kind")).withColumn("entity_id", F.concat("norm", F.col("kind")))
+    entities = rows.select("entity_id", F.col("norm").alias("norm_name"), F.when(F.col("kind") == 0, "role").otherwise("system").alias("type")).distinct()
+    wanted = rows.select("section", "norm", F.when(F.col("section") % 2 == 0, "role").otherwise("system").alias("type"))
+    return K.preferred(rows.select("section", "entity_id"), entities, wanted)
+
+
+@query("q79_texts_to_embed", """
+WITH t AS (SELECT p_name || ': ' || p_type AS text FROM part UNION SELECT c_name || ' → ' || n_name || CASE WHEN c_mktsegment <> 'BUILDING' THEN ': ' || c_mktsegment ELSE '' END FROM customer JOIN nation ON n_nationkey = c_nationkey),
+h AS (SELECT text, sha256(text) AS hash FROM t) SELECT hash, text FROM h WHERE hash NOT IN (SELECT sha256(p_name || ': ' || p_type) FROM part WHERE p_partkey % 3 = 0)""")
+def q79(spark, d):
+    parts = table(spark, d, "part")
+    entities = parts.select(F.col("p_name").alias("name"), F.col("p_type").alias("description"))
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("dst_name"))
+    relations = table(spark, d, "customer").join(nations, "c_nationkey").select(F.col("c_name").alias("src_name"), "dst_name", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).otherwise("").alias("description"))
+    known = parts.filter("p_partkey % 3 = 0").select(F.sha2(F.concat_ws(": ", "p_name", "p_type"), 256).alias("hash"))
+    return K.texts_to_embed(entities, relations, known)

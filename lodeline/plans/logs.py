@@ -75,3 +75,21 @@ SELECT event_id AS symbol_id, epoch_us(ts) // 1000 AS queued_at_ms FROM events W
 def q87(spark, d):
     rows = table(spark, d, "events").select(F.col("event_id").alias("symbol_id"), F.timestamp_diff("MILLISECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), "ts").alias("queued_at_ms"), (F.col("user_id") % 4).alias("attempts"), F.when((F.col("event_type") == "click") & (F.col("value") <= 50), F.lit(2_000_000)).when(F.col("event_type") == "click", F.lit(0)).alias("claimed_at_ms"))
     return I.claimable(rows, 2_000_000, 50).select("symbol_id", "queued_at_ms")
+
+
+LOG = """
+l AS (SELECT event_id AS seq, user_id AS symbol_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'released' ELSE 'claimed' END AS event, event_id % 11 AS stamp, epoch_us(ts) // 1000 AS at_ms FROM events)"""
+
+
+@query("q88_claim_holders", f"""
+WITH RECURSIVE {LOG}, n AS (SELECT *, sum(CASE WHEN event = 'claimed' THEN 0 ELSE 1 END) OVER (PARTITION BY symbol_id ORDER BY at_ms, CASE WHEN event = 'claimed' THEN 0 ELSE 1 END, stamp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ep FROM l),
+e AS (SELECT *, coalesce(ep, 0) AS epoch, max(coalesce(ep, 0) + CASE WHEN event = 'claimed' THEN 0 ELSE 1 END) OVER (PARTITION BY symbol_id) AS last FROM n),
+o AS (SELECT symbol_id, at_ms, stamp::VARCHAR AS stamp, row_number() OVER (PARTITION BY symbol_id ORDER BY at_ms, stamp::VARCHAR) AS k FROM e WHERE event = 'claimed' AND epoch = last),
+h AS (SELECT symbol_id, k, at_ms, stamp FROM o WHERE k = 1 UNION ALL SELECT o.symbol_id, o.k, CASE WHEN h.at_ms < o.at_ms - 600000 THEN o.at_ms ELSE h.at_ms END, CASE WHEN h.at_ms < o.at_ms - 600000 THEN o.stamp ELSE h.stamp END FROM h JOIN o ON o.symbol_id = h.symbol_id AND o.k = h.k + 1)
+SELECT symbol_id, arg_max(stamp, k) AS stamp, arg_max(at_ms, k) AS claimed_at_ms FROM h GROUP BY symbol_id""")
+def q88(spark, d):
+    """Who holds each symbol after all claims, releases and failures of the log."""
+    event = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "released").otherwise("claimed")
+    at = F.timestamp_diff("MILLISECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), "ts")
+    log = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("symbol_id"), F.lit("h").alias("hash"), event.alias("event"), F.lit(None).cast("string").alias("error"), (F.col("event_id") % 11).cast("string").alias("stamp"), at.alias("at_ms"))
+    return I.claims(log)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeline.catalogue import query, table
 from lodeline.functions.text import approx_tokens
+from lodeline.operators import graph as G
 from lodeline.operators import provenance as P
 from lodeline.operators import rank as R
 from lodeline.plans.graph import PAIRS, pagerank_sql, ranks, tables
@@ -59,11 +60,12 @@ def q33(spark, d):
     return final(spark, d).select("file", "name", "score", F.round("file_rank", 9).alias("file_rank"), "rank", "referrers", F.transform("referenced_by", lambda x: F.concat_ws(":", x["path"], x["count"])).alias("top"))
 
 
-BUDGETED = "t AS (SELECT doc_id, source, n_chars, ceil(length(text) / 4.0)::BIGINT AS tokens FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 500), rn AS (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id)::INT AS rank, sum(tokens) OVER (ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM t)"
+BUDGETED = "t AS (SELECT doc_id, source, n_chars, ceil(length(text) / 4.0)::BIGINT AS tokens FROM documents ORDER BY n_chars DESC, doc_id LIMIT 500), rn AS (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id)::INT AS rank, sum(tokens) OVER (ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM t)"
 
 
 def budgeted(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "source", "n_chars", approx_tokens(F.col("text")).alias("tokens"))
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars", approx_tokens(F.col("text")).alias("tokens"))
+    # an answer's rows: the top 500 are the feature, as a budget serves no more
     top = docs.orderBy(F.desc("n_chars"), "doc_id").limit(500)
     return R.within_budget(R.numbered(top, F.desc("n_chars"), "doc_id"), "tokens", 100_000, F.desc("n_chars"), "doc_id")
 
@@ -88,3 +90,24 @@ SELECT source AS path, doc_id AS line_start, rank, dense_rank() OVER (ORDER BY b
 def q36(spark, d):
     served = budgeted(spark, d).filter("served").select(F.col("source").alias("path"), F.col("doc_id").alias("line_start"), "rank")
     return R.file_groups(served).drop("best")
+
+
+SEEDED = "1.0::DOUBLE + CASE WHEN starts_with(node, 'c') AND substr(node, 2)::BIGINT % 5 = 0 THEN 5 * 0.25 ELSE 0 END + CASE WHEN starts_with(node, 's') AND substr(node, 2)::BIGINT % 7 = 0 THEN 5 ELSE 0 END + CASE WHEN starts_with(node, 's') AND substr(node, 2)::BIGINT % 11 = 0 THEN 2.5 ELSE 0 END + CASE WHEN starts_with(node, 'c') AND substr(node, 2)::BIGINT % 13 = 0 THEN 5 * 0.5 ELSE 0 END"
+
+
+@query("q37_knowledge_seeds", pagerank_sql(SEEDED, PAIRS, """SELECT node, round(rank, 9) AS rank,
+ list_filter([CASE WHEN starts_with(node, 'c') AND substr(node, 2)::BIGINT % 5 = 0 THEN 'semantic' END, CASE WHEN starts_with(node, 's') AND substr(node, 2)::BIGINT % 7 = 0 THEN 'entity:Seven' END,
+  CASE WHEN starts_with(node, 's') AND substr(node, 2)::BIGINT % 11 = 0 THEN 'implements:Eleven' END, CASE WHEN starts_with(node, 'c') AND substr(node, 2)::BIGINT % 13 = 0 THEN 'theme' END], lambda x: x IS NOT NULL) AS seeds FROM rk"""))
+def q37(spark, d):
+    """Ranks personalised by what vectors, entities, implementing code and themes say of files."""
+    defs, refs = tables(spark, d)
+    nodes = defs.select(F.col("file").alias("node")).union(refs.select("file")).distinct()
+    number = F.substring("node", 2, 20).cast("long")
+    c, s = F.col("node").startswith("c"), F.col("node").startswith("s")
+    none = F.lit(False)
+    facts = nodes.select(
+        "node", none.alias("focus"), none.alias("pinned"), none.alias("text_hit"), none.alias("note"), F.when(c & (number % 5 == 0), 0.25).alias("semantic"), F.when(c & (number % 13 == 0), 0.5).alias("theme"),
+        F.when(s & (number % 7 == 0), F.array(F.lit("Seven"))).alias("entities"), F.when(s & (number % 11 == 0), F.array(F.lit("Eleven"))).alias("implements"), F.lit("").alias("query"),
+    )
+    person = R.personalisation(facts)
+    return G.pagerank_of_names(person.select("node", "p"), defs, refs).join(person.drop("p"), "node").select("node", F.round("rank", 9).alias("rank"), "seeds")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeline.catalogue import query, table
-from lodeline.functions.stem import stemmed_tokens
+from lodeline.functions.stem import stem, stemmed_tokens
 from lodeline.functions.text import split_identifier
 from lodeline.operators import search as S
 
@@ -19,8 +19,7 @@ TERM_SQL = "q AS (SELECT unnest(['ther', 'onthe', 'in']) AS term)"
 WITH {POSTINGS} SELECT token, count(*) AS docs, sum(tf)::BIGINT AS tf, max(n) AS longest FROM p JOIN l USING (doc_id) GROUP BY token""")
 def q10(spark, d):
     docs = table(spark, d, "documents")
-    rows = S.postings(docs, "doc_id", "text").join(S.lengths(docs, "doc_id", "text"), "doc_id")
-    return rows.groupBy("token").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"), F.max("n_tokens").alias("longest"))
+    return S.postings(docs, "doc_id", "text").groupBy("token").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"), F.max("n_tokens").alias("longest"))
 
 
 @query("q11_bm25", f"""
@@ -31,12 +30,12 @@ w AS (SELECT f.doc_id, CASE WHEN ln((rows - df + 0.5) / (df + 0.5)) > 0 THEN ln(
   FROM f JOIN g USING (term) JOIN l USING (doc_id) CROSS JOIN s)
 SELECT doc_id, round(sum(x), 9) AS score FROM w GROUP BY doc_id ORDER BY round(sum(x), 9) DESC, doc_id LIMIT 50""")
 def q11(spark, d):
-    return S.bm25(table(spark, d, "documents"), "doc_id", "text", TERMS).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(50)
+    return S.bm25(table(spark, d, "documents"), "doc_id", S.tokens(F.col("text")), TERMS).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
 @query("q12_prefix_hits", f"WITH {POSTINGS}, {TERM_SQL} SELECT DISTINCT doc_id FROM p JOIN q ON starts_with(p.token, q.term)")
 def q12(spark, d):
-    return S.hit_ids(S.postings(table(spark, d, "documents"), "doc_id", "text"), "doc_id", TERMS)
+    return S.hit_ids(table(spark, d, "documents"), "doc_id", S.tokens(F.col("text")), TERMS)
 
 
 @query("q13_find", """
@@ -62,8 +61,22 @@ def q13(spark, d):
 @query("q14_stemmed_bm25")
 def q14(spark, d):
     """Stemming is outside SQL; tested on hand-made cases."""
-    docs = table(spark, d, "documents").select("doc_id", F.array_join(stemmed_tokens(F.col("text")), " ").alias("text"))
-    return S.bm25(docs, "doc_id", "text", TERMS).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(50)
+    docs = table(spark, d, "documents").select("doc_id", stemmed_tokens(F.col("text")).alias("stems"))
+    return S.bm25(docs, "doc_id", F.col("stems"), [stem(t) for t in TERMS]).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(50)
+
+
+@query("q16_own_references", """
+WITH f AS (SELECT l_suppkey AS path, l_partkey AS name FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL ORDER BY name, path LIMIT 200),
+c AS (SELECT l_partkey AS name, l_suppkey AS src, count(*) AS n FROM lineitem GROUP BY ALL),
+r AS (SELECT f.path, f.name, src, n, row_number() OVER (PARTITION BY f.path, f.name ORDER BY src = f.path, n DESC, src) AS k FROM f JOIN c ON c.name = f.name)
+SELECT path, name, count(*) FILTER (WHERE src <> path) AS n_files, coalesce(sum(n) FILTER (WHERE src <> path), 0)::BIGINT AS n_refs, coalesce(sum(n) FILTER (WHERE src = path), 0)::BIGINT AS n_own,
+  coalesce(list(src ORDER BY k) FILTER (WHERE src <> path AND k <= 5), []) AS top FROM r GROUP BY path, name""")
+def q16(spark, d):
+    """References in a symbol's own file apart from those of others; an answer's 200 symbols are the feature."""
+    lines = table(spark, d, "lineitem")
+    found = lines.filter("l_linenumber = 1").select(F.col("l_suppkey").alias("path"), F.col("l_partkey").alias("name")).distinct().orderBy("name", "path").limit(200)
+    rows = S.referrers_of(found, lines.select(F.col("l_suppkey").alias("path"), F.col("l_partkey").alias("name")))
+    return rows.select("path", "name", "n_files", "n_refs", "n_own", F.transform("top", lambda x: x["path"]).alias("top"))
 
 
 @query("q15_identifier_parts", """

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.sources.extract import EXTRACTED, extract_rows
-from lodeline.sources.gates import denied, gate, glob_regex
+from lodeline.functions.stem import stemmed_tokens
+from lodeline.functions.text import split_identifier
+from lodeline.sources.gates import denied, gate, glob_regex, name_reason
 
 #: Directories that are never entered.
 PRUNED = (".git", ".lodeline")
@@ -114,19 +116,26 @@ def listing(spark: SparkSession, workspace: Workspace) -> DataFrame:
     return listed.withColumn("skipped_reason", F.when(deny, "denylisted").otherwise(F.col("skipped_reason"))).withColumn("file", F.when(F.col("skipped_reason").isNull(), F.col("file")))
 
 
+#: Files of one task, about, and contents that one frame of a task's result holds at most, unless a single file is larger.
+FILES_PER_TASK, FRAME_BYTES = 64, 8 << 20
+
+
 def read(listed: DataFrame) -> DataFrame:
-    """``listed`` with ``content``; rows with a reason are not read."""
+    """``listed`` with ``content``. Rows with a reason are not read, nor are files that their name or size rules out."""
+    ruled_out = name_reason(F.col("path"), F.col("size"))
+    listed = listed.withColumn("skipped_reason", F.coalesce("skipped_reason", ruled_out)).withColumn("file", F.when(F.col("skipped_reason").isNull(), F.col("file")))
     spark = listed.sparkSession
-    files = [r.file for r in listed.filter("file is not null").select("file").collect()]
-    if not files:
+    most = spark.sparkContext.defaultParallelism * 4
+    n = listed.filter("file is not null").limit(most * FILES_PER_TASK).count()
+    if not n:
         return listed.withColumn("content", F.lit(None).cast("binary")).drop("file")
-    tasks = max(1, min(len(files) // 16, spark.sparkContext.defaultParallelism * 4))
-    return listed.repartition(tasks).mapInPandas(_contents, "path string, size long, mtime_ms long, skipped_reason string, content binary")
+    return listed.repartition(max(1, min(n // FILES_PER_TASK, most))).mapInPandas(_contents, "path string, size long, mtime_ms long, skipped_reason string, content binary")
 
 
 def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["path", "size", "mtime_ms", "skipped_reason", "content"]
+    rows, held = [], 0
     for batch in batches:
-        rows = []
         for r in batch.itertuples():
             content, why = None, r.skipped_reason
             if isinstance(r.file, str):
@@ -136,7 +145,11 @@ def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 except OSError:
                     why = "unreadable"
             rows.append((r.path, r.size, r.mtime_ms, why, content))
-        yield pd.DataFrame(rows, columns=["path", "size", "mtime_ms", "skipped_reason", "content"])
+            held += len(content or b"")
+            if held >= FRAME_BYTES:
+                yield pd.DataFrame(rows, columns=names)
+                rows, held = [], 0
+    yield pd.DataFrame(rows, columns=names)
 
 
 def scan(spark: SparkSession, workspace: Workspace) -> DataFrame:
@@ -160,10 +173,11 @@ def tables(rows: DataFrame) -> dict[str, DataFrame]:
     """The index tables of extracted rows."""
     key = F.xxhash64("path", "name", "kind", "line_start")
     symbols = rows.filter("role = 'def'").select(key.alias("symbol_id"), "path", "name", "kind", "line_start", "line_end", "signature", "body")
+    said = F.concat_ws(" ", F.col("name"), F.array_join(split_identifier(F.col("name")), " "))
     return {
-        "symbols": symbols.drop("body"),
+        "symbols": symbols.drop("body").withColumn("stems", F.array_distinct(stemmed_tokens(said))),
         "refs": rows.filter("role = 'ref'").select("path", "name", F.col("line_start").alias("line")),
-        "sections": symbols.filter(F.trim("body") != "").select("symbol_id", "path", "name", F.col("body").alias("content"), F.sha2("body", 256).alias("hash")),
+        "sections": symbols.filter(F.trim("body") != "").select("symbol_id", "path", "name", F.col("body").alias("content"), F.sha2("body", 256).alias("hash"), stemmed_tokens(F.col("body")).alias("stems")),
         "aliases": rows.filter("role = 'alias'").select(F.col("name").alias("alias"), F.col("signature").alias("table_name"), "path"),
     }
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,11 @@ def document_reason(path: Column, size: Column, text: Column) -> Column:
     return F.when(basename(path).isin(*LOCKFILES), "lockfile").when(size > MAX_DOCUMENT_BYTES, "too-large").when(minified, "minified")
 
 
+def name_reason(path: Column, size: Column) -> Column:
+    """Why a file is skipped that its path and size tell of, before it is read; else null."""
+    return F.when(denied(path), "denylisted").when(size > MAX_FILE_BYTES, "too-large").when(basename(path).isin(*LOCKFILES), "lockfile").when(language(path).isNull(), "unsupported-language")
+
+
 def gate(files: DataFrame) -> DataFrame:
     """``files`` (path, content binary, size) with lang, text and skipped_reason, first reason first."""
     rows = files.withColumn("lang", language(F.col("path")))
@@ -51,7 +58,7 @@ def gate(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("_text", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")))
     kind = language_class(F.col("lang"))
     reason = (
-        F.when(denied(F.col("path")), "denylisted").when(F.col("size") > MAX_FILE_BYTES, "too-large").when(basename(F.col("path")).isin(*LOCKFILES), "lockfile").when(F.col("lang").isNull(), "unsupported-language")
+        F.when(name_reason(F.col("path"), F.col("size")).isNotNull(), name_reason(F.col("path"), F.col("size")))
         .when(F.contains(head, F.lit(b"\x00")), "binary").when(F.col("_text").isNull(), "not-utf8")
         .when((kind == "document") & document_reason(F.col("path"), F.col("size"), F.col("_text")).isNotNull(), document_reason(F.col("path"), F.col("size"), F.col("_text")))
         .when(secret_rule(F.col("_text")).isNotNull(), "secret-like content")
@@ -84,9 +91,13 @@ def type_word(schema: Column) -> Column:
 
 def json_keys(rows: DataFrame, column: str) -> DataFrame:
     """``key, type`` of the keys of JSON objects to depth two (``a`` and ``a.b``), never their values."""
-    rows.createOrReplaceTempView("_json_rows")
-    top = rows.sparkSession.sql(f"SELECT k.key, k.value FROM _json_rows, LATERAL variant_explode({column}) AS k WHERE startswith(schema_of_variant({column}), 'OBJECT')")
-    top.createOrReplaceTempView("_json_top")
-    below = rows.sparkSession.sql("SELECT concat(t.key, '.', k.key) AS key, k.value FROM _json_top AS t, LATERAL variant_explode(t.value) AS k WHERE startswith(schema_of_variant(t.value), 'OBJECT')")
-    both = top.unionByName(below)
-    return both.select("key", type_word(F.schema_of_variant("value")).alias("type"))
+    spark = rows.sparkSession
+    views = [f"_json_{uuid.uuid4().hex}" for _ in range(2)]
+    rows.createOrReplaceTempView(views[0])
+    top = spark.sql(f"SELECT k.key, k.value FROM {views[0]}, LATERAL variant_explode({column}) AS k WHERE startswith(schema_of_variant({column}), 'OBJECT')")
+    top.createOrReplaceTempView(views[1])
+    below = spark.sql(f"SELECT concat(t.key, '.', k.key) AS key, k.value FROM {views[1]} AS t, LATERAL variant_explode(t.value) AS k WHERE startswith(schema_of_variant(t.value), 'OBJECT')")
+    both = top.unionByName(below).select("key", type_word(F.schema_of_variant("value")).alias("type"))
+    for view in views:  # the plans were made; the names are of no further use
+        spark.catalog.dropTempView(view)
+    return both
