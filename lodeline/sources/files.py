@@ -1,7 +1,7 @@
 """Trees of files as tables: workspaces of named roots, ignore rules, gates and extraction.
 
-The tree is listed and pruned on the driver (names and stats only); contents are read in parallel by tasks that see the
-same file system. A corpus in an object store is read with ``spark.read.format("binaryFile")`` into the same columns.
+Trees are listed and pruned folder by folder in tasks (names and stats only); contents are read in parallel by tasks that
+see the same file system. A corpus in an object store is read with ``spark.read.format("binaryFile")`` into the same columns.
 """
 
 from __future__ import annotations
@@ -61,56 +61,117 @@ def ignore_rules(lines: list[str]) -> list[tuple[bool, bool, re.Pattern]]:
     return rules
 
 
+Rules = list[tuple[str, list]]
+
+
+def _rules_of(root: str, where: str) -> Rules:
+    """The ignore rules of one folder, if it has a file of them."""
+    ignore = os.path.join(root, where, ".gitignore")
+    if not os.path.isfile(ignore):
+        return []
+    with open(ignore, encoding="utf-8", errors="replace") as f:
+        return [(where, ignore_rules(f.read().split("\n")))]
+
+
+def _entries(root: str, where: str, rules: Rules) -> tuple[list[str], list[str], list[str]]:
+    """Of one folder: files, folders to enter, and links that lead outside; ignored ones left out. Links to directories are
+    not followed, dangling ones are dropped."""
+    found, folders, outside = [], [], []
+    for e in sorted(os.scandir(os.path.join(root, where)), key=lambda e: e.name):
+        path = f"{where}/{e.name}" if where else e.name
+        folder, drop = e.is_dir(follow_symlinks=False), False
+        for base, own in rules:
+            below = path[len(base) + 1 :] if base else path
+            for keeps, only_dirs, pattern in own:
+                if (folder or not only_dirs) and pattern.match(below):
+                    drop = not keeps
+        if drop or (folder and e.name in PRUNED):
+            continue
+        if folder:
+            folders.append(path)
+        elif e.is_file():
+            inside = os.path.realpath(e.path).startswith(root + os.sep)
+            (found if inside else outside).append(path)
+    return found, folders, outside
+
+
+def _walk(root: str, where: str) -> Iterator[tuple[list[str], list[str]]]:
+    """Files and outside links of every folder from ``where`` down, by the rules of the folders above it too."""
+    above = [where[:i] for i in range(len(where)) if where[i] == "/"]
+    rules = [r for place in (["", *above] if where else []) for r in _rules_of(root, place)]
+    todo = [(where, rules)]
+    while todo:
+        place, rules = todo.pop()
+        rules = [*rules, *_rules_of(root, place)]
+        found, folders, outside = _entries(root, place, rules)
+        yield found, outside
+        todo.extend((f, rules) for f in reversed(folders))
+
+
 def list_tree(root: str) -> tuple[list[str], list[tuple[str, str]]]:
     """Relative paths under ``root`` in order, and (path, reason) of those left out: links that lead outside.
 
-    Hidden files count, ignored ones do not; links to directories are not followed, dangling ones are dropped.
+    Hidden files count, ignored ones do not.
     """
     root = os.path.realpath(root)
-    found: list[str] = []
-    skipped: list[tuple[str, str]] = []
-
-    def walk(where: str, rules: list[tuple[str, list]]) -> None:
-        ignore = os.path.join(root, where, ".gitignore")
-        if os.path.isfile(ignore):
-            with open(ignore, encoding="utf-8", errors="replace") as f:
-                rules = [*rules, (where, ignore_rules(f.read().split("\n")))]
-        for e in sorted(os.scandir(os.path.join(root, where)), key=lambda e: e.name):
-            path = f"{where}/{e.name}" if where else e.name
-            folder = e.is_dir(follow_symlinks=False)
-            drop = False
-            for base, own in rules:
-                below = path[len(base) + 1 :] if base else path
-                for keeps, only_dirs, pattern in own:
-                    if (folder or not only_dirs) and pattern.match(below):
-                        drop = not keeps
-            if drop or (folder and e.name in PRUNED):
-                continue
-            if folder:
-                walk(path, rules)
-            elif e.is_file():
-                inside = os.path.realpath(e.path).startswith(root + os.sep)
-                found.append(path) if inside else skipped.append((path, "outside-root"))
-
-    walk("", [])
-    return found, skipped
+    parts = list(_walk(root, ""))
+    return sorted(p for found, _ in parts for p in found), sorted((p, "outside-root") for _, outside in parts for p in outside)
 
 
 LISTED = "path string, file string, size long, mtime_ms long, skipped_reason string"
+_COLUMNS = ["path", "file", "size", "mtime_ms", "skipped_reason"]
+#: Rows that one frame of a listing holds, about.
+FRAME_ROWS = 20_000
 
 
-def listing(spark: SparkSession, workspace: Workspace) -> DataFrame:
-    """``path, file, size, mtime_ms, skipped_reason`` of every root's tree: names and stats alone, nothing is read."""
+def _stats(prefix: str, root: str, found: list[str], outside: list[str]) -> list[tuple]:
     rows = []
+    for p in found:
+        try:
+            at = os.stat(f"{root}/{p}")
+        except OSError:  # gone since it was listed
+            continue
+        rows.append((prefix + p, f"{root}/{p}", at.st_size, at.st_mtime_ns // 1_000_000, None))
+    return rows + [(prefix + p, None, 0, 0, "outside-root") for p in outside]
+
+
+def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows: list[tuple] = []
+    for batch in batches:
+        for r in batch.itertuples():
+            for found, outside in _walk(r.root, r.folder):
+                rows += _stats(r.prefix, r.root, found, outside)
+                if len(rows) >= FRAME_ROWS:
+                    yield pd.DataFrame(rows, columns=_COLUMNS)
+                    rows = []
+    yield pd.DataFrame(rows, columns=_COLUMNS)
+
+
+def listing(spark: SparkSession, workspace: Workspace) -> DataFrame:
+    """``path, file, size, mtime_ms, skipped_reason`` of every root's tree: names and stats alone, nothing is read.
+
+    The driver lists two levels of folders; each folder below is listed by a task.
+    """
+    rows, folders = [], []
     for name, place in workspace.roots:
         prefix = f"{name}/" if name and len(workspace.roots) > 1 else ""
-        place = os.path.realpath(place)
-        found, outside = list_tree(place)
-        for p in found:
-            at = os.stat(f"{place}/{p}")
-            rows.append((prefix + p, f"{place}/{p}", at.st_size, at.st_mtime_ns // 1_000_000, None))
-        rows += [(prefix + p, None, 0, 0, why) for p, why in outside]
+        root = os.path.realpath(place)
+        level = [""]
+        for _ in range(2):
+            below = []
+            for where in level:
+                above = [where[:i] for i in range(len(where)) if where[i] == "/"]
+                rules = [r for at in dict.fromkeys(["", *above, where]) for r in _rules_of(root, at)]
+                found, inner, outside = _entries(root, where, rules)
+                rows += _stats(prefix, root, found, outside)
+                below += inner
+            level = below
+        folders += [(prefix, root, f) for f in level]
     listed = spark.createDataFrame(rows, LISTED)
+    if folders:
+        tasks = min(len(folders), spark.sparkContext.defaultParallelism * 4)
+        trees = spark.createDataFrame(folders, "prefix string, root string, folder string").repartition(tasks)
+        listed = listed.unionByName(trees.mapInPandas(_subtrees, LISTED))
     # patterns hold below a root, whatever its prefix
     deny = denied(F.col("path"), workspace.deny) & F.col("skipped_reason").isNull()
     return listed.withColumn("skipped_reason", F.when(deny, "denylisted").otherwise(F.col("skipped_reason"))).withColumn("file", F.when(F.col("skipped_reason").isNull(), F.col("file")))

@@ -86,6 +86,21 @@ def test_large_files_are_not_opened(spark, tree, monkeypatch):
     assert sum(len(f) for f in frames) == 40 and not any("big.md" in p for p in opened)
 
 
+def test_listing_by_tasks_is_the_walk(spark, tmp_path):
+    root = tmp_path / "deep"
+    for path, text in {"a/b/c/d.md": "x", "a/b/c/e.log": "x", "a/b/keep.log": "x", "a/x.md": "x", ".gitignore": "*.log\n/a/skip/\n", "a/b/.gitignore": "!keep.log\nc/z*\n", "a/b/c/z1.md": "x", "a/skip/q.md": "x", "k/.git/config": "x", "k/l/m/n/o.ts": "x", "top.ts": "x"}.items():
+        p = root / path
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    (root / "a/b/c/out.md").symlink_to("/etc/hostname")
+    want, outside = files.list_tree(str(root))
+    assert want == [".gitignore", "a/b/.gitignore", "a/b/c/d.md", "a/b/keep.log", "a/x.md", "k/l/m/n/o.ts", "top.ts"] and outside == [("a/b/c/out.md", "outside-root")]
+    got = {r.path: r.skipped_reason for r in files.listing(spark, space(root)).collect()}
+    assert got == dict.fromkeys(want) | {"a/b/c/out.md": "outside-root"}
+    two = files.listing(spark, files.Workspace((("one", str(root / "a")), ("two", str(root / "k"))))).collect()
+    assert {r.path for r in two} >= {"one/x.md", "one/b/c/d.md", "two/l/m/n/o.ts"}
+
+
 def test_languages_are_exact(spark):
     got = {r.p: r.l for r in spark.createDataFrame([("a.TS",), ("a.ts",), ("x/md",), ("md",), ("a.b/c",)], "p string").select("p", T.language(F.col("p")).alias("l")).collect()}
     assert got == {"a.TS": None, "a.ts": "typescript", "x/md": None, "md": "markdown", "a.b/c": None}
