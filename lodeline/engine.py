@@ -500,6 +500,14 @@ class Engine:
             self._record("entities", query, (), None, limit, found.withColumn("score", R.reciprocal(F.col("rank"))).withColumn("served", F.lit(True)))
         return render.entities_text(rows)
 
+    def doctor_text(self) -> str:
+        """The state of the knowledge layer."""
+        _, at = self._knowledge_at()
+        said = json.loads(locks.text_of(self.spark, f"{at}/meta.json") or "{}") if at else {}
+        queue = settle(self.queue(), "queue")
+        failed = queue.filter(F.col("attempts") >= incremental.MAX_ATTEMPTS).orderBy("symbol_id")
+        return render.doctor_text(queue.filter(F.col("attempts") < incremental.MAX_ATTEMPTS).count(), failed.limit(1000).collect(), said.get("dim"), said.get("model"))
+
     def skipped(self) -> DataFrame:
         return self.table("files").filter("skipped_reason is not null").select("path", "skipped_reason")
 

@@ -22,6 +22,11 @@ LANGUAGES = {
 LANGUAGE_CLASS = {x: "code" for x in ("typescript", "tsx", "javascript", "rust")} | {x: "document" for x in ("markdown", "html", "css", "json", "yaml", "toml", "text")} | {x: "schema" for x in ("prisma", "sql")}
 
 
+#: Labels of tools, and groups of languages; everything else is its own label, or code.
+TOOL_LABELS = {"repo_map": "Map", "find_symbol": "Find", "trace_path": "Trace", "changed": "Changed"}
+LANGUAGE_GROUPS = {"markdown": "docs", "html": "docs", "text": "docs", "json": "config", "yaml": "config", "toml": "config", "css": "styles", "prisma": "schema", "sql": "schema"}
+
+
 def literal_map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
@@ -272,3 +277,22 @@ def split_parts(s: Column, most: int = 6000) -> Column:
         return F.when(F.size(a) == 0, F.array(p)).when(fits, F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.concat(last, F.lit("\n\n"), p)))).otherwise(F.concat(a, F.array(p)))
 
     return F.aggregate(paragraphs, F.array().cast("array<string>"), pack)
+
+
+def client_slug(name: Column) -> Column:
+    """A client's name as a part of a session key: lower case, runs of white space and colons as one dash."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(name), "(?U)[\\s:]+", "-"), "^-+|-+$", "")
+    return F.when(F.coalesce(slug, F.lit("")) == "", "unknown").otherwise(slug)
+
+
+def tool_label(tool: Column) -> Column:
+    return F.coalesce(F.element_at(literal_map(TOOL_LABELS), tool), tool)
+
+
+def language_group(lang: Column) -> Column:
+    return F.coalesce(F.element_at(literal_map(LANGUAGE_GROUPS), lang), F.lit("code"))
+
+
+def rfc3339(ms: Column) -> Column:
+    """Milliseconds since 1970 as UTC to the second."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_millis(ms).cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -108,3 +108,20 @@ def report_text(rows: Sequence) -> str:
         own = [r for r in rows if r.category == category]
         lines.append(f"#   {category or 'none'}: {sum(r.recall >= 1 for r in own)} of {len(own)} cited\n")
     return "".join(lines)
+
+
+def walks_text(rows: Sequence) -> str:
+    """Results of walks (id, kind, passed, reached keys, reason), then how many passed by kind and in all."""
+    lines = ["id    kind        pass  reached / reason\n"]
+    lines += [f"{r.id:<5} {r.kind:<11} {'yes' if r.passed else 'no':<5} {', '.join(r.reached or ()) if r.passed else r.reason or ''}\n" for r in rows]
+    kinds = [k for k in ("locate", "process", "connection", "change") if any(r.kind == k for r in rows)]
+    for kind in [*kinds, None]:
+        own = [r for r in rows if kind in (None, r.kind)]
+        lines.append(f"walks {sum(r.passed for r in own)}/{len(own)}{f' {kind}' if kind else ''}\n")
+    return "".join(lines)
+
+
+def doctor_text(waiting: int, failed: Sequence, dim: int | None, model: str | None) -> str:
+    """The state of the knowledge layer: its vectors, what waits, what failed (rows with last_error) and why."""
+    errors = [r.last_error for r in failed if r.last_error]
+    return f"embedding model: {model or 'none'}\nembedding dimension: {dim or 'unknown'}\npending: {counted(waiting, 'section', 'sections')} · failed: {len(failed)} · last error: {errors[-1] if errors else 'none'}\n"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+import tomllib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,6 +44,28 @@ class Workspace:
                 raise ValueError("a root lies inside another")
 
 
+WORKSPACE_FILE = "workspace.toml"
+
+
+def open_workspace(folder: str) -> Workspace:
+    """The workspace of a folder: the roots ``[[root]]`` (name, path) of its WORKSPACE_FILE and more ``deny`` patterns, or
+    the folder itself. Relative paths are taken from the folder; every root must be a folder that is there."""
+    path = os.path.join(folder, WORKSPACE_FILE)
+    if not os.path.isfile(path):
+        return Workspace((("", folder),))
+    with open(path, "rb") as f:
+        said = tomllib.load(f)
+    roots = []
+    for k, r in enumerate(said.get("root", [])):
+        if not ROOT_NAME.fullmatch(str(r.get("name", ""))):
+            raise ValueError(f"{path}: root[{k}].name: a name has 1 to 64 letters, digits, _ or -")
+        place = os.path.realpath(os.path.join(folder, r["path"]))
+        if not os.path.isdir(place):
+            raise ValueError(f"{path}: root[{k}].path: {place} is not a directory")
+        roots.append((r["name"], place))
+    return Workspace(tuple(roots) or (("", folder),), tuple(said.get("deny", [])))
+
+
 def ignore_rules(lines: list[str]) -> list[tuple[bool, bool, re.Pattern]]:
     """(keeps, directories only, pattern on the path below the file) for each line of an ignore file, in order."""
     rules = []

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,10 +58,3 @@ def change_feed(spark: SparkSession, retrievals: str, notify: Callable[[int], No
 def session_counts(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
     """Native extra: events per user and session of a stream, rows later than ``late`` left out."""
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-
-
-def manifest(path: str, **values: object) -> None:
-    """Replace a small JSON manifest on a local driver in one step."""
-    with open(f"{path}.new", "w", encoding="utf-8") as f:
-        json.dump(values, f)
-    os.replace(f"{path}.new", path)

@@ -181,6 +181,7 @@ def test_sections_are_queued_and_claimed_once(spark, tree, tmp_path):
     engine.report(mine, "failed", "no answer", one)
     left = {r.symbol_id: r for r in engine.queue().collect()}
     assert all(left[i].attempts == 1 and left[i].last_error == "no answer" and left[i].stamp is None for i in ids)
+    assert "pending: " in engine.doctor_text()
     engine.report(other, "extracted", stamp=two)
     assert {r.symbol_id for r in engine.queue().collect()} == ids
     # a claim that is stale is free again
@@ -251,6 +252,30 @@ def test_reasons_and_answers_of_models(spark):
     assert said == ["Ranked 2nd, score 0.50.", "Referenced from b.ts (2) and c.ts (1).", "Matched the query on open it.", "Matches the text of the section.", "Semantically close to the query (0.25).", "Mentions Ledger.", "Implements P, Q.", "You focused this file."]
 
 
+def test_labels_and_reports_of_walks(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert [one(T.client_slug(F.lit(x))) for x in (" My: Client\u00a0App ", "", ":")] == ["my-client-app", "unknown", "unknown"]
+    assert one(T.tool_label(F.lit("repo_map"))) == "Map" and one(T.tool_label(F.lit("x"))) == "x"
+    assert one(T.language_group(F.lit("toml"))) == "config" and one(T.language_group(F.lit(None).cast("string"))) == "code"
+    assert one(T.rfc3339(F.lit(1_700_000_000_123))) == "2023-11-14T22:13:20Z"
+    rows = [Row(id="w1", kind="locate", passed=True, reached=["a::b"], reason=None), Row(id="w2", kind="change", passed=False, reached=[], reason="nothing reached")]
+    assert render.walks_text(rows) == "id    kind        pass  reached / reason\nw1    locate      yes   a::b\nw2    change      no    nothing reached\nwalks 1/1 locate\nwalks 0/1 change\nwalks 1/2\n"
+    assert render.doctor_text(3, [Row(last_error="e")], None, None) == "embedding model: none\nembedding dimension: unknown\npending: 3 sections · failed: 1 · last error: e\n"
+
+
+def test_workspace_file(tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    assert files.open_workspace(str(tmp_path)).roots == (("", str(tmp_path)),)
+    (tmp_path / "workspace.toml").write_text('deny = ["*.tmp"]\n[[root]]\nname = "one"\npath = "a"\n[[root]]\nname = "two"\npath = "b"\n')
+    found = files.open_workspace(str(tmp_path))
+    assert found.roots == (("one", str(tmp_path / "a")), ("two", str(tmp_path / "b"))) and found.deny == ("*.tmp",)
+    for bad in ('[[root]]\nname = "a b"\npath = "a"\n', '[[root]]\nname = "x"\npath = "gone"\n'):
+        (tmp_path / "workspace.toml").write_text(bad)
+        with pytest.raises(ValueError):
+            files.open_workspace(str(tmp_path))
+
+
 # --- authored configuration
 
 
