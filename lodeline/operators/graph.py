@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,13 +100,21 @@ def pagerank_of_names(nodes: DataFrame, defs: DataFrame, refs: DataFrame, iterat
     if rows.limit(KERNEL_EDGES + 1).count() > KERNEL_EDGES:
         return _names_joins(nodes, defs, refs, iterations)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows["kind"] == 0].sort_values("a")
-        rest = rows[rows["kind"] > 0].assign(at=lambda x: pd.Index(own["a"]).get_indexer(x["a"]))
-        rest = rest[rest["at"] >= 0].sort_values(["at", "name"])
-        code, seen = pd.factorize(rest["name"])
-        d, n, m = (rest["kind"] == 1).to_numpy(), len(own), max(len(seen), 1)
-        at, weight = rest["at"].to_numpy(np.int64), rest["w"].to_numpy(float)
+    def run(rows: pa.Table) -> pa.Table:
+        of_kind = rows["kind"].to_numpy()
+        own = rows.filter(pa.array(of_kind == 0)).sort_by("a")
+        nodes = pa.concat_arrays(own["a"].chunks) if own["a"].num_chunks else pa.array([], rows["a"].type)
+        rest = rows.filter(pa.array(of_kind > 0))
+        # numbers of nodes and names; files that are no nodes go
+        at = pc.index_in(rest["a"], value_set=nodes)
+        rest, at = rest.filter(at.is_valid()), at.drop_null().to_numpy().astype(np.int64)
+        names = pc.dictionary_encode(pc.cast(rest["name"], rest["name"].type)).combine_chunks() if len(rest) else None
+        code = np.asarray(names.indices if names is not None else [], np.int64)
+        d, n, m = rest["kind"].to_numpy() == 1, len(nodes), max(len(names.dictionary) if names is not None else 0, 1)
+        weight = rest["w"].to_numpy().astype(float)
+        # sums in an order of their own, whatever order the rows come in
+        order = np.lexsort((weight, code, at)) if len(at) else np.empty(0, np.int64)
+        at, code, d, weight = at[order], code[order], d[order], weight[order]
         definers = np.bincount(code[d], minlength=m)
         use = ~d & (definers[code] > 0)
         src, by, to, of = at[use], code[use], at[d], code[d]
@@ -112,16 +122,16 @@ def pagerank_of_names(nodes: DataFrame, defs: DataFrame, refs: DataFrame, iterat
         self_ = np.isin(src * m + by, to * m + of)
         out = np.bincount(src, share * (definers[by] - self_), n)
         rate = np.divide(1.0, out, out=np.zeros(n), where=out > 0)
-        p = own["w"].to_numpy(float)
+        p = own["w"].to_numpy().astype(float)
         p = p / p.sum() if p.sum() > 0 else np.full(n, 1.0 / max(n, 1))
         rank = p.copy()
         for _ in range(iterations):
             given = rank[src] * rate[src] * share
             got = np.bincount(to, np.bincount(by, given, m)[of], n) - np.bincount(src[self_], given[self_], n)
             rank = (1 - DAMPING) * p + DAMPING * (got + rank[out <= 0].sum() * p)
-        return pd.DataFrame({"node": own["a"].to_numpy(), "rank": rank / rank.sum()})
+        return pa.table({"node": nodes, "rank": rank / rank.sum() if n else rank})
 
-    return rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda x: run(x.drop(columns="one")), f"node {kind}, rank double")
+    return rows.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(lambda x: run(x.drop_columns(["one"])), f"node {kind}, rank double")
 
 
 def _names_joins(nodes: DataFrame, defs: DataFrame, refs: DataFrame, iterations: int) -> DataFrame:
