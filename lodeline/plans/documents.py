@@ -38,12 +38,12 @@ def q52(spark, d):
 
 
 @query("q53_running_headings", r"""
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE contains(text, '# ')),
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1)::INT AS line_no FROM d),
 h AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^#{1,3} ') THEN trim(regexp_replace(line, '^#+ ', '')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS heading FROM l)
 SELECT doc_id, coalesce(heading, '') AS heading, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM h GROUP BY ALL""")
 def q53(spark, d):
-    rows = table(spark, d, "documents").filter(F.col("text").contains("# ")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     head = F.when(F.col("line").rlike("^#{1,3} "), F.trim(F.regexp_replace("line", "^#+ ", "")))
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("heading", F.coalesce(F.last(head, ignorenulls=True).over(w), F.lit("")))
@@ -97,9 +97,9 @@ def q58(spark, d):
     return I.index_version(docs)
 
 
-@query("q59_upsert", """
-SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE lang END AS lang FROM documents WHERE doc_id % 2 = 0 OR doc_id % 4 = 0 UNION ALL SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 1 AND doc_id % 3 = 0""")
+@query("q59_upsert", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE lang END AS lang FROM documents")
 def q59(spark, d):
+    """Even ids are held, every fourth is replaced, odd ones and every third are inserted where they are new."""
     docs = table(spark, d, "documents").select("doc_id", "lang")
     fresh = docs.filter("doc_id % 4 = 0").withColumn("lang", F.lit("new"))
-    return I.insert_ignore(I.upsert(docs.filter("doc_id % 2 = 0"), fresh, ["doc_id"]), docs.filter("doc_id % 3 = 0"), ["doc_id"]).filter("doc_id % 2 = 0 or doc_id % 3 = 0")
+    return I.insert_ignore(I.upsert(docs.filter("doc_id % 2 = 0"), fresh, ["doc_id"]), docs.filter("doc_id % 2 = 1 or doc_id % 3 = 0"), ["doc_id"])
