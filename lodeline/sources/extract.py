@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import re
 import tomllib
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -352,61 +354,141 @@ def prisma(path: str, text: str) -> list[Row]:
 
 # --- code
 
-_JS_DEFS = (
-    ("function", re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)")),
-    ("class", re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)")),
-    ("interface", re.compile(r"^\s*(?:export\s+)?(?:declare\s+)?interface\s+([A-Za-z_$][\w$]*)")),
-    ("type", re.compile(r"^\s*(?:export\s+)?(?:declare\s+)?(?:type|enum)\s+([A-Za-z_$][\w$]*)")),
-    ("function", re.compile(r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)[^=]*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|[\w$]+\s*=>)")),
-    ("constant", re.compile(r"^(?:export\s+)?const\s+([A-Za-z_$][\w$]*)")),
-    ("method", re.compile(r"^\s+(?:public\s+|private\s+|protected\s+|static\s+|readonly\s+|override\s+|async\s+|get\s+|set\s+)*([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\([^;{]*\)\s*(?::[^{;]+)?\{")),
-)
-_RUST_DEFS = (
-    ("function", re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:default\s+|const\s+|async\s+|unsafe\s+|extern\s+\"[^\"]*\"\s+)*fn\s+(\w+)")),
-    ("class", re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|union)\s+(\w+)")),
-    ("interface", re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(\w+)")),
-    ("module", re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)")),
-    ("type", re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?type\s+(\w+)")),
-    ("constant", re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?(\w+)\s*:")),
-)
+# the patterns run over whole blanked sources, so parameters and types may go on over several lines
+_JS_DEFS = tuple((kind, re.compile(pattern, re.M)) for kind, pattern in (
+    ("function", r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function\s*\*?\s*([A-Za-z_$][\w$]*)"),
+    ("class", r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:abstract[ \t]+)?class[ \t]+([A-Za-z_$][\w$]*)"),
+    ("interface", r"^[ \t]*(?:export[ \t]+)?(?:declare[ \t]+)?interface[ \t]+([A-Za-z_$][\w$]*)"),
+    ("type", r"^[ \t]*(?:export[ \t]+)?(?:declare[ \t]+)?(?:type|(?:const[ \t]+)?enum)[ \t]+([A-Za-z_$][\w$]*)(?=\s*[=<{])"),
+    ("function", r"^[ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+([A-Za-z_$][\w$]*)(?:[ \t]*:[^=;]*?)?\s*=\s*(?:async\s*)?(?:function\b|(?:<[^<>()]*>\s*)?\((?:[^()]|\([^()]*\))*\)\s*(?::[^=;{]+?)?=>|[\w$]+\s*=>)"),
+    ("constant", r"^(?:export[ \t]+)?const[ \t]+([A-Za-z_$][\w$]*)"),
+    ("method", r"^[ \t]+(?:(?:public|private|protected|static|readonly|override|abstract|async|get|set)[ \t]+)*\*?[ \t]*(#?[A-Za-z_$][\w$]*)\s*(?:<[^<>()]*>)?\((?:[^();{}]|\([^()]*\)|\{[^{}]*\})*\)\s*(?::[^{};=]+)?\{"),
+    ("method", r"^[ \t]+(?:(?:public|private|protected|static|readonly|override)[ \t]+)*(#?[A-Za-z_$][\w$]*)[ \t]*(?::[^=;(){}]*)?=\s*(?:async\s*)?(?:\((?:[^()]|\([^()]*\))*\)\s*(?::[^=;{]+?)?=>|[\w$]+\s*=>)"),
+))
+_RUST_DEFS = tuple((kind, re.compile(pattern, re.M)) for kind, pattern in (
+    ("function", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:default\s+|const\s+|async\s+|unsafe\s+|extern\s*(?:\"[^\"]*\"\s*)?)*fn\s+(\w+)"),
+    ("class", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|union)\s+(\w+)"),
+    ("interface", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(\w+)"),
+    ("module", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)"),
+    ("type", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?type\s+(\w+)"),
+    ("constant", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?(\w+)\s*:"),
+    ("macro", r"^[ \t]*macro_rules!\s+(\w+)"),
+))
 _NOT_CALLS = frozenset("if for while switch catch return function typeof await new match loop fn super constructor import require async yield in of do else impl where let const var as".split())
 
 
+_JS_TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|[`{}]|/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])*/[a-z]*", re.S)
+_RUST_TOKEN = re.compile(r"//[^\n]*|/\*|\bb?r(#*)\"|b?\"(?:\\.|[^\"\\])*(?:\"|\Z)|b?'(?:\\(?:u\{[^}]*\}|x..|.)|[^'\\\n])'", re.S)
+_TEMPLATE = re.compile(r"\\.|`|\$\{", re.S)
+_NESTED = re.compile(r"/\*|\*/")
+#: What may stand before a pattern literal of JavaScript; after a name, a number or a closing bracket a slash divides.
+_BEFORE_PATTERN = re.compile(r"(?:^|[=(,;:!&|?{}\[+\-*%<>~^]|\b(?:return|typeof|case|in|of|void|delete|do|else))\s*\Z")
+
+
+def _spans(text: str, rust: bool) -> Iterator[tuple[int, int]]:
+    """Where comments and strings stand. Rust's block comments nest and its raw strings end at their own mark; code inside
+    template literals is code."""
+    at, templates, depth = 0, [], 0
+    token = _RUST_TOKEN if rust else _JS_TOKEN
+    while m := token.search(text, at):
+        at = m.end()
+        first = m[0][0]
+        if rust and m[0] == "/*":
+            level = 1
+            while level and (n := _NESTED.search(text, at)):
+                level, at = level + (1 if n[0] == "/*" else -1), n.end()
+            at = len(text) if level else at
+        elif rust and m[1] is not None:
+            end = text.find('"' + m[1], at)
+            at = len(text) if end < 0 else end + 1 + len(m[1])
+        elif first == "{":
+            depth += 1
+            continue
+        elif first == "}" and not (templates and templates[-1] == depth):
+            depth -= 1
+            continue
+        elif first in "`}":
+            if first == "}":
+                templates.pop()
+            start = m.start() + (first == "}")
+            while n := _TEMPLATE.search(text, at):
+                at = n.end()
+                if n[0] == "`":
+                    break
+                if n[0] == "${":
+                    templates.append(depth)
+                    break
+            else:
+                at = len(text)
+            yield start, at - (2 if templates and text[at - 2 : at] == "${" else 0)
+            continue
+        elif first == "/" and not m[0].startswith(("//", "/*")) and not _BEFORE_PATTERN.search(text, max(0, m.start() - 20), m.start()):
+            at = m.start() + 1
+            continue
+        yield m.start(), at
+
+
 def blanked(text: str, rust: bool) -> str:
     """The source with comments and strings blanked, line breaks kept."""
-    quote = r"\"(?:\\.|[^\"\\])*\"" if rust else r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"
-    return re.sub(rf"//[^\n]*|/\*.*?\*/|{quote}", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
+    out, last = [], 0
+    for a, b in _spans(text, rust):
+        out += [text[last:a], re.sub(r"[^\n]", " ", text[a:b])]
+        last = b
+    return "".join(out) + text[last:]
+
+
+def code_signature(line: str, plain: str, after: int, rust: bool) -> str:
+    """The defining line up to its body: the first brace after the name (an arrow stays), for Rust also a semicolon or
+    ``where``; or up to the first comment or string there."""
+    stop = re.compile(r"\{|;|\bwhere\b" if rust else r"\{").search(plain, after)
+    arrow = None if rust else re.compile(r"=>").search(plain, after)
+    end = arrow.end() if arrow and (not stop or arrow.start() < stop.start()) else stop.start() if stop else len(line)
+    hidden = next((i for i in range(after, min(end, len(line))) if line[i] != plain[i]), end)
+    return cut(line[: min(end, hidden)].rstrip())
 
 
-def code_signature(line: str, rust: bool) -> str:
-    """The defining line up to its body: the first brace (an arrow stays), for Rust also a semicolon or ``where``."""
-    stop = re.search(r"\s*(?:\{|;|\bwhere\b)" if rust else r"\s*\{", line)
-    arrow = None if rust else re.search(r"=>", line)
-    end = arrow.end() if arrow and (not stop or arrow.start() < stop.start()) else stop.start() if stop else len(line)
-    return cut(line[:end])
+def _ends(plain: list[str]) -> Callable[[int], int]:
+    """From the line of a definition to its last: where its braces close, or its statement ends before any opens."""
+
+    def end(i: int) -> int:
+        depth, round_, opened = 0, 0, False
+        for j in range(i, len(plain)):
+            for c in plain[j]:
+                if c == "{" and (depth or round_ <= 0):  # not a pattern or default among the parameters
+                    depth, opened = depth + 1, True
+                elif c == "}" and (depth or round_ <= 0):
+                    depth -= 1
+                elif not depth and c in "()":
+                    round_ += 1 if c == "(" else -1
+            if depth <= 0 and round_ <= 0 and (opened or ";" in plain[j] or "}" in plain[j]):
+                return j
+        return i
+
+    return end
 
 
 def code(lang: str) -> Callable[[str, str], list[Row]]:
     rust = lang == "rust"
 
     def extract(path: str, text: str) -> list[Row]:
-        plain_lines, lines, rows = blanked(text, rust).split("\n"), text.split("\n"), []
+        plain = blanked(text, rust)
+        plain_lines, lines, rows = plain.split("\n"), text.split("\n"), []
+        starts = [0, *(m.end() for m in re.finditer("\n", plain))]
+        found: dict[int, tuple[str, re.Match]] = {}
+        for kind, pattern in _RUST_DEFS if rust else _JS_DEFS:
+            for m in pattern.finditer(plain):
+                if m[1] not in _NOT_CALLS:
+                    found.setdefault(m.start(1), (kind, m))
+        end, defined = _ends(plain_lines), defaultdict(set)
+        for at, (kind, m) in sorted(found.items()):
+            i = bisect_right(starts, at) - 1
+            first = bisect_right(starts, m.start()) - 1
+            defined[i].add(m[1])
+            rows.append(Row("def", m[1], kind, first + 1, end(i) + 1, code_signature(lines[i], plain_lines[i], at - starts[i] + len(m[1]), rust)))
         for i, row in enumerate(plain_lines):
-            name = None
-            for kind, pattern in _RUST_DEFS if rust else _JS_DEFS:
-                if (m := pattern.match(row)) and m[1] not in _NOT_CALLS:
-                    name = m[1]
-                    depth, end = 0, i
-                    for j in range(i, len(plain_lines)):
-                        depth += plain_lines[j].count("{") - plain_lines[j].count("}")
-                        if depth <= 0 and ("{" in plain_lines[j] or "}" in plain_lines[j] or ";" in plain_lines[j]):
-                            end = j
-                            break
-                    rows.append(Row("def", name, kind, i + 1, end + 1, code_signature(lines[i], rust)))
-                    break
-            for call in re.finditer(r"\b([A-Za-z_$][\w$]*)\s*(?:<[\w\s,:]*>)?\(|\bnew\s+([A-Za-z_$][\w$]*)|:\s*([A-Z][\w$]*)", row):
-                used = call[1] or call[2] or call[3]
-                if used and used not in _NOT_CALLS and used != name:
+            for call in re.finditer(r"\b([A-Za-z_$][\w$]*)\s*(?:::)?(?:<[\w\s,:<>&'\[\]]*>)?\(|\bnew\s+([A-Za-z_$][\w$]*)|:\s*([A-Z][\w$]*)|<([A-Z][\w$]*)(?=[\s/>])" if not rust else r"\b([A-Za-z_]\w*)!?\s*(?:::<[\w\s,:<>&'\[\]]*>)?\(|\bnew\s+([A-Za-z_]\w*)|:\s*([A-Z]\w*)|\b([A-Z]\w*)(?=\s*(?:\{|::))", row):
+                used = call[1] or call[2] or call[3] or call[4]
+                if used and used not in _NOT_CALLS and used not in defined[i]:
                     rows.append(Row("ref", used, line=i + 1, end=i + 1))
         return rows
 

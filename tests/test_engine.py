@@ -80,6 +80,66 @@ def test_extractors():
     assert ("users.teamId", 3) in [(r.name, r.line) for r in model] and [(r.name, r.line) for r in model if r.role == "ref"] == [("Team", 3)]
 
 
+def test_code_over_several_lines_and_inside_strings():
+    ts = """/* function gone() {} */
+export const guard = async (
+  r: Map<string, number>,
+  next: () => void,
+): Promise<void> => {
+  const re = /[/"'`{]function no()/g, half = a / b;
+  return `x ${open({ a: 1 })} function no() {} ${`in ${deep()}`}`;
+};
+export abstract class Box<T> extends Base {
+  private items: T[] = [];
+  handler = (e: Event) => { this.put(e); };
+  static async load<T>(
+    path: string, // where
+    opts = { a: 1 },
+  ): Promise<Box<T>> {
+    return new Box<T>(path);
+  }
+  get size(): number { return 1; }
+}
+export default function main(s = "{") { // start
+  return 'function no() {}';
+}
+type Pair<T> = { a: T };
+export enum Kind { A, B }
+if (x) {
+}
+"""
+    got = extract.extract("a.ts", "typescript", ts)
+    defs = {r.name: (r.kind, r.line, r.end, r.signature) for r in got if r.role == "def"}
+    assert set(defs) == {"guard", "Box", "handler", "load", "size", "main", "Pair", "Kind"}
+    assert defs["guard"] == ("function", 2, 8, "export const guard = async (") and defs["Box"][:3] == ("class", 9, 19) and defs["load"][:3] == ("method", 12, 17)
+    assert defs["main"] == ("function", 20, 22, "export default function main(s =") and defs["size"][3] == "get size(): number" and defs["handler"][3] == "handler = (e: Event) =>"
+    refs = {(r.name, r.line) for r in got if r.role == "ref"}
+    assert {("open", 7), ("deep", 7), ("Box", 16), ("put", 11)} <= refs and not any(n in ("no", "gone", "if") for n, _ in refs)
+    rs = """/* outer /* inner */ fn gone() {} */
+pub async fn run<'a>(
+    x: &'a str,
+) -> Result<(), Error>
+where
+    T: Clone,
+{
+    let c = '{'; let s = r#"fn no() { " }"#; let t = "fn no() {";
+    go::start::<u8>(x); check!(x);
+    Point { x: 1 }
+}
+unsafe extern "C" fn ffi();
+macro_rules! make { () => {} }
+trait Shape { fn area(&self) -> f64; }
+"""
+    got = extract.extract("a.rs", "rust", rs)
+    defs = {r.name: (r.kind, r.line, r.end, r.signature) for r in got if r.role == "def"}
+    assert set(defs) == {"run", "ffi", "make", "Shape"} | ({"area"} & set(defs))
+    assert defs["run"] == ("function", 2, 11, "pub async fn run<'a>(") and defs["ffi"][:3] == ("function", 12, 12)
+    refs = {(r.name, r.line) for r in got if r.role == "ref"}
+    assert {("start", 9), ("check", 9), ("Point", 10)} <= refs and not any(n in ("no", "gone") for n, _ in refs)
+    text = "let a = 1; // x\n/* y\n*/ let b = 'z';"
+    assert extract.blanked(text, False) == "let a = 1;     \n    \n   let b =    ;" and len(extract.blanked(ts, False)) == len(ts) and len(extract.blanked(rs, True)) == len(rs)
+
+
 def test_porter():
     cases = {"caresses": "caress", "ponies": "poni", "hopping": "hop", "relational": "relat", "hopefulness": "hope", "adjustable": "adjust", "controlling": "control", "agreed": "agre", "happy": "happi", "sky": "sky"}
     assert {w: stem(w) for w in cases} == cases
