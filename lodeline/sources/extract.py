@@ -356,23 +356,23 @@ def prisma(path: str, text: str) -> list[Row]:
 
 # the patterns run over whole blanked sources, so parameters and types may go on over several lines
 _JS_DEFS = tuple((kind, re.compile(pattern, re.M)) for kind, pattern in (
-    ("function", r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function\s*\*?\s*([A-Za-z_$][\w$]*)"),
-    ("class", r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:abstract[ \t]+)?class[ \t]+([A-Za-z_$][\w$]*)"),
-    ("interface", r"^[ \t]*(?:export[ \t]+)?(?:declare[ \t]+)?interface[ \t]+([A-Za-z_$][\w$]*)"),
-    ("type", r"^[ \t]*(?:export[ \t]+)?(?:declare[ \t]+)?(?:type|(?:const[ \t]+)?enum)[ \t]+([A-Za-z_$][\w$]*)(?=\s*[=<{])"),
-    ("function", r"^[ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+([A-Za-z_$][\w$]*)(?:[ \t]*:[^=;]*?)?\s*=\s*(?:async\s*)?(?:function\b|(?:<[^<>()]*>\s*)?\((?:[^()]|\([^()]*\))*\)\s*(?::[^=;{]+?)?=>|[\w$]+\s*=>)"),
+    ("function", r"^[ \t]*+(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function\s*\*?\s*([A-Za-z_$][\w$]*)"),
+    ("class", r"^[ \t]*+(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:abstract[ \t]+)?class[ \t]+([A-Za-z_$][\w$]*)"),
+    ("interface", r"^[ \t]*+(?:export[ \t]+)?(?:declare[ \t]+)?interface[ \t]+([A-Za-z_$][\w$]*)"),
+    ("type", r"^[ \t]*+(?:export[ \t]+)?(?:declare[ \t]+)?(?:type|(?:const[ \t]+)?enum)[ \t]+([A-Za-z_$][\w$]*)(?=\s*[=<{])"),
+    ("function", r"^[ \t]*+(?:export[ \t]+)?(?:const|let|var)[ \t]+([A-Za-z_$][\w$]*)(?:[ \t]*:[^=;]*?)?\s*=\s*(?:async\s*)?(?:function\b|(?:<[^<>()]*>\s*)?\((?:[^()]|\([^()]*\))*\)\s*(?::[^=;{]+?)?=>|[\w$]+\s*=>)"),
     ("constant", r"^(?:export[ \t]+)?const[ \t]+([A-Za-z_$][\w$]*)"),
-    ("method", r"^[ \t]+(?:(?:public|private|protected|static|readonly|override|abstract|async|get|set)[ \t]+)*\*?[ \t]*(#?[A-Za-z_$][\w$]*)\s*(?:<[^<>()]*>)?\((?:[^();{}]|\([^()]*\)|\{[^{}]*\})*\)\s*(?::[^{};=]+)?\{"),
-    ("method", r"^[ \t]+(?:(?:public|private|protected|static|readonly|override)[ \t]+)*(#?[A-Za-z_$][\w$]*)[ \t]*(?::[^=;(){}]*)?=\s*(?:async\s*)?(?:\((?:[^()]|\([^()]*\))*\)\s*(?::[^=;{]+?)?=>|[\w$]+\s*=>)"),
+    ("method", r"^[ \t]++(?:(?:public|private|protected|static|readonly|override|abstract|async|get|set)[ \t]+)*(?:\*[ \t]*+)?(#?[A-Za-z_$][\w$]*+)\s*+(?:<[^<>()]*>)?\((?:[^();{}]|\([^()]*\)|\{[^{}]*\})*\)\s*(?::[^{};=]+)?\{"),
+    ("method", r"^[ \t]++(?:(?:public|private|protected|static|readonly|override)[ \t]+)*(#?[A-Za-z_$][\w$]*)[ \t]*(?::[^=;(){}]*)?=\s*(?:async\s*)?(?:\((?:[^()]|\([^()]*\))*\)\s*(?::[^=;{]+?)?=>|[\w$]+\s*=>)"),
 ))
 _RUST_DEFS = tuple((kind, re.compile(pattern, re.M)) for kind, pattern in (
-    ("function", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:default\s+|const\s+|async\s+|unsafe\s+|extern\s*(?:\"[^\"]*\"\s*)?)*fn\s+(\w+)"),
-    ("class", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|union)\s+(\w+)"),
-    ("interface", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(\w+)"),
-    ("module", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)"),
-    ("type", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?type\s+(\w+)"),
-    ("constant", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?(\w+)\s*:"),
-    ("macro", r"^[ \t]*macro_rules!\s+(\w+)"),
+    ("function", r"^[ \t]*+(?:pub(?:\([^)]*\))?\s+)?(?:default\s+|const\s+|async\s+|unsafe\s+|extern\s*(?:\"[^\"]*\"\s*)?)*fn\s+(\w+)"),
+    ("class", r"^[ \t]*+(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|union)\s+(\w+)"),
+    ("interface", r"^[ \t]*+(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(\w+)"),
+    ("module", r"^[ \t]*+(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)"),
+    ("type", r"^[ \t]*+(?:pub(?:\([^)]*\))?\s+)?type\s+(\w+)"),
+    ("constant", r"^[ \t]*+(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?(\w+)\s*:"),
+    ("macro", r"^[ \t]*+macro_rules!\s+(\w+)"),
 ))
 _NOT_CALLS = frozenset("if for while switch catch return function typeof await new match loop fn super constructor import require async yield in of do else impl where let const var as".split())
 
@@ -447,21 +447,28 @@ def code_signature(line: str, plain: str, after: int, rust: bool) -> str:
     return cut(line[: min(end, hidden)].rstrip())
 
 
-def _ends(plain: list[str]) -> Callable[[int], int]:
-    """From the line of a definition to its last: where its braces close, or its statement ends before any opens."""
+def _ends(plain: list[str], defining: set[int]) -> Callable[[int], int]:
+    """From the line of a definition to its last: where its body's braces close, or its statement ends before any opens,
+    at the latest before the next definition."""
+    closes: dict[tuple[int, int], int] = {}
+    open_: list[tuple[int, int]] = []
+    for j, line in enumerate(plain):
+        for m in re.finditer(r"[{}]", line):
+            if m[0] == "{":
+                open_.append((j, m.start()))
+            elif open_:
+                closes[open_.pop()] = j
 
     def end(i: int) -> int:
-        depth, round_, opened = 0, 0, False
+        round_ = 0
         for j in range(i, len(plain)):
-            for c in plain[j]:
-                if c == "{" and (depth or round_ <= 0):  # not a pattern or default among the parameters
-                    depth, opened = depth + 1, True
-                elif c == "}" and (depth or round_ <= 0):
-                    depth -= 1
-                elif not depth and c in "()":
-                    round_ += 1 if c == "(" else -1
-            if depth <= 0 and round_ <= 0 and (opened or ";" in plain[j] or "}" in plain[j]):
-                return j
+            if j > i and j in defining and round_ <= 0:
+                return j - 1
+            for m in re.finditer(r"[{};()]", plain[j]):
+                if m[0] in "()":
+                    round_ += 1 if m[0] == "(" else -1
+                elif round_ <= 0:  # else a pattern or default among the parameters
+                    return closes.get((j, m.start()), len(plain) - 1) if m[0] == "{" else j
         return i
 
     return end
@@ -479,7 +486,7 @@ def code(lang: str) -> Callable[[str, str], list[Row]]:
             for m in pattern.finditer(plain):
                 if m[1] not in _NOT_CALLS:
                     found.setdefault(m.start(1), (kind, m))
-        end, defined = _ends(plain_lines), defaultdict(set)
+        end, defined = _ends(plain_lines, {bisect_right(starts, at) - 1 for at in found}), defaultdict(set)
         for at, (kind, m) in sorted(found.items()):
             i = bisect_right(starts, at) - 1
             first = bisect_right(starts, m.start()) - 1
