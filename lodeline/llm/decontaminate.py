@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.words import WordHashes, shingles_of, word_row
+from lodeline.llm.words import WordHashes, lean_batches, shingles_of, word_row
 
 RADIUS = 23
 BLOCKS, NEAR = 8, 2
@@ -189,6 +189,7 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document and item it holds: best window's first word, its words and similarity."""
+    lean_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = [docs.mapInArrow(_searcher(ItemIndex.of(block)), FOUND) for block in _blocks(items)]
     if not found:

@@ -28,14 +28,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.words import WordHashes, mix, shingles_of, word_row
+from lodeline.llm.words import WordHashes, lean_batches, mix, shingles_of, word_row
 from lodeline.storage import settle, small
 
 SLOTS = 127
@@ -50,8 +49,6 @@ RANKED = 200_000
 #: Sets that one task counts at least, so that what many hold is seen there before anything is shuffled.
 TALLY_SETS = 256
 _CHUNK = 200_000
-BATCH_BYTES = 4 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SKETCH = ("s0", "s1", "s2", "s3")
 SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
 
@@ -248,24 +245,9 @@ def _rare_pairs(held: DataFrame, docs: DataFrame) -> DataFrame:
     return meet.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
 
 
-@contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most BATCH_BYTES: texts, their copies in the workers and what is made of them take a multiple."""
-    before = spark.conf.get(_BATCH, None)
-    spark.conf.set(_BATCH, str(BATCH_BYTES))
-    try:
-        yield
-    finally:
-        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (it is its own)."""
-    with _small_batches(docs.sparkSession):
-        return _near_duplicates(docs)
-
-
-def _near_duplicates(docs: DataFrame) -> DataFrame:
+    lean_batches(docs.sparkSession)
     signed = settle(sign(docs), "signed")
     live = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = live.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))

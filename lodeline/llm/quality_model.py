@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
-from lodeline.llm.words import SPACES
+from lodeline.llm.words import SPACES, lean_batches
 from lodeline.storage import settle, small
 
 FIT_ROWS = 4000
@@ -193,6 +193,7 @@ def _posterior(rows: DataFrame, table: DataFrame, prior: float) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", label: str = "quality") -> DataFrame:
     """One row per document: doc_id, evidence (log likelihood ratio), probability of good, kept."""
+    lean_batches(docs.sparkSession)
     evidence, prior = train(docs, labels, label)
     rows = docs.select("doc_id", docs[host].cast("string").alias("host"), docs[path].cast("string").alias("path"), _evidence(evidence, _text(docs)).alias("evidence"))
     if not evidence.informed:
@@ -205,6 +206,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 def keep(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", label: str = "quality") -> DataFrame:
     """The rows of ``docs`` judged good, with all their columns."""
+    lean_batches(docs.sparkSession)
     evidence, prior = train(docs, labels, label)
     if not evidence.informed:
         return docs.filter(~_blank(_text(docs)))

@@ -9,7 +9,7 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -67,6 +67,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of one Arrow batch between the JVM and a worker.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by BATCH_BYTES, unless they are smaller already: whole texts, their copies in a
+    worker and what is made of them take a multiple of a batch. A longer text is a batch of its own."""
+    held = re.fullmatch(r"(\d+)b?", spark.conf.get(_BATCH))
+    if not held or int(held[1]) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 class WordHashes(dict):
     """Hash of each word seen, kept while it is small; ``LIMIT`` bounds a worker's memory, not the result."""
 
