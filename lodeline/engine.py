@@ -189,6 +189,15 @@ class Engine:
         self._enqueue()
         return out
 
+    def entity(self, name: str) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+        """An entity by its name: its row, its relations, the sections that mention it; None if it is not known."""
+        held = self.knowledge()
+        if not {"entities", "mentions", "relations"} <= set(held):
+            return None
+        found = held["entities"].filter(F.col("norm_name") == T.norm_name(F.lit(name))).limit(1).collect()
+        sections = self._shown(self.table("symbols")).select(F.col("symbol_id").alias("section"), "path", "name", "line_start", "line_end")
+        return K.entity_detail(found[0].entity_id, held["entities"], held["relations"], held["mentions"], sections) if found else None
+
     # --- the queue of sections for the knowledge layer
 
     def _log(self) -> DataFrame:
@@ -353,10 +362,15 @@ class Engine:
 
     def changed_text(self, ranges: DataFrame, base: str = "HEAD") -> str:
         """What changed since ``base``, the first MAX_CHANGED symbols."""
-        symbols, plain = self.changed(ranges)
+        symbols, plain = diffs.changed(self._shown(ranges), self._shown(self.table("symbols")), self._shown(self.table("refs")), render.MAX_CHANGED + 1)
         by = self._shown(self.table("refs")).select("name", F.col("path").alias("by")).distinct()
         first = symbols.orderBy("path", "line_start").limit(render.MAX_CHANGED + 1)
         named = first.select("path", "name").distinct().join(by, "name").filter("by <> path").groupBy("path", "name").agg(F.array_sort(F.collect_set("by")).alias("referenced_by"))
+        held = self.table("symbols").select("path", "name", "line_start", "symbol_id", "signature")
+        shown = settle(first.limit(render.MAX_CHANGED).select("path", "name", "line_start").join(held, ["path", "name", "line_start"]), "changed")
+        if shown.limit(1).count():
+            ranked = R.numbered(shown, "path", "line_start", "symbol_id")
+            self._record("changed", base, (), None, None, ranked.withColumn("score", R.reciprocal(F.col("rank"))).withColumn("served", F.lit(True)))
         rows = first.select("path", "name", "line_start", "line_end").join(named, ["path", "name"], "left").orderBy("path", "line_start").collect()
         return render.changed_text(rows[: render.MAX_CHANGED], [r.path for r in plain.select("path").distinct().orderBy("path").limit(1000).collect()], base, len(rows) > render.MAX_CHANGED)
 

@@ -178,6 +178,17 @@ def process_hops(processes: DataFrame, steps: DataFrame, systems: DataFrame, mat
     return processes.join(ids.withColumnRenamed("process_id", "entity_id"), "entity_id", "left_semi").orderBy(F.desc("mentions"), "entity_id").limit(most)
 
 
+def entity_detail(entity, entities: DataFrame, relations: DataFrame, mentions: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One entity's row, its relations with the names of their ends, and the sections that mention it in document order.
+
+    ``sections``: section, path, name, line_start, line_end.
+    """
+    own = entities.filter(F.col("entity_id") == entity)
+    said = named_relations(relations_of(relations, entity), entities)
+    told = sections.join(mentions.filter(F.col("entity_id") == entity).select("section").distinct(), "section").orderBy("path", "line_start", "section")
+    return own, said, told
+
+
 # --- from extracted rows to tables
 
 

@@ -231,6 +231,7 @@ def test_rendered_traces_blasts_and_changes(spark, tree, tmp_path):
     assert "src/session.ts  (depth 1, via log)\n" in blast and blast.splitlines()[-1].startswith("# ")
     ranges = spark.createDataFrame([("src/session.ts", 3, 3), ("ci.yml", 90, 91)], "path string, first int, last int")
     changed = engine.changed_text(ranges, "abc")
+    assert [(r.tool, r.query) for r in spark.read.parquet(str(tmp_path / "index/log/retrievals")).filter("tool = 'changed'").collect()] == [("changed", "abc")]
     assert changed.startswith("src/session.ts::openSession (lines 3-5)  ← ") and "ci.yml (no symbol touched)\n# 1 symbol in 2 files changed since abc · " in changed
 
 
@@ -349,6 +350,8 @@ def test_tick_seeds_and_answers(spark, tree, tmp_path):
     assert seeds.semantic is None and seeds.themes is None
     ranked = {(r.path, r.name): r for r in engine.ranked("how does the clerk work", seeds=seeds).collect()}
     assert "entity:Pay" in ranked["notes/guide.md", "Opening sessions"].seeds and "implements:Open Session" in ranked["src/session.ts", "openSession"].seeds
+    own, said, told = engine.entity(" CLERK. ")
+    assert own.first().type == "role" and [(r.src_name, r.dst_name) for r in said.collect()] == [("Clerk", "Open Session")] and [r.section for r in told.collect()] == [guide] and engine.entity("nobody") is None
     text = engine.entities_text("the clerk")
     assert text.startswith("Clerk (role)\n  ← notes/guide.md::Opening sessions (lines 3-") and "  Clerk → Open Session: uses (notes/guide.md::Opening sessions, lines 3-" in text
     assert "Pay (process, via step): how we pay\n" in text and "  1. open it — role: Clerk — systems: Open Session — notes/guide.md::Opening sessions — code: src/session.ts::openSession" in text
