@@ -9,7 +9,7 @@ The labelled table is an input: any (host, path, label) rows, of at most TABLE_R
 one from the words below by stated rules: hosts of one word or two, with ordinary additions, under usual labels and
 top-level domains, the same for either label, and ordinary hosts of names that mean nothing. It can be split by host, or by word so that no host of one part shares a
 word with the other. A bad host is taken to be BLOCK_SHARE as frequent as a good one, so that a host the table says
-nothing about is allowed; BLOCK_AT is the even chance. Neither was set on pages.
+nothing about is allowed; BLOCK_AT is the even chance.
 
 Rules are a parameter and go into the plan as literals, so they are bounded: at most MAX_RULES.
 
