@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.llm.words import ascii_lower
+from lodeline.storage import settle
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 MAX_RULES = 2000
@@ -145,9 +147,13 @@ def grams(host: Column, path: Column) -> Column:
 
 
 def labelled_table(spark: SparkSession, part: str = "all", by: str = "host") -> DataFrame:
-    """``labelled`` as a table of host, path and label."""
-    rows = ", ".join(f"('{h}', '{p}', {y}D)" for h, p, y in labelled(part, by))
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(host, path, label)")
+    """``labelled`` as a table of host, path and label.
+
+    Its rows never stand in a plan: the driver would hold them as parsed expressions, and fold their n-grams there.
+    """
+    host, path, label = zip(*labelled(part, by), strict=True)
+    rows = pa.table({"host": pa.array(host, pa.string()), "path": pa.array(path, pa.string()), "label": pa.array(label, pa.float64())})
+    return settle(spark.createDataFrame(rows).coalesce(1), "urls")
 
 
 def train(table: DataFrame) -> LogisticRegressionModel:

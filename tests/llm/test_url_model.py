@@ -38,6 +38,14 @@ def test_scores_against_plain_python(spark, model):
             assert r.verdict == ("block" if r.host and r.score >= U.BLOCK_AT else "allow")
 
 
+def test_labelled_table_stays_out_of_plans(spark):
+    """As literals its rows took hundreds of MB of the driver, parsed and with their n-grams folded."""
+    rows = U.labelled_table(spark)
+    assert [tuple(r) for r in rows.collect()] == U.labelled() and [t for _, t in rows.dtypes] == ["string", "string", "double"]
+    plan = rows.select(U.grams(rows.host, rows.path))._jdf.queryExecution().optimizedPlan()
+    assert {x.nodeName() for x in (plan.collectLeaves().apply(k) for k in range(plan.collectLeaves().size()))} == {"LogicalRelation"}, plan
+
+
 def figures(spark, by):
     """Shares of held-out bad hosts blocked and of held-out good ones allowed."""
     held = U.labelled("held-out", by)
