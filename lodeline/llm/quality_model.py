@@ -3,7 +3,8 @@
 1. A logistic regression over hashed n-grams gives every document a log likelihood ratio of good against bad. Features
    are the square roots of the shares of BUCKETS hashed runs of three bytes, and five of its shape: words that repeat the
    one before them, distinct words, length, word length, distinct n-grams. It is fitted on about FIT_ROWS labelled
-   documents drawn by a hash of their id (FIT_ROWS is the bound on what the driver holds: 8 KB a row).
+   documents drawn by a hash of their id (FIT_ROWS is the bound on what the one task that fits holds: 8 KB a row, 16 KB
+   while it fits). The driver gets the weights alone.
 2. Soft counts of good documents are summed per host and path by grouped partial aggregation, then per host.
 3. A host's share of good documents is shrunk towards the global share, a path's towards its host's. How strongly is
    estimated from the data: the prior's weight in documents follows from the variance between groups that sampling does
@@ -25,6 +26,7 @@ pass through ``keep`` whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,9 +95,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> Evidence:
     none = Evidence(np.zeros(BUCKETS + SHAPES, np.float32), 0.0, False)
     if not len(y) or y.min() == y.max():
         return none
-    x, y = np.asarray(x, np.float32), np.asarray(y, np.float32)
-    mean = x.mean(axis=0)
-    z = np.ascontiguousarray(x - mean)
+    z, y = np.array(x, np.float32), np.asarray(y, np.float32)
+    mean = z.mean(axis=0)
+    z -= mean
     direction = np.ones(z.shape[1], np.float32)
     for _ in range(30):
         direction = z.T @ (z @ direction)
@@ -113,6 +115,19 @@ def fit(x: np.ndarray, y: np.ndarray) -> Evidence:
     return Evidence(w, float(b - mean @ w - prior))
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``fit`` in a task: rows of features and label in, one row of weights out."""
+    x, y = [], []
+    for batch in batches:
+        x += [np.frombuffer(v.as_buffer(), np.float16).copy() for v in batch.column("x")]
+        y += batch.column("y").to_pylist()
+    rows = np.empty((len(x), BUCKETS + SHAPES), np.float16)
+    for k, row in enumerate(x):
+        rows[k], x[k] = row, None
+    found = fit(rows, np.array(y))
+    yield pa.RecordBatch.from_arrays([pa.array([found.weights.tobytes()], pa.binary()), pa.array([found.intercept]), pa.array([found.informed])], names=["weights", "intercept", "informed"])
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> tuple[Evidence, float]:
     """Evidence fitted on about ``rows`` labelled documents, and the share of good ones among all labels."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(label) > 0).cast("double").alias("y"))
@@ -123,9 +138,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     share = 1 << 30 if seen.n <= rows else int((1 << 30) * rows / seen.n)
     drawn = small(known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < share), 2 * rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text(docs).alias("text")).join(drawn, "doc_id").filter(~_blank(F.col("text")))
-    got = texts.select("doc_id", "y", _packed("text").alias("x")).groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).orderBy("doc_id").collect()
-    x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float16).reshape(-1, BUCKETS + SHAPES)
-    return fit(x, np.array([r.y for r in got])), min(max(seen.good / seen.n, LEAST), MOST)
+    rows = texts.select("doc_id", "y", _packed("text").alias("x")).groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    got = rows.coalesce(1).sortWithinPartitions("doc_id").mapInArrow(_fitted, "weights binary, intercept double, informed boolean").first()
+    evidence = Evidence(np.frombuffer(got.weights, np.float32), got.intercept, got.informed) if got else fit(np.empty((0, BUCKETS + SHAPES)), np.empty(0))
+    return evidence, min(max(seen.good / seen.n, LEAST), MOST)
 
 
 def _text(docs: DataFrame) -> Column:

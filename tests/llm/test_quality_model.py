@@ -120,3 +120,17 @@ def test_sites_shrink_towards_their_host(spark):
     table = {(r._host, r._path): r for r in Q.sites(spark.createDataFrame(rows, "source string, lang string, micro long"), "source", "lang", 0.5).collect()}
     assert table[("big", "p")]._share > 0.8 > table[("new", "p")]._share > table[("bad", "p")]._share
     assert table[("big", "q")]._share == table[("big", "p")]._share
+
+
+def test_driver_gets_weights_alone(spark, monkeypatch):
+    """Fitted in a task: the driver's Python held some 190 MB of features and copies of them before."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    monkeypatch.setattr(Q, "fit", lambda x, y: pytest.fail(f"{len(y)} rows on the driver"))
+    evidence, _ = Q.train(docs, labels)
+    assert evidence.informed and evidence.weights.shape == (Q.BUCKETS + Q.SHAPES,)
+
+
+def test_labels_of_other_documents(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", "en")], "doc_id long, text string, source string, lang string")
+    evidence, _ = Q.train(docs, spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, quality int"))
+    assert not evidence.informed and [r.kept for r in Q.judge(docs, spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, quality int")).collect()] == [True]
