@@ -312,6 +312,20 @@ def test_long_piece_is_cut_inside(counter):
     assert len(counter.tokenizer.encode(text[:k], add_special_tokens=False).ids) <= 512 < len(counter.tokenizer.encode(text[: k + 1], add_special_tokens=False).ids)
 
 
+def test_counts_come_from_prefixes(docs, monkeypatch):
+    """Without the library's encoder, and in chunks of any size: totals and cuts are read from the prefixes."""
+    from types import SimpleNamespace
+
+    own = token_counts.PrefixCounter(token_counts.default_vocabulary())
+    library, texts = own.tokenizer, [*TEXTS, *(r.text or "" for r in docs.orderBy("doc_id").limit(200).collect())]
+    want = [len(library.encode(text, add_special_tokens=False).ids) for text in texts]
+    own.tokenizer = SimpleNamespace(pre_tokenizer=library.pre_tokenizer)
+    whole = [(*own.measure(text, 40), own.table(text).tolist()) for text in texts]
+    assert [n for n, _, _ in whole] == want and all(cut == max((k for k, c in enumerate(table, 1) if c <= 40), default=0) for _, cut, table in whole)
+    monkeypatch.setattr(token_counts, "CHUNK", 7)
+    assert [(*own.measure(text, 40), own.table(text).tolist()) for text in texts] == whole
+
+
 def test_vocabulary_of_another_form(odd):
     """Split otherwise than by this module's pattern: counted by the library, as its own file says."""
     import public_tokenizers
