@@ -9,7 +9,7 @@ from lodeline.functions.text import approx_tokens
 from lodeline.operators import graph as G
 from lodeline.operators import provenance as P
 from lodeline.operators import rank as R
-from lodeline.plans.graph import PAIRS, pagerank_sql, ranks, tables
+from lodeline.plans.graph import PAIRS, pagerank_sql, ranks, settled, tables
 from lodeline.storage import settle
 
 FLOW = "fl AS (SELECT e.dst, e.name, sum(rk.rank * e.weight / oe.ow) AS score FROM e JOIN (SELECT src, sum(weight) AS ow FROM e GROUP BY src) AS oe ON oe.src = e.src JOIN rk ON rk.node = e.src GROUP BY e.dst, e.name)"
@@ -18,7 +18,8 @@ REFS = "rb AS (SELECT dst, name, src, max(k) AS k FROM e GROUP BY ALL), rr AS (S
 
 @query("q30_score_distribution", pagerank_sql("1.0::DOUBLE", PAIRS, f", {FLOW} SELECT dst, name, round(score, 9) AS score FROM fl"))
 def q30(spark, d):
-    return R.distribute(*tables(spark, d), ranks(spark, d)).withColumn("score", F.round("score", 9))
+    defs, refs = settled(spark, d)
+    return R.distribute(defs, refs, ranks(defs, refs)).withColumn("score", F.round("score", 9))
 
 
 @query("q31_hit_shares", """
@@ -40,8 +41,8 @@ def q32(spark, d):
 
 def final(spark, d, limit: int = 100):
     """The ranked symbols (supplier, part) with their reasons."""
-    defs, refs = tables(spark, d)
-    file_ranks = settle(ranks(spark, d), "ranks")
+    defs, refs = settled(spark, d)
+    file_ranks = settle(ranks(defs, refs), "ranks")
     scored = R.symbol_scores(defs, R.distribute(defs, refs, file_ranks), file_ranks).withColumn("score", F.round("score", 9))
     # cut before the reasons are gathered: only answers need them
     top = scored.orderBy(F.desc("score"), "file", "name").limit(limit)
@@ -100,7 +101,7 @@ SEEDED = "1.0::DOUBLE + CASE WHEN starts_with(node, 'c') AND substr(node, 2)::BI
   CASE WHEN starts_with(node, 's') AND substr(node, 2)::BIGINT % 11 = 0 THEN 'implements:Eleven' END, CASE WHEN starts_with(node, 'c') AND substr(node, 2)::BIGINT % 13 = 0 THEN 'theme' END], lambda x: x IS NOT NULL) AS seeds FROM rk"""))
 def q37(spark, d):
     """Ranks personalised by what vectors, entities, implementing code and themes say of files."""
-    defs, refs = tables(spark, d)
+    defs, refs = settled(spark, d)
     nodes = defs.select(F.col("file").alias("node")).union(refs.select("file")).distinct()
     number = F.substring("node", 2, 20).cast("long")
     c, s = F.col("node").startswith("c"), F.col("node").startswith("s")

@@ -58,6 +58,19 @@ def test_pagerank_of_names_by_joins(spark, monkeypatch):
         assert joins[node] == pytest.approx(rank, abs=1e-12) == pytest.approx(fan_out[node], abs=1e-9)
 
 
+def test_joins_without_steps_where_no_file_defines_and_refers(spark, monkeypatch):
+    defs = spark.createDataFrame([("s1", "x"), ("s2", "x"), ("s2", "y"), ("s3", "z")], "file string, name string")
+    refs = spark.createDataFrame([("c1", "x", 3), ("c1", "y", 1), ("c2", "y", 2), ("c3", "none", 4)], "file string, name string, count int")
+    nodes = spark.createDataFrame([(n, 1.0 + 4 * (n == "c2")) for n in ("s1", "s2", "s3", "c1", "c2", "c3")], "node string, p double")
+    arrays = {r.node: r.rank for r in G.pagerank_of_names(nodes, defs, refs).collect()}
+    monkeypatch.setattr(G, "KERNEL_EDGES", 3)
+    written, settle = [], G.settle
+    monkeypatch.setattr(G, "settle", lambda df, name: written.append(name) or settle(df, name))
+    joins = {r.node: r.rank for r in G.pagerank_of_names(nodes, defs, refs).collect()}
+    assert joins == pytest.approx(arrays, abs=1e-12)
+    assert len(written) < 10  # not one or more for each of the fifty steps
+
+
 def test_nearest_in_blocks(spark, monkeypatch):
     rows = spark.range(60).selectExpr("id", "array(cast(id AS double), cast(60 - id AS double)) AS v")
     asked = rows.select(F.col("id").alias("query"), F.col("v").alias("vector"))
