@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import builtins
 import os
+import re
 import subprocess
 import time
 from types import SimpleNamespace as Row
@@ -71,6 +72,21 @@ def test_joins_without_steps_where_no_file_defines_and_refers(spark, monkeypatch
     assert len(written) < 10  # not one or more for each of the fifty steps
 
 
+def test_edges_summed_where_they_arise(spark, monkeypatch):
+    defs = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x"), ("b", "y"), ("a", "y")], "file string, name string")
+    refs = spark.createDataFrame([("a", "x", 3), ("d", "y", 1), ("d", "x", 2), ("b", "none", 4)], "file string, name string, count int")
+    want = sorted([("a", "b", 1.0, 1), ("a", "c", 1.0, 1), ("d", "a", 0.5 + 2 / 3, 2), ("d", "b", 0.5 + 2 / 3, 2), ("d", "c", 2 / 3, 1)])
+    for most in (1000, 2):  # the second deals a name's definers into several lists
+        monkeypatch.setattr(G, "LIST_FILES", most)
+        found = G.projected_names(defs, refs)
+        assert sorted((r.src, r.dst, pytest.approx(r.weight), r.names) for r in found.collect()) == want
+        edges = G.weighted_edges(defs, refs)
+        assert sorted((r.src, r.dst, r.name, r.weight) for r in edges.collect()) == [("a", x, "x", 1.0) for x in "abc"] + [("d", "a", "x", 2 / 3), ("d", "a", "y", 0.5), ("d", "b", "x", 2 / 3), ("d", "b", "y", 0.5), ("d", "c", "x", 2 / 3)]
+    # the last exchange moves references by file alone, no edges by their pairs
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(src" in plan and "hashpartitioning(src#0, dst" not in re.sub(r"#\d+", "#0", plan)
+
+
 def test_nearest_in_blocks(spark, monkeypatch):
     rows = spark.range(60).selectExpr("id", "array(cast(id AS double), cast(60 - id AS double)) AS v")
     asked = rows.select(F.col("id").alias("query"), F.col("v").alias("vector"))
