@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeline.catalogue import query, table
 from lodeline.operators import graph as G
-from lodeline.storage import settle
+from lodeline.storage import settle, spread
 
 EDGES = """
 d AS (SELECT DISTINCT 's' || l_suppkey AS dst, l_partkey AS name FROM lineitem),
@@ -36,9 +36,10 @@ def pagerank_sql(start: str, head: str, tail: str) -> str:
 def tables(spark, d):
     """Definitions (file, name) and references (file, name, count)."""
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    defs = lines.select(F.concat(F.lit("s"), "l_suppkey").alias("file"), F.col("l_partkey").alias("name")).distinct()
-    bought = lines.select("l_orderkey", "l_partkey").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    refs = bought.groupBy(F.concat(F.lit("c"), "o_custkey").alias("file"), F.col("l_partkey").alias("name")).agg(F.count("*").alias("count"))
+    n = lines.count()
+    defs = spread(lines.select(F.concat(F.lit("s"), "l_suppkey").alias("file"), F.col("l_partkey").alias("name")), n, "file", "name").distinct()
+    bought = spread(lines.select("l_orderkey", "l_partkey"), n, "l_orderkey").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    refs = spread(bought.select(F.concat(F.lit("c"), "o_custkey").alias("file"), F.col("l_partkey").alias("name")), n, "file", "name").groupBy("file", "name").agg(F.count("*").alias("count"))
     return defs, refs
 
 
@@ -56,7 +57,7 @@ def ranks(defs, refs, p=None):
 
 @query("q20_weighted_edges", f"WITH {EDGES} SELECT src, dst, name, k AS count, round(weight, 9) AS weight FROM e")
 def q20(spark, d):
-    return G.weighted_edges(*tables(spark, d)).withColumn("weight", F.round("weight", 9))
+    return G.weighted_edges(*tables(spark, d), digits=9)
 
 
 @query("q21_pagerank", pagerank_sql("1.0::DOUBLE", PAIRS, "SELECT node, round(rank, 9) AS rank FROM rk"))

@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that one part of a shuffle should hold, so that a task's memory does not grow with the input.
+PART_ROWS = 500_000
 #: Bytes of texts that one broadcast may hold.
 BROADCAST_BYTES = 16 << 20
 
@@ -42,6 +44,13 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of about ``rows`` rows, dealt by ``keys`` over as many parts as keep one near PART_ROWS rows; as it is where
+    the session's own number of shuffle partitions does."""
+    parts = -(-rows // PART_ROWS)
+    return df if parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(parts, *keys)
+
+
 def small(df: DataFrame, rows: int, weight: Column | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, which must be cheap to count; else as it is.
 
