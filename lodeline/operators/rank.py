@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.operators.graph import QUERY_FACTOR
+from lodeline.storage import spread
 
 FOCUS, PIN, TEXT_HIT, NOTE, IMPLEMENTS = 10.0, 10.0, 5.0, 5.0, 2.5
 UNREFERENCED = 0.001
@@ -50,15 +51,16 @@ def distribute(defs: DataFrame, refs: DataFrame, ranks: DataFrame, named: Column
     return definers.join(flow, "name").select("dst", "name", "score")
 
 
-def referenced_by(defs: DataFrame, refs: DataFrame, most: int = REFERRERS) -> DataFrame:
+def referenced_by(defs: DataFrame, refs: DataFrame, most: int = REFERRERS, rows: int = 0) -> DataFrame:
     """``dst, name, referrers, total, referenced_by``: strongest ``most`` files by count, then key.
 
-    Found once for each name, as above; for answers restrict both sides to the names that are shown.
+    Found once for each name, as above; for answers restrict both sides to the names that are shown. ``rows``, of the
+    larger side, makes parts as many as it needs.
     """
     counts = refs.groupBy("name", F.col("file").alias("src")).agg(F.sum("count").alias("count"))
     place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("count"), "src"))
     listed = F.sort_array(F.collect_list(F.when(F.col("place") <= most, F.struct("place", "src", "count"))))
-    top = counts.withColumn("place", place).groupBy("name").agg(
+    top = spread(counts, rows, "name").withColumn("place", place).groupBy("name").agg(
         F.count("*").alias("referrers"), F.sum("count").alias("total"), F.transform(listed, lambda x: F.struct(x["src"].alias("path"), x["count"].alias("count"))).alias("referenced_by")
     )
     return defs.select(F.col("file").alias("dst"), "name").distinct().join(top, "name")

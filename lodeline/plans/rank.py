@@ -35,7 +35,7 @@ def q31(spark, d):
 @query("q32_referenced_by", f"""
 WITH {PAIRS}, {REFS} SELECT dst, name, count(*) AS referrers, sum(k)::BIGINT AS total, list(src || ':' || k ORDER BY p) FILTER (WHERE p <= 5) AS top FROM rr GROUP BY dst, name""")
 def q32(spark, d):
-    rows = R.referenced_by(*tables(spark, d))
+    rows = R.referenced_by(*tables(spark, d), rows=table(spark, d, "lineitem").count())
     return rows.select("dst", "name", "referrers", "total", F.transform("referenced_by", lambda x: F.concat_ws(":", x["path"], x["count"])).alias("top"))
 
 

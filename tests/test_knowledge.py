@@ -13,13 +13,14 @@ import pytest
 from pyspark.sql import functions as F
 from test_engine import TREE
 
-from lodeline import locks
+from lodeline import locks, storage
 from lodeline.engine import Engine
 from lodeline.functions import text as T
 from lodeline.operators import evaluate as E
 from lodeline.operators import graph as G
 from lodeline.operators import incremental as I
 from lodeline.operators import knowledge as K
+from lodeline.operators import rank as R
 from lodeline.operators import render
 from lodeline.operators import vectors as V
 from lodeline.sources import config, files, git
@@ -87,6 +88,25 @@ def test_edges_summed_where_they_arise(spark, monkeypatch):
     assert "hashpartitioning(src" in plan and "hashpartitioning(src#0, dst" not in re.sub(r"#\d+", "#0", plan)
 
 
+def test_weights_rounded_once_for_each_reference(spark):
+    defs = spark.createDataFrame([(x, "x") for x in "abc"], "file string, name string")
+    refs = spark.createDataFrame([("d", "x", 2)], "file string, name string, count int")
+    edges = G.weighted_edges(defs, refs, digits=3)
+    assert {r.weight for r in edges.collect()} == {0.667} and edges.count() == 3
+    above, below = edges._jdf.queryExecution().optimizedPlan().toString().split("Generate explode", 1)
+    assert "round(" in below and "round(" not in above
+
+
+def test_parts_grow_with_rows(spark, monkeypatch):
+    rows = spark.range(1000).selectExpr("id", "id % 100 AS k")
+    assert storage.spread(rows, 1000, "k") is rows  # few rows stay as the session deals them
+    monkeypatch.setattr(storage, "PART_ROWS", 50)
+    assert storage.spread(rows, 1000, "k").rdd.getNumPartitions() == 20
+    refs = rows.selectExpr("concat('f', id) AS file", "k AS name", "1L AS count")
+    top = R.referenced_by(rows.selectExpr("concat('d', id) AS file", "k AS name"), refs, rows=1000)
+    assert top.count() == 1000 and "hashpartitioning(name" in (plan := top._jdf.queryExecution().executedPlan().toString()) and ", 20)" in plan
+
+
 def test_nearest_in_blocks(spark, monkeypatch):
     rows = spark.range(60).selectExpr("id", "array(cast(id AS double), cast(60 - id AS double)) AS v")
     asked = rows.select(F.col("id").alias("query"), F.col("v").alias("vector"))
