@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.operators.vectors import ENTITY_K, SEMANTIC_K, THEME_K, knn, knn_many
-from lodeline.storage import small
+from lodeline.storage import settle, small
 from lodeline.functions.text import clean, extend_description, norm_name, normalise_system, split_identifier, token_windows
 
 #: The closed list of entity types, and words that no query matches as an entity.
@@ -17,6 +17,8 @@ ENTITY_STOPWORDS = tuple(
 NAME_MAX, DESCRIPTION_MAX, STEP_MAX, STEPS_MAX = 80, 300, 300, 30
 RELATIONS_SHOWN, VIA_STEP_MAX, LINK_LIMIT, MIN_SYSTEM = 30, 5, 3, 3
 OVERLAY_MAX, SEARCH_MAX = 500, 20
+#: Systems that a broadcast may hold.
+BROADCAST_SYSTEMS = 100_000
 ENTITY_MIN = 0.5
 #: Matched entities that are broadcast.
 SHOWN_ENTITIES = 10_000
@@ -155,8 +157,12 @@ def page(rows: DataFrame, offset: int, limit: int, *order: str) -> DataFrame:
 
 
 def system_matches(systems: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Symbols one of whose token windows spells a system's name: an equality on exploded windows, not a pair test."""
-    norm = systems.withColumn("norm", normalise_system(F.col("system"))).filter(F.length("norm") >= MIN_SYSTEM)
+    """Symbols one of whose token windows spells a system's name: an equality on exploded windows, not a pair test.
+
+    Few words make up most windows, so they are not shuffled by word: systems of a checked size are broadcast.
+    """
+    norm = settle(systems.withColumn("norm", normalise_system(F.col("system"))).filter(F.length("norm") >= MIN_SYSTEM), "systems")
+    norm = small(norm, BROADCAST_SYSTEMS, F.octet_length("norm") + F.octet_length("system"))
     windows = symbols.withColumn("norm", F.explode(token_windows(split_identifier(F.col("name")))))
     return windows.join(norm, "norm").drop("norm").distinct()
 

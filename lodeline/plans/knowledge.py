@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lodeline.catalogue import query, table
 from lodeline.functions.text import extend_description, norm_name
 from lodeline.operators import knowledge as K
+from lodeline.storage import PART_ROWS
+
+#: Token windows of a name, about.
+WINDOWS = 15
 
 
 @query("q60_entity_merge", r"""
@@ -82,7 +86,9 @@ WHERE length(system) >= 3""")
 def q65(spark, d):
     parts = table(spark, d, "part")
     systems = parts.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("system")).distinct()
-    symbols = parts.select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("name"))
+    # a small file of many names is few tasks: the windows are made in more, and what is found stays where its part is
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parts.count() * WINDOWS // PART_ROWS))
+    symbols = parts.select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("name")).repartition(many, "p_partkey")
     return K.system_matches(systems, symbols).select("p_partkey", "system").distinct()
 
 
