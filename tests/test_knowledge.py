@@ -9,12 +9,14 @@ import subprocess
 import time
 from types import SimpleNamespace as Row
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_engine import TREE
 
 from lodeline import locks, storage
 from lodeline.engine import Engine
+from lodeline.functions import stem as S
 from lodeline.functions import text as T
 from lodeline.operators import evaluate as E
 from lodeline.operators import graph as G
@@ -107,6 +109,24 @@ def test_parts_grow_with_rows(spark, monkeypatch):
     assert top.count() == 1000 and "hashpartitioning(name" in (plan := top._jdf.queryExecution().executedPlan().toString()) and ", 20)" in plan
 
 
+def test_windows_are_not_shuffled_by_word(spark):
+    systems = spark.createDataFrame([("Ledger",), ("Red Widget",), ("ab",)], "system string")
+    symbols = spark.createDataFrame([(1, "openLedger"), (2, "red widget bolt"), (3, "ledge r"), (4, "red"), (1, "openLedger")], "id int, name string")
+    found = K.system_matches(systems, symbols)
+    assert sorted((r.id, r.system) for r in found.collect()) == [(1, "Ledger"), (2, "Red Widget"), (3, "Ledger")]
+    assert "BroadcastHashJoin" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(norm" not in plan
+    assert "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stems_in_pieces(monkeypatch):
+    monkeypatch.setattr(S, "KNOWN_WORDS", 2)
+    monkeypatch.setattr(S, "PIECE_WORDS", 3)
+    texts = ["Running dogs", None, "", "Été flies, dogs run", "one two three four", "last"]
+    (found,) = S._stemmed(iter([pa.array(texts)]))
+    assert found.to_pylist() == [["run", "dog"], [], [], ["et", "fli", "dog", "run"], ["on", "two", "three", "four"], ["last"]]
+    assert not hasattr(S, "pd")  # Arrow arrays, no pandas objects
+
+
 def test_nearest_in_blocks(spark, monkeypatch):
     rows = spark.range(60).selectExpr("id", "array(cast(id AS double), cast(60 - id AS double)) AS v")
     asked = rows.select(F.col("id").alias("query"), F.col("v").alias("vector"))
